@@ -328,3 +328,29 @@ def with_decoded(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded
         return pa.array([e.decode(flat[a:b]) if there else None for a, b, there in zip(starts, ends.tolist(), of.is_valid().to_pylist())], pa.binary())
 
     return df.withColumn(out, decode(F.col(ids)))
+
+
+class LibraryEncoder:
+    """Ids as the tokenizers library gives them for a byte-level BPE file, without its truncation, padding or added tokens at
+    the ends. A text that holds one of the file's added tokens is left to the library, which takes those out first."""
+
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.encoder = encoder(path)
+
+    def encode(self, texts: list) -> list[np.ndarray]:
+        special = {k for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        out = self.encoder.encode([None if k in special else t for k, t in enumerate(texts)])
+        for k in special:
+            out[k] = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, np.int32)
+        return out
+
+
+@lru_cache(maxsize=4)
+def library_encoder(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)

@@ -90,7 +90,10 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", keep: st
         mark = "_" + mark
     names = df.columns
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    groups = copy_groups(df, key, text, keep)
-    rows = groups.where("kept").select(F.col("keep_id").alias(f"{mark}_id"), F.col("digest").alias(f"{mark}_won"), F.lit(1).alias(f"{mark}_n"))
+    groups = workspace.stage(copy_groups(df, key, text, keep), "groups")
+    many = groups.groupBy("id", "digest").agg((F.count(F.lit(1)) > 1).alias("many"), F.max("kept").alias("kept")).where("kept")
+    rows = many.select(F.col("id").alias(f"{mark}_id"), F.col("digest").alias(f"{mark}_won"), F.col("many").alias(f"{mark}_many"))
     kept = df.withColumn(mark, F.unhex(F.sha2(whole, 256))).join(rows, F.col(key).eqNullSafe(F.col(f"{mark}_id")) & (F.col(mark) == F.col(f"{mark}_won")))
-    return kept.dropDuplicates([key, mark]).select(*names)
+    # only rows that repeat an identifier and text have to meet once more
+    repeated = kept.where(f"{mark}_many").dropDuplicates([key, mark])
+    return kept.where(~F.col(f"{mark}_many")).select(*names).union(repeated.select(*names))

@@ -329,22 +329,46 @@ def jaccard_components(df: DataFrame, key: str = "doc_id", text: str = "text", w
     """
     if words > len(_ODD) or not 0 < percent <= 100:
         raise ValueError("words or percent out of range")
-    spark = df.sparkSession
-    workspace.bound_batches(spark)
+    return _components(df, key, text, words, percent).select("id", "n_shingles", "component_id")
+
+
+def _components(df: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """What ``jaccard_components`` returns, with ``th`` (a hash of the text) and ``group`` (long: the same for the rows of a component, null without
+    words)."""
+    workspace.bound_batches(df.sparkSession)
     rows = _texts(df, key, text)
     named = workspace.stage(_names(rows, words), "names")
     classes = named.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("id").alias("low"), F.min(F.struct("id", "th")).alias("rep"))
     hits = _hit_counts(rows, words, percent)
-    n, need = F.col("n"), F.ceil(F.lit(percent) * F.col("n") / 100)
-    reached = workspace.stage(classes.join(hits, "name").where(F.col("hits") >= F.greatest(F.lit(1), F.floor(need / 10))).select("name", "rep.id", "rep.th"), "reached")
-    met = rows.join(reached.withColumnRenamed("id", "rid"), (rows["th"] == reached["th"]) & rows["id"].eqNullSafe(F.col("rid"))).select("t")
+    need = F.ceil(F.lit(percent) * F.col("n") / 100)
+    enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(need / 10))
+    reached = workspace.stage(classes.join(hits, "name").where(enough).select(F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), "reached")
+    met = rows.join(reached, (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid"))).select("t")
     sets = workspace.stage(_sets(met, words).dropDuplicates(["name"]), "sets")
     forest = workspace.stage(_links(sets, _families(sets, percent), percent), "links")
     found = components.connected(forest)
-    del n
     # the smallest key of a component, by class
     low = classes.select(F.col("name").alias("node"), "low").join(found, "node")
     roots = low.groupBy("root").agg(F.min("low").alias("component"))
-    joined = found.join(roots, "root").select(F.col("node").alias("name"), "component")
-    by_class = classes.select("name", "low").join(joined, "name", "left").select(F.col("name").alias("c"), F.coalesce("component", "low").alias("component"))
-    return named.join(by_class, named["name"] == by_class["c"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+    joined = found.join(roots, "root").select(F.col("node").alias("name"), "root", "component")
+    by_class = classes.select("name", "low").join(joined, "name", "left").select(F.col("name").alias("c"), F.coalesce("component", "low").alias("component"), F.coalesce("root", "name").alias("group"))
+    return named.join(by_class, named["name"] == by_class["c"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), "th", "group")
+
+
+def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``df``, with all columns, of which one stays for each component of links: the one with the smallest ``key``. A null
+    key stays only where the component has no other; rows that repeat that key and its text are reduced to one. Rows without
+    words all stay."""
+    names = df.columns
+    mark = "__component"
+    while any(n.startswith(mark) for n in names):
+        mark = "_" + mark
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    found = workspace.stage(_components(df, key, text, words, percent).where("n_shingles > 0"), "components")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("first")).select("first.id", "first.th")
+    many = found.groupBy("id", "th").agg((F.count(F.lit(1)) > 1).alias("many"))
+    stay = first.join(many, first["id"].eqNullSafe(many["id"]) & (first["th"] == many["th"])).select(first["id"].alias(f"{mark}_id"), first["th"].alias(f"{mark}_th"), F.col("many").alias(f"{mark}_many"))
+    some = whole.rlike("[^\\x20\\x09-\\x0D]")
+    kept = df.where(some).withColumn(mark, F.xxhash64(whole)).join(stay, F.col(key).cast("long").eqNullSafe(F.col(f"{mark}_id")) & (F.col(mark) == F.col(f"{mark}_th")))
+    repeated = kept.where(f"{mark}_many").dropDuplicates([key, mark])
+    return kept.where(~F.col(f"{mark}_many")).select(*names).union(repeated.select(*names)).union(df.where(~some).select(*names))
