@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, dedup, langid, ngramjoin, packing, quality, simhash, tokencount, workspace
+from quillmill.llm import bpe, dedup, html, langid, ngramjoin, packing, quality, simhash, tokencount, workspace
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -36,6 +36,11 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.with_main_text(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def held_out() -> Column:
     """Rows that no model learns from: crc32 of the identifier as text, a multiple of 5."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0, F.lit(False))
@@ -79,6 +84,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_html": op3_html,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op7_packing": op7_packing,
