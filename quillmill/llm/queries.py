@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, dedup, html, langid, ngramjoin, packing, quality, simhash, tokencount, workspace
+from quillmill.llm import bpe, dedup, html, langid, ngramjoin, packing, quality, rangecoder, simhash, tokencount, workspace
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -60,6 +60,13 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = workspace.new_path(spark, "ids")
+    manifest = rangecoder.write_files(table(spark, sf_dir, "documents"), BYTE_BPE, uri)
+    docs = rangecoder.read_files(manifest, uri)
+    return docs.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(table(spark, sf_dir, "documents"), BYTE_BPE)
     return packed.select(F.col("id").alias("doc_id"), "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -87,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html": op3_html,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
+    "op6_id_files": op6_id_files,
     "op7_packing": op7_packing,
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
