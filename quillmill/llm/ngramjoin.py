@@ -343,7 +343,8 @@ def _components(df: DataFrame, key: str, text: str, words: int, percent: int) ->
     need = F.ceil(F.lit(percent) * F.col("n") / 100)
     enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(need / 10))
     reached = workspace.stage(classes.join(hits, "name").where(enough).select(F.col("rep.id").alias("rid"), F.col("rep.th").alias("rth")), "reached")
-    met = rows.join(reached, (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid"))).select("t")
+    # one plan at every size: whether the reached sets happen to fit a broadcast does not decide what is shuffled
+    met = rows.join(reached.hint("merge"), (F.col("th") == F.col("rth")) & F.col("id").eqNullSafe(F.col("rid"))).select("t")
     sets = workspace.stage(_sets(met, words).dropDuplicates(["name"]), "sets")
     forest = workspace.stage(_links(sets, _families(sets, percent), percent), "links")
     found = components.connected(forest)
