@@ -35,7 +35,9 @@ def to_lines(text: Column) -> Column:
 def explode_lines(df: DataFrame, lines: str = "lines", number: str = "line_no", line: str = "line") -> DataFrame:
     """One row for each line, numbered from 1, with the other columns."""
     kept = [c for c in df.columns if c != lines]
-    return df.select(*kept, F.posexplode(lines).alias(number, line)).withColumn(number, F.col(number) + 1)
+    # the inner form would put a filter on the array's size below everything that makes the array, and so run it twice
+    rows = df.select(*kept, F.posexplode_outer(lines).alias(number, line)).where(F.col(number).isNotNull())
+    return rows.withColumn(number, F.col(number) + 1)
 
 
 def _regroup(lines: Column, asks: str) -> Column:
