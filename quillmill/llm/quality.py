@@ -2,8 +2,9 @@
 
 Two zstandard dictionaries are built, one from text labelled good and one from text labelled bad. A text is compressed with
 each, in pieces of PIECE bytes so that a long text does not become its own dictionary; the difference of the sizes, divided by
-the text's bytes, says which dictionary knows it better. A logistic curve fitted on labelled texts that the dictionaries have
-not seen turns the difference into the probability of the label good.
+the text's bytes, says which dictionary knows it better. A text that repeats itself shrinks to nothing under either, so the
+difference says little there; how far its compressed share lies below that of nearly all good texts is a second measure. A
+logistic curve fitted on labelled texts that the dictionaries have not seen turns both into the probability of the label good.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import workspace
@@ -26,16 +27,25 @@ DICTIONARY = 1 << 16
 LEVEL = 3
 #: Labelled texts of each class that are used, and training pieces taken from each, evenly spread over the whole text.
 SAMPLE, PIECES = 3000, 24
+#: The share of good texts that lie below the floor.
+FLOOR = 0.01
 
 
 @dataclass(frozen=True)
 class Model:
-    """The two dictionaries, and slope and intercept of the logistic curve."""
+    """The two dictionaries, the floor of the compressed share of good texts (logarithm), and the weights of the logistic curve: of
+    the difference, of what the share lies below the floor, and the constant."""
 
     good: bytes
     bad: bytes
-    slope: float
-    intercept: float
+    floor: float
+    weights: tuple[float, float, float]
+
+    def score(self, measures: np.ndarray) -> np.ndarray:
+        """Probabilities of rows of measures."""
+        w = self.weights
+        z = w[0] * measures[:, 0] + w[1] * np.maximum(0, self.floor - measures[:, 1]) + w[2]
+        return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
 @lru_cache(maxsize=2)
@@ -48,14 +58,16 @@ def _compressors(good: bytes, bad: bytes) -> list[zstandard.ZstdCompressor]:
     return made
 
 
-def difference(text: str | None, good: bytes, bad: bytes) -> float:
-    """Size with the bad dictionary less size with the good one, by byte of text; 0 for an empty text."""
+def measure(text: str | None, good: bytes, bad: bytes) -> tuple[float, float]:
+    """Size with the bad dictionary less size with the good one, by byte of text; and the logarithm of the smaller size by byte.
+    Both are 0 for an empty text."""
     data = (text or "").encode("utf-8", "surrogatepass")
     if not data or not good or not bad:
-        return 0.0
+        return 0.0, 0.0
     a, b = _compressors(good, bad)
     pieces = [data[k : k + PIECE] for k in range(0, len(data), PIECE)]
-    return (sum(len(b.compress(p)) for p in pieces) - sum(len(a.compress(p)) for p in pieces)) / len(data)
+    with_good, with_bad = sum(len(a.compress(p)) for p in pieces), sum(len(b.compress(p)) for p in pieces)
+    return (with_bad - with_good) / len(data), float(np.log(min(with_good, with_bad) / len(data)))
 
 
 def _dictionary(pieces: list[bytes]) -> bytes:
@@ -67,20 +79,21 @@ def _dictionary(pieces: list[bytes]) -> bytes:
         return b"".join(order)[-DICTIONARY:]
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept by Newton's method, with a little ridge and smoothed targets, so that separable classes stay finite."""
-    scale = float(x.std()) or 1.0
-    z = np.stack([x / scale, np.ones(len(x))], axis=1)
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Weights of the columns of x and the constant, by Newton's method, with a little ridge and smoothed targets, so that separable
+    classes stay finite."""
+    scale = np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
+    z = np.column_stack([x / scale, np.ones(len(x))])
     n1 = float(y.sum())
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
-    w = np.zeros(2)
-    for _ in range(60):
+    w = np.zeros(z.shape[1])
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -35, 35)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-3 * np.eye(2), z.T @ (p - target) + 1e-3 * w)
-        w -= np.clip(step, -4, 4)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), z.T @ (p - target) + 1e-2 * w)
+        w -= np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0] / scale), float(w[1])
+    return np.append(w[:-1] / scale, w[-1])
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model:
@@ -94,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h")).where("k IS NOT NULL AND y IN (0, 1)").distinct()
     chosen = [r for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy("h", "k").limit(sample).collect()]
     if not chosen:
-        return Model(b"", b"", 0.0, 0.0)
+        return Model(b"", b"", 0.0, (0.0, 0.0, 0.0))
     part = spark.createDataFrame([(r["k"], r["y"], i % 2) for i, r in enumerate(chosen)], "k long, y int, fold int")
     # at most 2 * sample rows
     mine = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL AND k IS NOT NULL").join(F.broadcast(part), "k")
@@ -113,28 +126,31 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     for r in mine.where("fold = 0").select("y", cut("t").alias("p")).collect():
         pieces[r["y"]] += [bytes(p) for p in r["p"]]
     rate = sum(r["y"] for r in chosen) / len(chosen)
-    flat = Model(b"", b"", 0.0, float(np.log((rate + 0.01) / (1.01 - rate))))
+    flat = Model(b"", b"", 0.0, (0.0, 0.0, float(np.log((rate + 0.01) / (1.01 - rate)))))
     if not pieces[0] or not pieces[1]:
         return flat
     good, bad = _dictionary(pieces[1]), _dictionary(pieces[0])
-    fitted = mine.where("fold = 1").select("y", _difference(spark, good, bad)("t").alias("d")).collect()
+    fitted = mine.where("fold = 1").select("y", _measures(spark, good, bad)("t").alias("m")).collect()
     if len({r["y"] for r in fitted}) < 2:
-        return Model(good, bad, 40.0, 0.0)
-    x, y = np.array([r["d"] for r in fitted]), np.array([r["y"] for r in fitted], float)
+        return Model(good, bad, -99.0, (40.0, 0.0, 0.0))
+    x, y = np.array([[r["m"]["difference"], r["m"]["share"]] for r in fitted]), np.array([r["y"] for r in fitted], float)
+    floor = float(np.quantile(x[y > 0, 1], FLOOR))
     # the classes were taken in other shares than the labels have
     shares = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    slope, intercept = _logistic(x, y)
-    return Model(good, bad, slope, intercept + float(np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))))
+    w = _logistic(np.column_stack([x[:, 0], np.maximum(0, floor - x[:, 1])]), y)
+    constant = w[2] + np.log(shares[1] / shares[0]) - np.log(y.sum() / (len(y) - y.sum()))
+    return Model(good, bad, floor, (float(w[0]), float(w[1]), float(constant)))
 
 
-def _difference(spark, good: bytes, bad: bytes):
+def _measures(spark: SparkSession, good: bytes, bad: bytes):
     shipped = spark.sparkContext.broadcast((good, bad))
 
-    @F.arrow_udf("double")
-    def measure(texts: pa.Array) -> pa.Array:
-        return pa.array([difference(t, *shipped.value) for t in texts.to_pylist()], pa.float64())
+    @F.arrow_udf("struct<difference:double,share:double>")
+    def run(texts: pa.Array) -> pa.Array:
+        found = np.array([measure(t, *shipped.value) for t in texts.to_pylist()]).reshape(-1, 2)
+        return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["difference", "share"])
 
-    return measure
+    return run
 
 
 def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "quality_score") -> DataFrame:
@@ -142,5 +158,12 @@ def with_score(df: DataFrame, model: Model, text: str = "text", out: str = "qual
     both dictionaries compress alike. Equal texts score alike; other columns pass through, and a column named like the output
     is replaced. Row by row, without a shuffle."""
     workspace.bound_batches(df.sparkSession)
-    z: Column = F.lit(model.slope) * _difference(df.sparkSession, model.good, model.bad)(F.col(text)) + F.lit(model.intercept)
-    return df.withColumn(out, F.lit(1.0) / (F.lit(1.0) + F.exp(-z)))
+    shipped = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        model = shipped.value
+        found = np.array([measure(t, model.good, model.bad) for t in texts.to_pylist()]).reshape(-1, 2)
+        return pa.array(model.score(found), pa.float64())
+
+    return df.withColumn(out, score(F.col(text)))
