@@ -7,7 +7,7 @@ octave under the mean of an adaptive order-0 distribution and an adaptive one th
 in the octave, where ranks are about as frequent as one another. All distributions are cumulative tables of 15 bits that move
 a fraction of the way to each symbol coded.
 
-*Coder.* A range coder with 16-bit words: 32-bit range, carries kept in the words until the end.
+*Coder.* A range coder with 16-bit words: a range of 32 to 48 bits, carries kept in the words until the end.
 
 *Blocks.* Each begins with empty tables, so a damaged block costs no other. All blocks of a group are coded in lockstep: step t
 codes the t-th id of every block, as rows of arrays, in the encoder and the decoder alike.
@@ -42,9 +42,11 @@ GROUP = 4096
 BITS = 15
 TOTAL = 1 << BITS
 RATE = 5
+#: The range never falls below this.
+_FLOOR = 1 << 32
 #: Ids must be below this.
 LIMIT = 1 << 16
-_CONTEXT_BITS = 11  # of the order-1 and order-2 tables
+_CONTEXT_BITS = 10  # of the order-1 and order-2 tables
 _AFTER = 32  # tables of the octave by last rank
 #: What a cumulative table moves to when a symbol is coded: every symbol keeps at least one part.
 _TARGET = np.array([[j if j <= s else TOTAL - (16 - j) for j in range(16)] for s in range(16)], np.int16)
@@ -56,6 +58,7 @@ _OCTAVE = np.maximum(np.frexp(np.arange(LIMIT).astype(float))[1] - 1, 0).astype(
 #: First rank and bits of place of each octave; the first holds ranks 0 and 1.
 _OCTAVE_START = np.array([0, *(1 << k for k in range(1, 16))], np.int64)
 _OCTAVE_BITS = np.array([1, *range(1, 16)], np.int64)
+_OCTAVE_LAST = (1 << _OCTAVE_BITS) - 1
 
 
 class _Encoder:
@@ -64,33 +67,34 @@ class _Encoder:
     reading = False
 
     def __init__(self, n: int, longest: int) -> None:
-        self.low, self.range = np.zeros(n, np.int64), np.full(n, (1 << 32) - 1, np.int64)
+        self.low, self.range = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64)
         self.words, self.count = np.zeros((n, 2 * longest + 8), np.uint32), np.zeros(n, np.int64)
 
-    def narrow(self, m: int, which: np.ndarray | None, part: np.ndarray, start: np.ndarray, width: np.ndarray | None) -> None:
-        """Go on to ``width`` parts (1 if None) from ``start``, and write the words that are settled."""
+    def narrow(self, m: int, which: np.ndarray | None, start: np.ndarray, size: np.ndarray) -> None:
+        """Go on to ``size`` from ``start`` on, and write the words that are settled."""
         at = slice(0, m) if which is None else which
-        low = self.low[at] + part * start
-        size = part if width is None else part * width
-        short = np.flatnonzero(size < 1 << 16)
-        if len(short):
-            who = short if which is None else which[short]
-            over = low[short]
-            count = self.count[who]
-            if int(count.max()) >= self.words.shape[1] - 4:
+        low = self.low[at]
+        low += start
+        short = (size < _FLOOR).nonzero()[0]
+        while len(short):
+            who = short if which is None else which.take(short)
+            over, count = low.take(short), self.count.take(who)
+            if int(count.max()) >= self.words.shape[1] - 5:
                 self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            self.words[who, count] = over >> 16
+            self.words[who, count] = over >> 32
             self.count[who] = count + 1
-            low[short] = (over & 0xFFFF) << 16
-            size[short] <<= 16
+            low[short] = (over & 0xFFFFFFFF) << 16
+            left = size.take(short) << 16
+            size[short] = left
+            short = short[left < _FLOOR]
         self.low[at], self.range[at] = low, size
 
     def finish(self) -> list[bytes]:
         """The words of each lane, carries passed on."""
         rows = np.arange(len(self.low))
-        for _ in range(2):
-            self.words[rows, self.count] = self.low >> 16
-            self.low = (self.low & 0xFFFF) << 16
+        for _ in range(3):
+            self.words[rows, self.count] = self.low >> 32
+            self.low = (self.low & 0xFFFFFFFF) << 16
             self.count += 1
         while True:
             carry = self.words >> 16
@@ -112,21 +116,24 @@ class _Decoder:
         self.words = np.zeros((len(blocks), longest), np.uint16)
         for k, b in enumerate(blocks):
             self.words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-        self.code = (self.words[:, 0].astype(np.int64) << 16) | self.words[:, 1]
-        self.range = np.full(len(blocks), (1 << 32) - 1, np.int64)
-        self.count = np.full(len(blocks), 2, np.int64)
+        first = self.words[:, :3].astype(np.int64)
+        self.code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
+        self.range = np.full(len(blocks), (1 << 48) - 1, np.int64)
+        self.count = np.full(len(blocks), 3, np.int64)
 
-    def narrow(self, m: int, which: np.ndarray | None, part: np.ndarray, start: np.ndarray, width: np.ndarray | None) -> None:
+    def narrow(self, m: int, which: np.ndarray | None, start: np.ndarray, size: np.ndarray) -> None:
         at = slice(0, m) if which is None else which
-        code = self.code[at] - part * start
-        size = part if width is None else part * width
-        short = np.flatnonzero(size < 1 << 16)
-        if len(short):
-            who = short if which is None else which[short]
-            count = self.count[who]
-            code[short] = (code[short] << 16) | self.words[who, np.minimum(count, self.words.shape[1] - 1)]
+        code = self.code[at]
+        code -= start
+        short = (size < _FLOOR).nonzero()[0]
+        while len(short):
+            who = short if which is None else which.take(short)
+            count = self.count.take(who)
+            code[short] = (code.take(short) << 16) | self.words[who, np.minimum(count, self.words.shape[1] - 1)]
             self.count[who] = count + 1
-            size[short] <<= 16
+            left = size.take(short) << 16
+            size[short] = left
+            short = short[left < _FLOOR]
         self.code[at], self.range[at] = code, size
 
 
@@ -164,16 +171,20 @@ def _run(lengths: np.ndarray, coder: _Encoder | _Decoder, ranks: np.ndarray | No
         part = coder.range[:m] >> BITS
         if reading:
             value = np.minimum(coder.code[:m] // part, TOTAL - 1)
-            choice = (value >= lo).astype(np.int64) + (value >= hi)
-            rank = np.where(choice == 0, p2, p1).astype(np.int64)
+            choice = (value >= lo).astype(np.int64)
+            choice += value >= hi
+            rank = np.where(choice == 0, p2, p1)
         else:
-            rank = ranks[t, :m].astype(np.int64)
-            choice = np.where(rank == p2, 0, np.where(rank == p1, 1, 2))
+            rank = ranks[t, :m].astype(np.uint32)
+            choice = 2 - (rank == p1).astype(np.int64)
+            choice *= rank != p2
         edges = np.empty((4, m), np.int64)
         edges[0], edges[1], edges[2], edges[3] = 0, lo, hi, TOTAL
         edges, at = edges.reshape(-1), choice * m + lane[:m]
         start = edges.take(at)
-        coder.narrow(m, None, part, start, edges.take(at + m) - start)
+        width = edges.take(at + m)
+        width -= start
+        coder.narrow(m, None, part * start, part * width)
         to_low, to_high = _LOW_TARGET.take(choice), _HIGH_TARGET.take(choice)
         for table, at, low, high in ((bounds[0], r1, l1, h1), (bounds[1], r2, l2, h2)):
             table[at] = ((low + ((to_low - low) >> RATE)) << 16) + high + ((to_high - high) >> RATE)
@@ -183,36 +194,51 @@ def _run(lengths: np.ndarray, coder: _Encoder | _Decoder, ranks: np.ndarray | No
             after = who * _AFTER + _OCTAVE.take(before) * 2 + (before & 1)
             c0, c1 = octave0.take(who, axis=0), octave1.take(after, axis=0)
             mix = ((c0.view(np.uint16) + c1.view(np.uint16)) >> 1).view(np.int16)
-            part = coder.range[who] >> BITS
+            part = coder.range.take(who) >> BITS
             if reading:
-                value = np.minimum(coder.code[who] // part, TOTAL - 1).astype(np.int16)
+                code = coder.code.take(who)
+                value = np.minimum(code // part, TOTAL - 1).astype(np.int16)
                 reached = (mix <= value[:, None]).view(np.uint64)
-                octave = (((reached[:, 0] + reached[:, 1]) * _BYTES) >> np.uint64(56)).astype(np.int64) - 1
+                octave = (((reached[:, 0] + reached[:, 1]) * _BYTES) >> np.uint64(56)).astype(np.int64)
+                octave -= 1
             else:
-                whole = rank.take(who)
+                whole = rank.take(who).astype(np.int64)
                 octave = _OCTAVE.take(whole)
             flat, at = mix.reshape(-1), np.arange(0, 16 * len(who), 16) + octave
             start = flat.take(at).astype(np.int64)
-            end = np.where(octave == 15, TOTAL, flat.take(at + (octave < 15)))
-            coder.narrow(m, who, part, start, end - start)
+            # the entry behind a row's last one is the next row's first, 0, and stands for the total
+            end = flat.take(at + 1, mode="clip").astype(np.int64)
+            if octave[-1] == 15:
+                end[-1] = 0
+            end -= 1
+            end &= TOTAL - 1
+            end += 1 - start
+            start *= part
+            part *= end
+            # the place in the octave: so many parts of what the octave has left
+            part >>= _OCTAVE_BITS.take(octave)
+            first = _OCTAVE_START.take(octave)
+            if reading:
+                place = np.minimum((code - start) // part, _OCTAVE_LAST.take(octave))
+                rank[who] = first + place
+            else:
+                place = whole - first
+            start += part * place
+            coder.narrow(m, who, start, part)
             to = _TARGET.take(octave, axis=0)
             for put, at, c in ((put0, who, c0), (put1, after, c1)):
                 step = to - c
                 step >>= RATE
                 step += c
                 put[at] = step.view("V32").reshape(-1)
-            part = coder.range[who] >> _OCTAVE_BITS.take(octave)
-            first = _OCTAVE_START.take(octave)
-            if reading:
-                place = np.minimum(coder.code[who] // part, (1 << _OCTAVE_BITS.take(octave)) - 1)
-                rank[who] = first + place
-            else:
-                place = whole - first
-            coder.narrow(m, who, part, place, None)
-        fresh = rank.astype(np.uint32) << 2
+        fresh = rank << 2
         for table, at, e, p in ((tables[0], at1, e1, p1), (tables[1], at2, e2, p2)):
             sure = e & 3
-            table[at] = np.where(p == rank, e + (sure < 3), np.where(sure == 0, fresh, e - 1))
+            moved = e - 1
+            np.copyto(moved, fresh, where=sure == 0)
+            e += sure < 3
+            np.copyto(moved, e, where=p == rank)
+            table[at] = moved
         last2[:m] = last[:m]
         last[:m] = rank
         if reading:
