@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,25 +51,47 @@ def decode(content: Column, label: Column) -> Column:
 
 
 def _glob(pattern: str) -> str:
-    """A file pattern with ``*`` and ``?`` as a Hadoop glob, in which other characters mean themselves."""
-    return re.sub(r"([\[\]{}\\])", r"\\\1", pattern)
+    """A file pattern as a Hadoop glob that ignores case, in which only ``*`` and ``?`` are special: files that don't match are not
+    even opened."""
+    one = lambda c: c if c in "*?" else f"[{c.lower()}{c.upper()}]" if len(c.lower()) == len(c.upper()) == 1 and c.lower() != c.upper() else "\\" + c if c in "[]{}\\" else c
+    return "".join(map(one, pattern))
+
+
+def _name_like(pattern: str) -> str:
+    """A file pattern as a regular expression that ignores case."""
+    return "(?iu)\\A" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "\\z"
+
+
+def _empty_files(spark: SparkSession, paths: list[str], pattern: str | None) -> list[str]:
+    """The files of no bytes at the paths or right in them, which Spark's reader leaves out. The driver lists them, as it does for
+    the reader."""
+    wanted = re.compile(_name_like(pattern).replace("\\z", "\\Z")) if pattern else None
+    found = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in store.listStatus(at) if store.exists(at) else []:
+            if status.isFile() and status.getLen() == 0 and (wanted is None or wanted.match(status.getPath().getName())):
+                found.append(status.getPath().toString())
+    return found
 
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """path, modificationTime and length of the files right in ``folder`` whose names match ``pattern`` (``*`` and ``?``, either case)."""
-    name = F.lower(F.element_at(F.split("path", "/"), -1))
-    files = spark.read.format("binaryFile").load(folder).select("path", "modificationTime", "length")
-    return files.where(name.rlike("\\A" + re.sub(r"\\Z$|\\z$|^\(\?s:|\)$", "", fnmatch.translate(re.sub(r"\[", "[[]", pattern.lower()))) + "\\z"))
+    """path and length of the files right in ``folder`` whose names match ``pattern`` (``*`` and ``?``, either case)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(pattern)).load(folder).select("path", "length")
+    empty = _empty_files(spark, [folder], pattern)
+    return files.union(spark.createDataFrame([(p, 0) for p in empty], "path string, length long")) if empty else files
 
 
 def scan_files(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """path, content, encoding (label), charset and text of files. One task reads a file whole; the content column is read only if
-    it is used."""
+    it is used. ``pattern``: as in ``list_files``."""
     legacy_charsets(spark)
-    reader = spark.read.format("binaryFile")
-    if pattern:
-        reader = reader.option("pathGlobFilter", _glob(pattern))
-    files = reader.load(paths).select("path", "content").withColumn("encoding", detect_encoding(F.col("content")))
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(pattern or "*")).load(paths).select("path", "content")
+    if empty := _empty_files(spark, paths, pattern):
+        files = files.union(spark.createDataFrame([(p, bytearray()) for p in empty], "path string, content binary"))
+    files = files.withColumn("encoding", detect_encoding(F.col("content")))
     return files.withColumn("charset", charset_of(F.col("encoding"))).withColumn("text", decode(F.col("content"), F.col("encoding")))
 
 

@@ -120,6 +120,7 @@ JOIN = [
     ({"b.txt": b"World", "a.txt": b"Hello"}, 2, "Hello\nWorld\n"),
     ({"test.txt": b"only file"}, 1, "only file\n"),
     ({"test.dat": b"data"}, 0, ""),
+    ({"test.dat": b"data", "x[1].TXT": b"y"}, 1, "y\n"),
     ({"a.txt": b"Hello\n", "b.txt": b"World"}, 2, "Hello\nWorld\n"),
     ({"gbk.txt": b"\xc4\xe3\xba\xc3", "utf8.txt": b"\xef\xbb\xbf\xe4\xb8\x96\xe7\x95\x8c"}, 2, "你好\n世界\n"),
     ({"B.txt": b"2", "a.txt": b"1", "z_.txt": b"4", "zz.txt": b"3"}, 4, "1\n2\n3\n4\n"),
@@ -135,7 +136,7 @@ def test_join(spark, tmp_path, given, count, want):
     assert (row["file_count"], row["text"]) == (count, want) and row["output_path"].endswith("/out.txt")
     with pytest.raises(ValueError):
         joiner.join_files(spark, str(tmp_path), " ", "x")
-    assert {r["path"].rsplit("/", 1)[-1] for r in files.list_files(spark, str(tmp_path), "*.TXT").collect()} == {n for n in given if n.endswith(".txt")} | {"out.txt"}
+    assert {r["path"].rsplit("/", 1)[-1] for r in files.list_files(spark, str(tmp_path), "*.TXT").collect()} == {n for n in given if n.lower().endswith(".txt")} | {"out.txt"}
 
 
 def test_join_pieces_and_batch(spark):
