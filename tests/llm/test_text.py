@@ -160,6 +160,8 @@ PAGES = [
     ("<div class='cookie-notice'>we use</div><main><p>text</p><aside>side</aside><div class=comments><p>hi</p></div></main>", "text"),
     ("<article><header><h1>head</h1><span>by me</span></header><p>p</p><section id='comments'>c</section></article>", "head\np"),
     ("<div><a href=x>menu</a> <a>two</a></div><div>Real <a>content</a> here</div>", "Real content here"),
+    ("<div class='content with-sidebar'><article class='post sidebar-right'><div class='post-header'><h1>T</h1><i>x</i></div><p>t</div><div class=sidebar>s</div>", "T\nt"),
+    ("<div id=comments><article class=comment-body>c</article></div><article>a<div class='related-posts wrapper'>r</div></article>", "a"),
     ("<table><tr><td>1<td>2</tr><tr><td>3</table>", "1 2\n3"),
     ("plain <b>te</b>xt &lt;tag&gt; &#233; &eacute;", "plain text <tag> é é"),
     ("<p>open <!-- never closed <p>gone", "open"),
