@@ -43,6 +43,8 @@ def write_texts(df: DataFrame, path: str = "output_path", text: str = "text") ->
                     where, inner = fs.FileSystem.from_uri(p)
                     with where.open_output_stream(f"{inner}.{attempt}.tmp") as out:
                         out.write(data)
+                    if where.get_file_info(inner).type != fs.FileType.NotFound:
+                        where.delete_file(inner)  # some stores don't rename over a file
                     where.move(f"{inner}.{attempt}.tmp", inner)
                     sizes.append(len(data))
                     errors.append(None)
