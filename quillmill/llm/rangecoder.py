@@ -342,6 +342,8 @@ def _put(uri: str, data: bytes, attempt: int) -> None:
     where.create_dir(path.rsplit("/", 1)[0], recursive=True)
     with where.open_output_stream(f"{path}.{attempt}.tmp") as out:
         out.write(data)
+    if where.get_file_info(path).type != fs.FileType.NotFound:
+        where.delete_file(path)  # of a lost attempt, with the same bytes; some stores don't rename over a file
     where.move(f"{path}.{attempt}.tmp", path)
 
 
