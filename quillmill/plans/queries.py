@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quillmill.functions import charsets
 from quillmill.operators import joiner, lines, rules
 from quillmill.plans import pipeline
+from quillmill.session import spread
 from quillmill.sources import files, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,7 @@ CHOSEN = [SCHEMES[3].name, SCHEMES[0].name, SCHEMES[7].name]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
 def mapped(text: Column) -> Column:

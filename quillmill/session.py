@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "quillmill", **conf: str) -> SparkSession:
@@ -12,3 +12,10 @@ def session(app: str = "quillmill", **conf: str) -> SparkSession:
     for k, v in {**settings, **conf}.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows out where they come from fewer files than the cluster has cores: a file of one row group is one task, however
+    small the splits. A table of many files is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df._jdf.inputFiles()) < cores else df

@@ -30,7 +30,8 @@ def test_query(spark, con, name):
 
 def test_pipeline_does_not_shuffle(spark):
     plan = queries.pipeline_full(spark, DATA)._jdf.queryExecution().executedPlan().toString()
-    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+    # at most the one that deals out a small file
+    assert plan.count("Exchange") == plan.count("REPARTITION_BY_NUM") <= 1 and plan.count("ArrowEvalPython") == 1
 
 
 def test_entry(spark):
