@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, dedup, html, langid, ngramjoin, packing, quality, rangecoder, simhash, tokencount, workspace
+from quillmill.session import spread
 
 MULTI_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,7 +18,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     workspace.bound_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
