@@ -23,6 +23,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.select(F.col("e.b").alias("a"), F.col("e.m").alias("b")).where("a <> b")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node but the roots has one edge (a > b), to a root: then the edges are the components."""
+    rows, nodes = edges.agg(F.count(F.lit(1)), F.count_distinct("a")).head()
+    return rows == nodes and edges.select(F.col("b").alias("a")).distinct().join(edges, "a", "left_semi").isEmpty()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (the smallest node that it is connected with) for every node with an edge.
 
@@ -31,14 +37,8 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     plain = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = workspace.stage(plain, "edges")
-    before: tuple = ()
-    while True:
+    while not _stars(now):
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         grown = _star(both, large=True).distinct()
         now = workspace.stage(_star(grown, large=False).distinct(), "edges")
-        # at the fixed point each node has one edge, to its root, and the edges no longer change
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.count_distinct("a")).head()
-        if tuple(mark) == before or not mark[0]:
-            break
-        before = tuple(mark)
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
