@@ -97,7 +97,8 @@ def _names(rows: DataFrame, words: int) -> DataFrame:
 
 def _hit_counts(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """name and hits: how many prefix shingles of a set are in another set's prefix."""
-    parts = 4 * workspace.task_count(rows.sparkSession)
+    tasks = workspace.task_count(rows.sparkSession)
+    parts = 4 * tasks
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes: list[np.ndarray] = []
@@ -105,15 +106,10 @@ def _hit_counts(rows: DataFrame, words: int, percent: int) -> DataFrame:
         seen: set[int] = set()
         size = 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             h, o = np.concatenate(hashes), np.concatenate(owners)
-            # ranges of hashes: the prefixes hold small hashes, so ranges follow the low bits
-            part = (h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            h, o = h[order], o[order]
-            full = np.flatnonzero(np.diff(edges))
-            return pa.RecordBatch.from_pydict({"part": pa.array(full, pa.int32()), "entries": pa.array([h[edges[p] : edges[p + 1]].tobytes() + o[edges[p] : edges[p + 1]].tobytes() for p in full], pa.binary())})
+            # prefixes hold small hashes, so the low bits say where one goes
+            return _packed(h.view(np.int64), o, (h % np.uint64(parts)).astype(np.int64), parts)
 
         for b in batches:
             for s in shingle_sets(b.column("t").to_pylist(), words):
@@ -129,21 +125,16 @@ def _hit_counts(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 owners.append(np.full(len(prefix), name, np.int64))
                 size += len(prefix)
             if size > HELD:
-                yield flush()
+                yield from flush()
                 hashes, owners, seen, size = [], [], set(), 0
         if size:
-            yield flush()
+            yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, owners = [], []
-        for b in batches:
-            for raw in b.column("entries").to_pylist():
-                half = len(raw) // 2
-                hashes.append(np.frombuffer(raw, np.uint64, half // 8))
-                owners.append(np.frombuffer(raw, np.int64, half // 8, half))
-        if not hashes:
+        found = [_unpacked(raw) for b in batches for raw in b.column("entries").to_pylist()]
+        if not found:
             return
-        h, o = np.concatenate(hashes), np.concatenate(owners)
+        h, o = np.concatenate([x for x, _ in found]).view(np.uint64), np.concatenate([y for _, y in found])
         order = np.argsort(h, kind="stable")
         h, o = h[order], o[order]
         first = np.ones(len(h), bool)
@@ -154,12 +145,36 @@ def _hit_counts(rows: DataFrame, words: int, percent: int) -> DataFrame:
         shared = np.repeat(low != high, np.diff(np.append(head, len(h))))
         pairs = np.unique(np.stack([o[shared], h[shared].view(np.int64)], axis=1), axis=0) if shared.any() else np.zeros((0, 2), np.int64)
         names, hits = np.unique(pairs[:, 0], return_counts=True)
+        yield from _packed(names.astype(np.int64), hits.astype(np.int64), (names % tasks).astype(np.int64), tasks)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [_unpacked(raw) for b in batches for raw in b.column("entries").to_pylist()]
+        if not found:
+            return
+        names, at = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+        hits = np.bincount(at, weights=np.concatenate([y for _, y in found])).astype(np.int64)
         step = 1 << 16
         for a in range(0, len(names), step):
-            yield pa.RecordBatch.from_arrays([pa.array(names[a : a + step]), pa.array(hits[a : a + step].astype(np.int64))], ["name", "hits"])
+            yield pa.RecordBatch.from_arrays([pa.array(names[a : a + step]), pa.array(hits[a : a + step])], ["name", "hits"])
+
+    kind = "part int, entries binary"
+    dealt = rows.mapInArrow(send, kind).repartition(tasks, "part").mapInArrow(meet, kind)
+    return dealt.repartition(tasks, "part").mapInArrow(add, "name long, hits long")
+
+
+def _packed(first: np.ndarray, second: np.ndarray, part: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Two columns of 64-bit numbers as one packed row for each part that has any: never more rows than entries."""
+    order = np.argsort(part, kind="stable")
+    first, second = first[order], second[order]
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(edges))
+    packed = [first[edges[p] : edges[p + 1]].tobytes() + second[edges[p] : edges[p + 1]].tobytes() for p in full]
+    yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(packed, pa.binary())], ["part", "entries"])
+
 
-    dealt = rows.mapInArrow(send, "part int, entries binary").repartition(workspace.task_count(rows.sparkSession), "part")
-    return dealt.mapInArrow(meet, "name long, hits long").groupBy("name").agg(F.sum("hits").alias("hits"))
+def _unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    half = len(raw) // 2
+    return np.frombuffer(raw, np.int64, half // 8), np.frombuffer(raw, np.int64, half // 8, half)
 
 
 def _sets(rows: DataFrame, words: int) -> DataFrame:
