@@ -135,16 +135,16 @@ def _hit_counts(rows: DataFrame, words: int, percent: int) -> DataFrame:
         if not found:
             return
         h, o = np.concatenate([x for x, _ in found]).view(np.uint64), np.concatenate([y for _, y in found])
-        order = np.argsort(h, kind="stable")
+        del found
+        order = np.lexsort((o, h))
         h, o = h[order], o[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])  # a set may come from several tasks
+        h, o = h[new], o[new]
         first = np.ones(len(h), bool)
         first[1:] = h[1:] != h[:-1]
-        head = np.flatnonzero(first)
-        # lists with two different owners
-        low, high = np.minimum.reduceat(o, head), np.maximum.reduceat(o, head)
-        shared = np.repeat(low != high, np.diff(np.append(head, len(h))))
-        pairs = np.unique(np.stack([o[shared], h[shared].view(np.int64)], axis=1), axis=0) if shared.any() else np.zeros((0, 2), np.int64)
-        names, hits = np.unique(pairs[:, 0], return_counts=True)
+        length = np.diff(np.append(np.flatnonzero(first), len(h)))
+        names, hits = np.unique(o[np.repeat(length > 1, length)], return_counts=True)
         yield from _packed(names.astype(np.int64), hits.astype(np.int64), (names % tasks).astype(np.int64), tasks)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

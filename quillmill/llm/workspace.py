@@ -42,7 +42,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
+def bound_batches(spark: SparkSession, rows: int = 500) -> None:
     """Keep Arrow batches small, so that a batch of long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
