@@ -14,8 +14,15 @@ def session(app: str = "quillmill", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+#: Bytes under which a table of few files is likely to be few row groups.
+SMALL_TABLE = 64 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows out where they come from fewer files than the cluster has cores: a file of one row group is one task, however
-    small the splits. A table of many files is left as it is, without a shuffle."""
+    """Deal the rows of a small table out where they come from fewer files than the cluster has cores: a file of one row group is
+    one task, however small the splits. Larger tables, and those of more files, are left as they are, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < len(df._jdf.inputFiles()) < cores else df
+    if not 0 < len(df._jdf.inputFiles()) < cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df.repartition(cores) if size < SMALL_TABLE else df
