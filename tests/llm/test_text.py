@@ -181,6 +181,17 @@ def test_template_of_a_host():
     assert html.extract_group([page(k) for k in range(3)])[2].startswith("Welcome")
 
 
+def test_copies_are_no_template():
+    copy = lambda k: f"<body><div>Site</div><script>track({k})</script><article><h1>Same</h1><p>Copied text</p></article></body>"
+    other = lambda k: f"<body><div>Site</div><article><h1>Other {k}</h1><p>By us</p><p>Own text {k}</p></article></body>"
+    found = html.extract_group([copy(k) for k in range(92)] + [other(k) for k in range(8)])
+    assert found == ["Same\nCopied text"] * 92 + [f"Other {k}\nBy us\nOwn text {k}" for k in range(8)]
+    # a template's node that says something else on a page, and articles of which only template would be left
+    page = lambda k, foot: f"<article><h1>Story {k}</h1><div>{foot}</div></article>"
+    found = html.extract_group([page(k, "All rights") for k in range(20)] + [page(20, "Corrected"), "<article><div>All rights</div></article>"])
+    assert found[3] == "Story 3" and found[20:] == ["Story 20\nCorrected", "All rights"]
+
+
 def test_alignment_by_brute_force():
     pick = random.Random(4)
 
