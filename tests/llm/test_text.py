@@ -175,6 +175,23 @@ def test_page(page, want):
     assert html.extract_group([page])[0] == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><h2 id='search-results'>Results</h2><section id='discussion'><p>We discuss</p></section><section id=related-work>Others</section><p id='notice-period'>One month<ul><li id=menu-3>item</ul></article>", "Results\nWe discuss\nOthers\nOne month\nitem"),
+        ("<main><div class='row with-sidebar'><h1>T</h1><p>text</p><div class=sidebar>s</div></div></main>", "T\ntext"),
+        ("<main><div class='sidebar-layout'><p>text</p></div></main>", "text"),
+        ("<article><p>long text<div class='row no-ads'>short</div><div class='ad-container'>buy</div></article>", "long text\nshort"),
+        ("<article><p>text<div class=discussion><p>We <a href=x>found</a> that it holds</div><div class=share>Share: <a>one site</a> <a>another site</a></div></article>", "text\nWe found that it holds"),
+        ("<body><h2 id=search-results>Results</h2><p>text</p><section id=discussion>We discuss</section></body>", "Results\ntext\nWe discuss"),
+        ("<main><section id=discussion><article>text</article></section></main>", "text"),
+        ("<article><p>a<section id=comments>c</section><div class='share-buttons'>x</div><div role=search>q</div><div class='row related-posts'>r</div></article>", "a"),
+    ],
+)
+def test_names_of_parts_of_articles(page, want):
+    assert html.extract_group([page])[0] == want
+
+
 def test_template_of_a_host():
     page = lambda k: f"<body><div>Welcome to the site</div><div class=x>Story {k}</div><p>Text {k} of many</p><div>All rights</div></body>"
     assert html.extract_group([page(k) for k in range(8)])[3] == "Story 3\nText 3 of many"
