@@ -8,7 +8,9 @@ A text is cut into words: runs of letters and marks of one script. Three steps l
 3. *Viterbi* over the words with a penalty for every switch gives the best sequence of languages. All texts of a group step
    through their words together, as rows of one array.
 
-Runs of words of one language are spans; the language with the most letters is the text's.
+Runs of words of one language are spans; the language with the most letters is the text's. How well its words fit that language
+is measured apart, since some language is always the best: their mean log-probability by n-gram is set between that of the
+training text (1) and that of n-grams never seen (0).
 """
 
 from __future__ import annotations
@@ -108,14 +110,22 @@ def ngram_buckets(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """languages; table: (buckets, languages) log-probabilities; writes: (scripts, languages) booleans."""
+    """languages; table: (buckets, languages) log-probabilities; writes: (scripts, languages) booleans; levels: (3, languages), the
+    log-probability of an n-gram never seen, and mean and standard deviation of those of the training text's n-grams."""
 
     languages: tuple[str, ...]
     table: np.ndarray
     writes: np.ndarray
+    levels: np.ndarray
+
+    def fit(self, language: int, log: float, grams: int, words: int) -> float:
+        """How well words fit a language, from the sum of their n-grams' log-probabilities; few words have the benefit of the doubt,
+        one standard error by words."""
+        unseen, mean, deviation = self.levels[:, language].tolist()
+        return float(np.clip((log / grams + deviation / np.sqrt(words) - unseen) / max(mean - unseen, 1e-9), 0, 1))
 
     def digest(self) -> str:
-        return hashlib.sha256(repr(self.languages).encode() + self.table.tobytes() + self.writes.tobytes()).hexdigest()
+        return hashlib.sha256(repr(self.languages).encode() + self.table.tobytes() + self.writes.tobytes() + self.levels.tobytes()).hexdigest()
 
 
 class Labeller:
@@ -128,9 +138,11 @@ class Labeller:
     def _reset(self) -> None:
         self.cache = vectext.SliceTable()
         self.scores = np.zeros((0, len(self.model.languages)), np.float32)
+        self.logs, self.grams = np.zeros((0, len(self.model.languages)), np.float32), np.zeros(0, np.int32)
 
-    def score_new(self, tokens: list[str], script: np.ndarray) -> np.ndarray:
-        """Scores of words: the best candidate has 0, the others less; what doesn't write the script has the cap."""
+    def score_new(self, tokens: list[str], script: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of words: the best candidate has 0, the others less; what doesn't write the script has the cap. Also the sums of
+        the log-probabilities of their n-grams, and the numbers of these."""
         bucket, owner = ngram_buckets(tokens)
         order = np.argsort(owner, kind="stable")
         bucket, owner = bucket[order], owner[order]
@@ -142,7 +154,7 @@ class Labeller:
         writes = np.where(writes.any(axis=1, keepdims=True), writes, True)
         score = np.where(writes, score, -np.inf)
         score -= score.max(axis=1, keepdims=True)
-        return np.maximum(score, -WORD_CAP).astype(np.float32)
+        return np.maximum(score, -WORD_CAP).astype(np.float32), total, grams[:, 0].astype(np.int32)
 
     def rows(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cache rows, parts and lengths of the words."""
@@ -155,21 +167,24 @@ class Labeller:
         if len(miss):
             new, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
             where = miss[where]
-            fresh = self.score_new([joined[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())], script[where])
+            fresh, logs, grams = self.score_new([joined[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())], script[where])
             row[miss] = self.cache.add(new)[back]
             self.scores = np.concatenate([self.scores, fresh])
+            self.logs, self.grams = np.concatenate([self.logs, logs]), np.concatenate([self.grams, grams])
         return row, part, end - begin
 
-    def label(self, texts: list) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each text the language (index) and the letters of every word, in order."""
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+    def label(self, texts: list) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each text the language (index) and the letters of every word, in order, and the log-probability in that language and
+        the number of its n-grams."""
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         held: list[list] = []
         size = 0
 
         def flush() -> None:
             rows = [np.concatenate(x[0]) if x[0] else np.zeros(0, np.int32) for x in held]
             sizes = [np.concatenate(x[1]) if x[1] else np.zeros(0, np.int64) for x in held]
-            out.extend(zip(viterbi(rows, self.scores), sizes))
+            paths = viterbi(rows, self.scores)
+            out.extend((path, size, self.logs[row, path], self.grams[row]) for path, size, row in zip(paths, sizes, rows))
 
         for parts, owner in vectext.segments(texts):
             if size > GROUP_WORDS and owner[0] >= len(out) + len(held):  # a new text begins
@@ -284,41 +299,48 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: i
         for r in picked.repartition(8).mapInArrow(tally, "l string, grams binary, scripts binary").toLocalIterator():
             table[index[r["l"]]] += np.frombuffer(bytes(r["grams"]), np.float64)
             letters[:, index[r["l"]]] += np.frombuffer(bytes(r["scripts"]), np.float64)
-    table = np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    total = table.sum(axis=1, keepdims=True)
+    seen = (table - 1) / np.maximum(total - buckets, 1)
+    log = np.log(table / total)
+    mean = (seen * log).sum(axis=1)
+    levels = np.stack([-np.log(total[:, 0]), mean, np.sqrt(np.maximum((seen * log**2).sum(axis=1) - mean**2, 0))])
+    table = log.T.astype(np.float32)
     writes = letters >= np.maximum(1, 0.001 * letters.sum(axis=0, keepdims=True))
-    return Model(languages, np.ascontiguousarray(table), writes)
+    return Model(languages, np.ascontiguousarray(table), writes, levels)
 
 
 def with_spans(df: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
-    """Add a struct: ``lang`` (string), ``score`` (double, the share of the text's letters in words of that language, 0 to 1) and
-    ``spans`` (array of lang and letters: the runs of words of one language in order).
+    """Add a struct: ``lang`` (string), ``score`` (double, the share of the text's letters in words of that language, 0 to 1), ``fit``
+    (double, 0 to 1: how well those words fit the language) and ``spans`` (array of lang and letters: the runs of words of one
+    language in order).
 
-    ``lang`` is the language with the most letters, ties going to the first in order; ``und`` with score 0 and no spans where the
+    ``lang`` is the language with the most letters, ties going to the first in order; ``und`` with score and fit 0 and no spans where the
     text is null or has no letter, or the model knows no language. Other columns pass through; a column named like the output
     is replaced. Row by row, without a shuffle."""
     workspace.bound_batches(df.sparkSession)
     shipped = df.sparkSession.sparkContext.broadcast(model)
 
-    @F.arrow_udf("struct<lang:string,score:double,spans:array<struct<lang:string,letters:long>>>")
+    @F.arrow_udf("struct<lang:string,score:double,fit:double,spans:array<struct<lang:string,letters:long>>>")
     def label(texts: pa.Array) -> pa.Array:
         model = shipped.value
         rows = []
         given = texts.to_pylist()
         if not model.languages:
-            return pa.array([{"lang": UNKNOWN, "score": 0.0, "spans": []} for _ in given], pa.struct(_FIELDS))
-        for text, (path, size) in zip(given, labeller(model).label(given)):
+            return pa.array([{"lang": UNKNOWN, "score": 0.0, "fit": 0.0, "spans": []} for _ in given], pa.struct(_FIELDS))
+        for text, (path, size, log, grams) in zip(given, labeller(model).label(given)):
             total = np.bincount(path, weights=size, minlength=len(model.languages))
             if not len(path) or not has_letter()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any():
-                rows.append({"lang": UNKNOWN, "score": 0.0, "spans": []})
+                rows.append({"lang": UNKNOWN, "score": 0.0, "fit": 0.0, "spans": []})
                 continue
             best = int(total.argmax())
+            own = path == best
             edges = np.flatnonzero(np.diff(path)) + 1
             first = np.concatenate([[0], edges])
             spans = [{"lang": model.languages[k], "letters": int(n)} for k, n in zip(path[first].tolist(), np.add.reduceat(size, first).tolist())]
-            rows.append({"lang": model.languages[best], "score": float(total[best] / total.sum()), "spans": spans})
+            rows.append({"lang": model.languages[best], "score": float(total[best] / total.sum()), "fit": model.fit(best, float(log[own].sum(dtype=float)), int(grams[own].sum()), int(own.sum())), "spans": spans})
         return pa.array(rows, pa.struct(_FIELDS))
 
     return df.withColumn(out, label(F.col(text)))
 
 
-_FIELDS = [("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("letters", pa.int64())])))]
+_FIELDS = [("lang", pa.string()), ("score", pa.float64()), ("fit", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("letters", pa.int64())])))]

@@ -130,6 +130,17 @@ def test_spans_and_odd_rows(spark, odd, none):
     assert list(itertools.chain()) == []
 
 
+def test_texts_of_no_learned_language_are_rejected(spark, small):
+    import corpus_pipeline
+
+    pick = random.Random(3)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "lang")
+    gibberish = " ".join("".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(60))
+    extra = [(10**9, gibberish, None), (10**9 + 1, "и в не на что он быть с как это по но они мы этот который " * 4, None), (10**9 + 2, "".join(chr(pick.randint(0x4E00, 0x9FFF)) for _ in range(200)), None)]
+    kept = {r["doc_id"] for r in corpus_pipeline.language(spark, docs.union(spark.createDataFrame(extra, docs.schema)), small).collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
 # --- quality ---------------------------------------------------------------------------------------------------------
 
 
