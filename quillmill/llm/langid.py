@@ -52,7 +52,7 @@ BUCKET_BITS = 16
 SWITCH = 12.0
 #: The most that one word adds for a language over another.
 WORD_CAP = 6.0
-#: Texts whose counts make the model, about as many for each language.
+#: Distinct texts whose counts make the model, at most, for each language.
 SAMPLE = 2000
 #: Words of a group of texts that step together.
 GROUP_WORDS = 1 << 20
@@ -262,21 +262,52 @@ def labeller(model: Model) -> Labeller:
     return _LABELLERS[key]
 
 
+def _last_hashes(rows: DataFrame, counts: dict[str, int], sample: int) -> dict[str, int]:
+    """For each language the ``sample``-th smallest distinct hash, or the largest if there are fewer. ``counts``: the languages'
+    distinct hashes, about."""
+    share = {x: min(1.0, 2 * sample / max(n, 1)) for x, n in counts.items()}
+    last: dict[str, int] = {}
+    while share:
+        bound = F.create_map(*[F.lit(y) for x, s in share.items() for y in (x, min((1 << 63) - 1, int(s * 2.0**64) - (1 << 63)))])
+        found: dict[str, list[int]] = {x: [] for x in share}
+        for r in rows.where(F.col("h") <= bound[F.col("l")]).select("l", "h").distinct().collect():
+            found[r["l"]].append(r["h"])
+        for x, hashes in found.items():
+            if len(hashes) >= sample or share[x] == 1:
+                last[x] = sorted(hashes)[: max(sample, 1)][-1]
+        # a language that drew too few is drawn from more of its texts
+        share = {x: min(1.0, 4 * s) for x, s in share.items() if x not in last}
+    return last
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model from rows with a text and a language, of which about ``sample`` for each language are used (a bound: rows are taken
-    by a hash of the text, at the rate that the language's number of rows calls for). Null languages and texts are left out.
-    Without any row the model knows no language. What reaches the driver is one array of counts for each task and language."""
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l")).where("t IS NOT NULL AND l IS NOT NULL")
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).collect()}
+    """A model from rows with a text and a language. Of each language the ``sample`` distinct texts with the smallest hashes are used
+    (a bound), or all if it has no more; copies of a text count once. Null languages and texts are left out.
+    Without any row the model knows no language. What reaches the driver is about two hashes for each text of the sample, and one
+    array of counts for each task and language."""
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(F.col(text)).alias("h")).where("t IS NOT NULL AND l IS NOT NULL")
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}
     languages = tuple(sorted(counts))
     index = {x: k for k, x in enumerate(languages)}
     buckets, scripts = 1 << BUCKET_BITS, len(SCRIPTS) + 2
     table = np.ones((len(languages), buckets), np.float64)
     letters = np.zeros((scripts, len(languages)), np.float64)
     if languages:
-        million = 1_000_000
-        rate = F.create_map(*[x for l, n in counts.items() for x in (F.lit(l), F.lit(min(million, -(-million * sample // n))))])
-        picked = rows.where(F.pmod(F.xxhash64("t"), F.lit(million)) < rate[F.col("l")])
+        last = _last_hashes(rows, counts, sample)
+        picked = rows.where(F.col("h") <= F.create_map(*[F.lit(x) for pair in last.items() for x in pair])[F.col("l")])
+
+        def first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # a text with very many copies is sent on once by each task; at most ``sample`` hashes a language are held
+            seen: set[tuple[str, int]] = set()
+            for batch in batches:
+                new = []
+                for k, key in enumerate(zip(batch.column("l").to_pylist(), batch.column("h").to_pylist())):
+                    if key not in seen:
+                        seen.add(key)
+                        new.append(k)
+                yield batch.take(pa.array(new, pa.int64()))
+
+        picked = picked.mapInArrow(first_of_each, "t string, l string, h long").dropDuplicates(["l", "h"]).select("t", "l")
 
         def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[str, list[np.ndarray]] = {}

@@ -130,6 +130,20 @@ def test_spans_and_odd_rows(spark, odd, none):
     assert list(itertools.chain()) == []
 
 
+def test_training_sample_is_of_distinct_texts(spark):
+    rows = [("the copied text of this house", "en")] * 500 + [(f"the other text number {chr(97 + k % 26)}{chr(97 + k // 26)} with thing", "en") for k in range(60)]
+    rows += [("der und nicht schön", "de")] * 300 + [("ein haus über straße", "de")] * 300
+    once = langid.train(spark.createDataFrame(sorted(set(rows)), "text string, lang string"), sample=5)
+    assert langid.train(spark.createDataFrame(rows, "text string, lang string"), sample=5).digest() == once.digest()
+    for sample in (1, 5):
+        model = langid.train(spark.createDataFrame(rows, "text string, lang string"), sample=sample)
+        assert model.languages == ("de", "en") and model.writes[1].all()
+        # n-grams counted: of as many texts as the bound allows, at most
+        counted = np.exp(-model.levels[0]) - (1 << langid.BUCKET_BITS)
+        lengths = {lang: sorted(len(langid.ngram_buckets(t.split())[0]) for t, x in set(rows) if x == lang)[-sample:] for lang in model.languages}
+        assert 0 < counted[0] <= sum(lengths["de"]) + 0.5 and 0 < counted[1] <= sum(lengths["en"]) + 0.5
+
+
 def test_texts_of_no_learned_language_are_rejected(spark, small):
     import corpus_pipeline
 
