@@ -25,8 +25,8 @@ from quillmill.llm import workspace
 PIECE, TRAIN_PIECE = 1024, 512
 DICTIONARY = 1 << 16
 LEVEL = 3
-#: Labelled texts of each class that are used, and training pieces taken from each, evenly spread over the whole text.
-SAMPLE, PIECES = 3000, 24
+#: Labelled texts of each class that are used, each whole.
+SAMPLE = 3000
 #: The share of good texts that lie below the floor.
 FLOOR = 0.01
 
@@ -100,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model from the texts of ``docs`` that ``labels`` marks 1 or 0.
 
     At most ``sample`` labelled keys of each class are used (a bound), those with the smallest hash of the key; half of them build
-    the dictionaries and half fit the curve. Null labels, keys and texts are left out. With no text of one class the
+    the dictionaries, from all pieces of their texts, and half fit the curve. Null labels, keys and texts are left out. With no text of one class the
     score is the share of label 1 among the labels, or 0.5 without labels.
     """
     spark = docs.sparkSession
@@ -117,9 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
         out = []
         for t in texts.to_pylist():
             data = t.encode("utf-8", "surrogatepass")
-            at = range(0, len(data), TRAIN_PIECE)
-            keep = at if len(at) <= PIECES else [at[int(i)] for i in np.linspace(0, len(at) - 1, PIECES)]
-            out.append([data[k : k + TRAIN_PIECE] for k in keep])
+            out.append([data[k : k + TRAIN_PIECE] for k in range(0, len(data), TRAIN_PIECE)])
         return pa.array(out, pa.list_(pa.binary()))
 
     pieces: dict[int, list[bytes]] = {0: [], 1: []}

@@ -177,6 +177,15 @@ def test_quality_of_odd_rows(spark, odd, none):
     assert quality.with_score(none, model).count() == 0
 
 
+def test_dictionaries_see_whole_texts(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(quality, "_dictionary", lambda pieces: given.append(pieces) or b"".join(pieces)[:1000])
+    texts = [" ".join(f"{side}{k}" for k in range(9000)) for side in "abcd"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int"))
+    assert len(given) == 2 and all(b"".join(p).decode() in texts for p in given)
+
+
 # --- html ------------------------------------------------------------------------------------------------------------
 
 PAGES = [
