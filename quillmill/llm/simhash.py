@@ -192,9 +192,19 @@ def distance(a: Column, b: Column) -> Column:
     return F.bit_count(half(a, 0).bitwiseXOR(half(b, 0))) + F.bit_count(half(a, 1).bitwiseXOR(half(b, 1)))
 
 
-def near_pairs(df: DataFrame, prints: str = "fingerprint", radius: int = 6, extra: int = 2) -> DataFrame:
-    """All pairs of different fingerprints of ``df`` within ``radius`` bits: ``a`` < ``b`` (string) and ``bits`` (int), each pair once.
-    Null fingerprints pair with nothing; repeated ones count once; join ``a`` and ``b`` back to ``df`` for the rows."""
+def radius_of(jaccard: float) -> int:
+    """Bits within which lie nearly all fingerprints (two standard deviations above the mean) of texts of one length whose sets of
+    terms have so large a Jaccard likeness: 2 j / (1 + j) is their cosine, and bits differ by the share of the angle in pi."""
+    share = np.arccos(min(1.0, 2 * jaccard / (1 + jaccard))) / np.pi
+    return int(np.ceil(BITS * share + 2 * np.sqrt(BITS * share * (1 - share))))
+
+
+def near_pairs(df: DataFrame, prints: str = "fingerprint", radius: int | None = None, extra: int = 2, jaccard: float = 0.8) -> DataFrame:
+    """All pairs of different fingerprints of ``df`` within ``radius`` bits, by default those for a likeness of ``jaccard``: ``a`` < ``b``
+    (string) and ``bits`` (int), each pair once. Null fingerprints pair with nothing; repeated ones count once; join ``a`` and
+    ``b`` back to ``df`` for the rows. The wider the radius, the shorter the blocks and the more pairs are compared: at the default
+    each key is 8 bits or a little more, so the work grows with the square of the table."""
+    radius = radius_of(jaccard) if radius is None else radius
     distinct = df.where(F.col(prints).isNotNull()).select(F.col(prints).alias("f")).distinct()
     parts = _blocks(F.col("f"), radius + extra)
     tables = [F.concat_ws(":", F.lit(str(n)), *[parts[k] for k in chosen]) for n, chosen in enumerate(combinations(range(radius + extra), extra))]

@@ -84,6 +84,33 @@ def test_near_pairs(spark):
     assert prints[1]["fingerprint"] == "0" * 32 and len(prints[0]["fingerprint"]) == 32
 
 
+def test_near_pairs_of_near_copies(spark, small):
+    def terms(words):
+        return {tuple(words[k : k + simhash.TERM]) for k in range(len(words) - simhash.TERM + 1)}
+
+    pick = random.Random(11)
+    texts, copies = [], []
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id IS NOT NULL AND text IS NOT NULL").orderBy("doc_id")
+    for r in docs.limit(60).collect():
+        words = r["text"].lower().split()
+        if len(terms(words)) < 80:
+            continue
+        # from a place on, words are others: as many as leave a likeness of 0.8 at least
+        cut = len(words) // 12
+        at = pick.randrange(len(words) - cut)
+        other = words[:at] + [f"new{pick.randrange(10**6)}" for _ in range(cut)] + words[at + cut :]
+        a, b = terms(words), terms(other)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            texts += [" ".join(words), " ".join(other)]
+            copies.append((len(texts) - 2, len(texts) - 1))
+    prints = simhash.hexed(simhash.fingerprints(texts))
+    df = spark.createDataFrame([(p,) for p in prints], "fingerprint string")
+    got = {(r["a"], r["b"]) for r in simhash.near_pairs(df).collect()}
+    radius, ordered = simhash.radius_of(0.8), sorted(set(prints))
+    assert got == {(a, b) for i, a in enumerate(ordered) for b in ordered[i + 1 :] if bin(int(a, 16) ^ int(b, 16)).count("1") <= radius}
+    assert len(copies) >= 15 and np.mean([prints[a] == prints[b] or tuple(sorted((prints[a], prints[b]))) in got for a, b in copies]) > 0.9
+
+
 # --- language --------------------------------------------------------------------------------------------------------
 
 
