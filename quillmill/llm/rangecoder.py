@@ -1,20 +1,24 @@
 """Token-id files: an adaptive context-mixing range coder over blocks that are reset and checked one by one.
 
-*Model.* Ids are ranked by their number in the file. Two tables predict the next rank from the last two (order 2) and from the last
-one (order 1), each with a confidence. A first decision says which prediction holds, or none; its distribution mixes one that
-depends on the order-2 confidence with one that depends on the order-1 confidence. Where none holds, the rank follows: its
-octave under the mean of an adaptive order-0 distribution and an adaptive one that depends on the last rank, then its place
-in the octave, where ranks are about as frequent as one another. All distributions are cumulative tables of 15 bits that move
-a fraction of the way to each symbol coded.
+*Predictions.* Ids are ranked by their number in the chunk. Order 2 and order 1 each predict one rank from a table by the last two ranks or
+the last one, with a confidence from 0 to 3; only the ranks below NEVER are predicted. Order 0 is a distribution over classes of
+ranks: the first eight ranks alone, then quarters of an octave, of at most 4096 ranks; ranks of a class count as equally frequent.
 
-*Coder.* A range coder with 16-bit words: a range of 32 to 48 bits, carries kept in the words until the end.
+*Mixing.* The probability of a rank is w2 [order 2 predicts it] + w1 [order 1 predicts it] + w0 (order 0). The weights depend on both confidences
+and adapt: they follow how often each order was the one to name the id so far in the block. So does the distribution over the
+classes. Both are renewed at the end of windows of 32, 64 and then 128 ids, from what encoder and decoder have both seen.
 
-*Blocks.* Each begins with empty tables, so a damaged block costs no other. All blocks of a group are coded in lockstep: step t
-codes the t-th id of every block, as rows of arrays, in the encoder and the decoder alike.
+*Coder.* A range coder with a range of 31 to 63 bits and words of 32 bits, carries kept in the words until the end.
 
-File layout (little-endian): ``QMID`` magic, format (u16), flags (u16), number of documents (u32), of blocks (u32), of ids (u64); for each document
-its identifier (i64), a null mark (u8) and its ids (u32); for each block its ids (u32), its words (u32), CRC-32 of its words (u32) and of its ids (u32); the
-number of ranks (u32) and the id of each (u16); CRC-32 of all of that (u32); the words of the blocks.
+*Blocks.* Each begins with empty tables and weights and the chunk's frequencies of the classes, so a damaged block costs no other. All
+blocks of a group are coded in lockstep: step t codes the t-th id of every block, as rows of arrays, in the encoder and the decoder
+alike. The encoder, which knows the ids, looks up probabilities for BATCH steps at once.
+
+*Files* are chunks one after another, each of about CHUNK ids and at least one document, so memory is bounded on both sides and chunks are read
+apart from one another. A chunk (little-endian): ``QMID`` magic, format (u16), flags (u16), number of documents (u32), of blocks (u32), of
+ids (u64); for each document its identifier (i64), a null mark (u8) and its ids (u32); for each block its ids (u32), its words (u32), CRC-32
+of its words (u32) and of its ids (u32); the number of ids in each class (64 u32); the number of ranks (u32) and the id of each (u16); CRC-32
+of all of that (u32); the words of the blocks.
 """
 
 from __future__ import annotations
@@ -28,221 +32,333 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, workspace
 
-MAGIC, FORMAT = b"QMID", 1
+MAGIC, FORMAT = b"QMID", 2
 _HEAD = struct.Struct("<4sHHIIQ")
-#: Ids in a block: as many as give LANES blocks, within these bounds.
-SMALLEST, LARGEST, LANES = 1024, 8192, 2048
-#: Blocks that are coded in lockstep.
-GROUP = 4096
-BITS = 15
-TOTAL = 1 << BITS
-RATE = 5
-#: The range never falls below this.
-_FLOOR = 1 << 32
+#: Ids in a block, and blocks that are coded in lockstep: a chunk has the shortest blocks that make one group of it.
+SMALLEST, LARGEST, GROUP = 1024, 2048, 4096
+#: Ids from which a chunk is full, and chunks of a file.
+CHUNK, FILE_CHUNKS = LARGEST * GROUP, 32
 #: Ids must be below this.
 LIMIT = 1 << 16
-_CONTEXT_BITS = 10  # of the order-1 and order-2 tables
-_AFTER = 32  # tables of the octave by last rank
-#: What a cumulative table moves to when a symbol is coded: every symbol keeps at least one part.
-_TARGET = np.array([[j if j <= s else TOTAL - (16 - j) for j in range(16)] for s in range(16)], np.int16)
-_EVEN = np.arange(16, dtype=np.int16) * (TOTAL // 16)
-#: The same for the decision, which has the bounds after order 2 and after order 1.
-_LOW_TARGET, _HIGH_TARGET = np.array([TOTAL - 2, 1, 1], np.int32), np.array([TOTAL - 1, TOTAL - 1, 2], np.int32)
-_BYTES = np.uint64(0x0101010101010101)
-_OCTAVE = np.maximum(np.frexp(np.arange(LIMIT).astype(float))[1] - 1, 0).astype(np.int64)
-#: First rank and bits of place of each octave; the first holds ranks 0 and 1.
-_OCTAVE_START = np.array([0, *(1 << k for k in range(1, 16))], np.int64)
-_OCTAVE_BITS = np.array([1, *range(1, 16)], np.int64)
-_OCTAVE_LAST = (1 << _OCTAVE_BITS) - 1
-
-
-class _Encoder:
-    """The range coder's writing side for a group of blocks, one lane each. ``which``: None for the first m lanes, else the lanes."""
-
-    reading = False
-
-    def __init__(self, n: int, longest: int) -> None:
-        self.low, self.range = np.zeros(n, np.int64), np.full(n, (1 << 48) - 1, np.int64)
-        self.words, self.count = np.zeros((n, 2 * longest + 8), np.uint32), np.zeros(n, np.int64)
-
-    def narrow(self, m: int, which: np.ndarray | None, start: np.ndarray, size: np.ndarray) -> None:
-        """Go on to ``size`` from ``start`` on, and write the words that are settled."""
-        at = slice(0, m) if which is None else which
-        low = self.low[at]
-        low += start
-        short = (size < _FLOOR).nonzero()[0]
-        while len(short):
-            who = short if which is None else which.take(short)
-            over, count = low.take(short), self.count.take(who)
-            if int(count.max()) >= self.words.shape[1] - 5:
-                self.words = np.concatenate([self.words, np.zeros_like(self.words)], axis=1)
-            self.words[who, count] = over >> 32
-            self.count[who] = count + 1
-            low[short] = (over & 0xFFFFFFFF) << 16
-            left = size.take(short) << 16
-            size[short] = left
-            short = short[left < _FLOOR]
-        self.low[at], self.range[at] = low, size
-
-    def finish(self) -> list[bytes]:
-        """The words of each lane, carries passed on."""
-        rows = np.arange(len(self.low))
-        for _ in range(3):
-            self.words[rows, self.count] = self.low >> 32
-            self.low = (self.low & 0xFFFFFFFF) << 16
-            self.count += 1
-        while True:
-            carry = self.words >> 16
-            if not carry.any():
-                break
-            self.words &= 0xFFFF
-            self.words[:, :-1] += carry[:, 1:]
-        words = self.words.astype("<u2")
-        return [words[k, : int(n)].tobytes() for k, n in enumerate(self.count)]
-
-
-class _Decoder:
-    """The reading side."""
-
-    reading = True
-
-    def __init__(self, blocks: list[bytes]) -> None:
-        longest = max(map(len, blocks)) // 2 + 4
-        self.words = np.zeros((len(blocks), longest), np.uint16)
-        for k, b in enumerate(blocks):
-            self.words[k, : len(b) // 2] = np.frombuffer(b, "<u2")
-        first = self.words[:, :3].astype(np.int64)
-        self.code = (first[:, 0] << 32) | (first[:, 1] << 16) | first[:, 2]
-        self.range = np.full(len(blocks), (1 << 48) - 1, np.int64)
-        self.count = np.full(len(blocks), 3, np.int64)
-
-    def narrow(self, m: int, which: np.ndarray | None, start: np.ndarray, size: np.ndarray) -> None:
-        at = slice(0, m) if which is None else which
-        code = self.code[at]
-        code -= start
-        short = (size < _FLOOR).nonzero()[0]
-        while len(short):
-            who = short if which is None else which.take(short)
-            count = self.count.take(who)
-            code[short] = (code.take(short) << 16) | self.words[who, np.minimum(count, self.words.shape[1] - 1)]
-            self.count[who] = count + 1
-            left = size.take(short) << 16
-            size[short] = left
-            short = short[left < _FLOOR]
-        self.code[at], self.range[at] = code, size
-
-
-def _run(lengths: np.ndarray, coder: _Encoder | _Decoder, ranks: np.ndarray | None) -> np.ndarray:
-    """Code the blocks (longest first) in lockstep. ``ranks``: (steps, lanes) for the encoder, None for the decoder; returned."""
-    n = len(lengths)
-    steps = int(lengths[0]) if n else 0
-    reading = coder.reading
-    out = np.zeros((steps, n), np.uint16) if ranks is None else ranks
-    live = np.searchsorted(-lengths, -np.arange(steps), "left")
-    mask = (1 << _CONTEXT_BITS) - 1
-    # an entry of a prediction table: rank and confidence 0 to 3
-    tables = [np.zeros(n << _CONTEXT_BITS, np.uint32) for _ in range(2)]
-    # bounds of the decision, the lower in the high half, by order-1 confidence and by order-2 confidence, 8 rows a lane
-    bounds = [np.full(8 * n, (TOTAL // 4 << 16) + TOTAL // 2, np.int32) for _ in range(2)]
-    octave0, octave1 = np.tile(_EVEN, (n, 1)), np.tile(_EVEN, (n * _AFTER, 1))
-    # the same memory as one item a row, which is the fast way to put rows back
-    put0, put1 = octave0.view("V32").reshape(-1), octave1.view("V32").reshape(-1)
-    lane = np.arange(n)
-    base, row = lane << _CONTEXT_BITS, lane * 8
-    last, last2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    for t in range(steps):
+#: Parts of the mixing weights and of the classes' distribution, and entries of a block's table of predictions, in bits.
+WEIGHT_BITS, CLASS_BITS, TABLE_BITS = 10, 9, 10
+#: The first rank that is not predicted.
+NEVER = (1 << 14) - 1
+#: Steps whose probabilities the encoder looks up at once; ids of the windows after which weights are renewed, the last one repeated.
+BATCH, WINDOWS = 16, (32, 64, 128)
+#: What an id adds to the counts behind the weights and behind the classes, and the sums from which they are halved.
+GAIN, CLASS_GAIN, MOST, CLASS_MOST = 16, 2, 2000, 1000
+#: Parts of the chunk's frequencies that a block begins with.
+PRIOR = 300
+_SIZES = [1] * 8 + [1 << (k - 2) for k in range(3, 13) for _ in range(4)] + [1 << 12] * 14
+#: First rank and bits of place of each class; HIT stands for an id that a prediction named.
+HIT = 63
+_START, _PLACE = np.zeros(64, np.uint64), np.zeros(64, np.uint64)
+_START[: len(_SIZES)], _PLACE[: len(_SIZES)] = np.cumsum([0, *_SIZES[:-1]]), np.log2(_SIZES)
+CLASS_OF = np.repeat(np.arange(len(_SIZES), dtype=np.uint8), _SIZES)
+# numbers as arrays, which operations on arrays take up faster
+_ONE, _TWO, _THREE, _FOUR, _NEVER, _FIRST, _SECOND, _SHIFT, _SLOT = (np.array(k, np.uint16) for k in (1, 2, 3, 4, NEVER, 0x9E5B, 0x6D2B, 16 - TABLE_BITS, (1 << TABLE_BITS) - 1))
+_WEIGHT, _CLASS, _FLOOR, _HALF, _SIXTEEN, _TOP, _WORD, _REST, _LAST = (np.array(k, np.uint64) for k in (WEIGHT_BITS, CLASS_BITS, 1 << 31, 0xFFFF, 16, 31, 32, (1 << 31) - 1, (1 << CLASS_BITS) - 1))
+
+
+class _Model:
+    """Predictions, mixing weights and class distributions of ``n`` blocks. ``prior``: ids of the chunk in each class."""
+
+    def __init__(self, n: int, prior: np.ndarray) -> None:
+        self.n = n
+        # order 1, then order 2; an entry is a rank and its confidence
+        self.tables = np.full(2 * n << TABLE_BITS, NEVER << 2, np.uint16)
+        second, first = np.divmod(np.arange(16), 4)
+        begin = np.stack([8 + 24 * second, 8 + 8 * first, 64 - 8 * second]).astype(np.int32)
+        self.counts = np.tile(begin[:, None], (1, n, 1)).reshape(3, -1)
+        self.used = int(np.flatnonzero(prior)[-1]) + 1 if prior.any() else 1
+        share = prior[: self.used].astype(np.int64) * PRIOR // max(int(prior.sum()), 1)
+        self.order0 = np.tile(np.maximum(1, share).astype(np.int32), (n, 1))
+        # bounds of the parts of order 2 and order 1 by block and confidences; start and size of classes by block: low and high halves
+        self.weights, self.classes = np.zeros(16 * n, np.uint64), np.zeros((n, 64), np.uint64)
+        self.classes[:, HIT] = 1 << CLASS_BITS << 16
+        self.closes, self.windows = 0, 0
+        self._spread()
+
+    def begin(self, t: int) -> bool:
+        """Called before step t; whether a window begins, with what was learned from the one before."""
+        if t < self.closes:
+            return False
+        if t:
+            self._learn()
+        size = WINDOWS[min(self.windows, len(WINDOWS) - 1)]
+        self.opened, self.closes, self.windows = t, t + size, self.windows + 1
+        # what was coded: confidences and order, class; 3 and HIT count for nothing
+        self.orders, self.seen = np.full((size, self.n), 3, np.uint8), np.full((size, self.n), HIT, np.uint8)
+        return True
+
+    def _tally(self, codes: np.ndarray) -> np.ndarray:
+        at = codes.astype(np.int64)
+        at += np.arange(self.n) << 6
+        return np.bincount(at.reshape(-1), minlength=self.n << 6).astype(np.int32).reshape(self.n, 64)
+
+    def _learn(self) -> None:
+        found = self._tally(self.orders).reshape(-1, 4)
+        for k in range(3):
+            self.counts[k] += found[:, k] * GAIN
+        over = np.flatnonzero(self.counts.sum(axis=0) > MOST)
+        self.counts[:, over] >>= 1
+        self.order0 += self._tally(self.seen)[:, : self.used] * CLASS_GAIN
+        over = np.flatnonzero(self.order0.sum(axis=1) > CLASS_MOST)
+        self.order0[over] -= self.order0[over] >> 1
+        self._spread()
+
+    def _spread(self) -> None:
+        """Weights and distributions from the counts. Order 0 keeps at least 8 parts, the others 1, every class in use 1."""
+        two, one, none = self.counts
+        upper = two + one
+        whole = upper + none
+        room = (1 << WEIGHT_BITS) - 10
+        np.copyto(self.weights, (two * room // whole + 1) | (upper * room // whole + 2) << 16, casting="unsafe")
+        edge = np.cumsum(self.order0, axis=1, dtype=np.int32)
+        whole = edge[:, -1:].copy()
+        edge *= (1 << CLASS_BITS) - self.used
+        edge //= whole
+        edge += np.arange(1, self.used + 1, dtype=np.int32)
+        self.sizes = edge.copy()
+        self.sizes[:, 1:] -= edge[:, :-1]
+        edge -= self.sizes
+        np.copyto(self.classes[:, : self.used], edge | self.sizes << 16, casting="unsafe")
+
+    def lookup(self) -> np.ndarray:
+        """The class at each part of the distributions."""
+        return np.repeat(np.tile(np.arange(self.used, dtype=np.uint8), self.n), self.sizes.reshape(-1))
+
+
+def _renew(entries: np.ndarray, ranked: np.ndarray, sure: np.ndarray, hit: np.ndarray) -> None:
+    """``sure``: the confidences of ``entries`` (both are overwritten). It becomes the new entries: the rank that came (``ranked``, in the place
+    of entries), more sure if it was the one predicted, and unsure if not."""
+    np.bitwise_xor(entries, ranked, out=entries)
+    np.less(entries, _FOUR, out=hit)
+    np.add(sure, _ONE, out=sure)
+    np.minimum(sure, _THREE, out=sure)
+    np.multiply(sure, hit, out=sure)
+    np.add(sure, ranked, out=sure)
+
+
+def _live(lengths: np.ndarray) -> np.ndarray:
+    """How many of the blocks (longest first) have a t-th id, for each t."""
+    return np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")
+
+
+def _encode_group(ranks: np.ndarray, lengths: np.ndarray, prior: np.ndarray) -> list[bytes]:
+    """The words of blocks, longest first. ``ranks``: (steps, blocks)."""
+    steps, n = ranks.shape
+    model = _Model(n, prior)
+    tables, live, lane = model.tables, _live(lengths), np.arange(n)
+    low, span = np.zeros(n, np.uint64), np.full(n, (1 << 63) - 1, np.uint64)
+    room = steps // 3 + BATCH + 8
+    words = np.zeros((n, room), np.uint64)
+    flat, rows = words.reshape(-1), lane * room
+    count = rows.copy()
+    last, before = np.zeros(n, np.uint16), np.zeros(n, np.uint16)
+    t = 0
+    while t < steps:
+        model.begin(t)
         m = int(live[t])
-        one = last[:m] * 40503
-        at1 = ((one >> 4) & mask) + base[:m]
-        at2 = (((one + last2[:m] * 30011) >> 5) & mask) + base[:m]
-        e1, e2 = tables[0].take(at1), tables[1].take(at2)
-        p1, p2 = e1 >> 2, e2 >> 2
-        agree = (p1 == p2) * 4 + row[:m]
-        r1, r2 = (e1 & 3) + agree, (e2 & 3) + agree
-        b1, b2 = bounds[0].take(r1), bounds[1].take(r2)
-        l1, l2, h1, h2 = b1 >> 16, b2 >> 16, b1 & 0xFFFF, b2 & 0xFFFF
-        lo, hi = (l1 + l2) >> 1, (h1 + h2) >> 1
-        hi += hi == lo
-        part = coder.range[:m] >> BITS
-        if reading:
-            value = np.minimum(coder.code[:m] // part, TOTAL - 1)
-            choice = (value >= lo).astype(np.int64)
-            choice += value >= hi
-            rank = np.where(choice == 0, p2, p1)
-        else:
-            rank = ranks[t, :m].astype(np.uint32)
-            choice = 2 - (rank == p1).astype(np.int64)
-            choice *= rank != p2
-        edges = np.empty((4, m), np.int64)
-        edges[0], edges[1], edges[2], edges[3] = 0, lo, hi, TOTAL
-        edges, at = edges.reshape(-1), choice * m + lane[:m]
-        start = edges.take(at)
-        width = edges.take(at + m)
-        width -= start
-        coder.narrow(m, None, part * start, part * width)
-        to_low, to_high = _LOW_TARGET.take(choice), _HIGH_TARGET.take(choice)
-        for table, at, low, high in ((bounds[0], r1, l1, h1), (bounds[1], r2, l2, h2)):
-            table[at] = ((low + ((to_low - low) >> RATE)) << 16) + high + ((to_high - high) >> RATE)
-        who = (choice == 2).nonzero()[0]
+        w = min(BATCH, model.closes - t, int(np.searchsorted(-live[t:], -m, "right")))
+        if int((count - rows).max()) + BATCH + 4 > room:  # an id adds a word at most
+            words, count, rows = np.concatenate([words, np.zeros_like(words)], axis=1), count + lane * room, rows + lane * room
+            flat, room = words.reshape(-1), 2 * room
+        own = ranks[t : t + w, :m]
+        run = np.concatenate([before[None, :m], last[None, :m], own])
+        before[:m], last[:m] = run[-2], run[-1]
+        at = np.empty((w, 2, m), np.int64)
+        at[:, 0] = run[1:-1] & _SLOT
+        at[:, 1] = (run[:-2] * _SECOND + run[1:-1] * _FIRST) >> _SHIFT
+        at[:, 1] += n << TABLE_BITS
+        at += lane[:m] << TABLE_BITS
+        ranked = np.minimum(own, _NEVER) << _TWO
+        entries = np.empty((w, 2, m), np.uint16)
+        work, sure, hit = np.empty((2, m), np.uint16), np.empty((2, m), np.uint16), np.empty((2, m), bool)
+        for place, entry, s in zip(at, entries, ranked):
+            tables.take(place, out=entry, mode="clip")
+            np.bitwise_and(entry, _THREE, out=sure)
+            np.copyto(work, entry)
+            _renew(work, s, sure, hit)
+            tables[place] = sure
+        named = (entries >> _TWO) == own[:, None]
+        order = 2 - named[:, 0].view(np.uint8)  # 0 for order 2, 1 for order 1, 2 for order 0
+        order *= ~named[:, 1]
+        sure = (entries & _THREE).astype(np.uint8)
+        context = (sure[:, 1] << 2) + sure[:, 0]
+        kind = CLASS_OF.take(own)
+        kind |= (order < 2) * np.uint8(HIT)
+        k = t - model.opened
+        model.orders[k : k + w, :m], model.seen[k : k + w, :m] = (context << 2) + order, kind
+        bounds = model.weights.take(context + (lane[:m] << 4))
+        edges = np.zeros((4, w, m), np.uint64)
+        np.bitwise_and(bounds, _HALF, out=edges[1])
+        np.right_shift(bounds, _SIXTEEN, out=edges[2])
+        edges[3] = 1 << WEIGHT_BITS
+        edges, at = edges.reshape(-1), order * np.int64(w * m) + np.arange(w * m).reshape(w, m)
+        start, size = edges.take(at), edges.take(at + w * m)
+        size -= start
+        share = model.classes.reshape(-1).take(kind + (lane[:m] << 6))
+        first, width, bits = share & _HALF, share >> _SIXTEEN, _PLACE.take(kind)
+        place = own - _START.take(kind)
+        place *= order == 2
+        r, o, c = span[:m], low[:m], count[:m]
+        part, ahead, small = np.empty(m, np.uint64), np.empty(m, np.uint64), np.empty(m, bool)
+        for k in range(w):
+            for bits_of, begin, wide in ((_WEIGHT, start[k], size[k]), (_CLASS, first[k], width[k])):
+                np.right_shift(r, bits_of, out=part)
+                np.multiply(part, begin, out=ahead)
+                np.add(o, ahead, out=o)
+                np.multiply(part, wide, out=r)
+            np.right_shift(r, bits[k], out=r)
+            np.multiply(r, place[k], out=ahead)
+            np.add(o, ahead, out=o)
+            np.less(r, _FLOOR, out=small)
+            who = small.nonzero()[0]
+            if len(who):
+                settled, to = o.take(who), c.take(who)
+                flat[to] = settled >> _TOP
+                to += 1
+                c[who] = to
+                settled &= _REST
+                settled <<= _WORD
+                o[who] = settled
+                r[who] = r.take(who) << _WORD
+        t += w
+    flat[count] = low >> _TOP
+    flat[count + 1] = (low & _REST) << _ONE.astype(np.uint64)
+    count += 2
+    while (carry := words >> _WORD).any():
+        words &= np.uint64(0xFFFFFFFF)
+        words[:, :-1] += carry[:, 1:]
+    return [words[k, :size].astype("<u4").tobytes() for k, size in enumerate((count - rows).tolist())]
+
+
+def _decode_group(blocks: list[bytes], lengths: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """The ranks (steps, blocks) of the words of blocks, longest first."""
+    n, steps = len(blocks), int(lengths[0])
+    model = _Model(n, prior)
+    tables, weights, classes, live = model.tables, model.weights, model.classes.reshape(-1), _live(lengths)
+    longest = max(map(len, blocks)) // 4 + 2
+    words = np.zeros((n, longest), np.uint32)
+    for k, b in enumerate(blocks):
+        words[k, : len(b) // 4] = np.frombuffer(b, "<u4")
+    # the register holds 63 bits, so what follows it is a word from the middle of two
+    register = words[:, 0].astype(np.uint64) << _TOP | words[:, 1] >> np.uint32(1)
+    following = (words & np.uint32(1)) << np.uint32(31)
+    following[:, :-1] |= words[:, 1:] >> np.uint32(1)
+    flat, count = following.reshape(-1), np.arange(n) * longest + 1
+    span = np.full(n, (1 << 63) - 1, np.uint64)
+    out = np.zeros((steps, n), np.uint16)
+    one = two_back = np.zeros(n, np.uint16)
+    hit_class, two = np.array(HIT, np.uint8), np.array(2, np.uint8)
+    m = -1
+    for t in range(steps):
+        if model.begin(t):
+            lookup = model.lookup()
+        if live[t] != m:
+            m = int(live[t])
+            lane, lanes = np.arange(m), np.array(m)
+            lane_weights, lane_classes, lane_parts = lane << 4, lane << 6, lane << CLASS_BITS
+            slots = np.stack([lane << TABLE_BITS, (lane + n) << TABLE_BITS])
+            r, code, c = span[:m], register[:m], count[:m]
+            edges = np.zeros((4, m), np.uint64)
+            edges[3] = 1 << WEIGHT_BITS
+            flat_edges, lower, upper = edges.reshape(-1), edges[1], edges[2]
+            part, value, x, y = np.empty((4, m), np.uint64)
+            place, at = np.empty((2, m), np.int64), np.empty(m, np.int64)
+            entries, predicted, sure = np.empty((3, 2, m), np.uint16)
+            a, b = np.empty((2, m), np.uint16)
+            above, beyond, named, small = np.empty((4, m), bool)
+            hit, order = np.empty((2, m), bool), np.empty(m, np.uint8)
+        np.bitwise_and(one, _SLOT, out=a)
+        np.add(slots[0], a, out=place[0])
+        np.multiply(two_back, _SECOND, out=a)
+        np.multiply(one, _FIRST, out=b)
+        np.add(a, b, out=a)
+        np.right_shift(a, _SHIFT, out=a)
+        np.add(slots[1], a, out=place[1])
+        tables.take(place, out=entries, mode="clip")
+        np.right_shift(entries, _TWO, out=predicted)
+        np.bitwise_and(entries, _THREE, out=sure)
+        # which order
+        np.left_shift(sure[1], _TWO, out=a)
+        np.add(a, sure[0], out=a)
+        np.add(lane_weights, a, out=at)
+        weights.take(at, out=x, mode="clip")
+        np.bitwise_and(x, _HALF, out=lower)
+        np.right_shift(x, _SIXTEEN, out=upper)
+        np.right_shift(r, _WEIGHT, out=part)
+        np.floor_divide(code, part, out=value)
+        np.greater_equal(value, lower, out=above)
+        np.greater_equal(value, upper, out=beyond)
+        np.add(above.view(np.uint8), beyond.view(np.uint8), out=order)
+        k = t - model.opened
+        np.left_shift(a, _TWO, out=a)
+        np.add(a, order, out=model.orders[k, :m], casting="unsafe")
+        np.multiply(order, lanes, out=at)
+        np.add(at, lane, out=at)
+        flat_edges.take(at, out=x, mode="clip")
+        np.add(at, lanes, out=at)
+        flat_edges.take(at, out=y, mode="clip")
+        np.subtract(y, x, out=y)
+        np.multiply(x, part, out=x)
+        np.subtract(code, x, out=code)
+        np.multiply(y, part, out=r)
+        # which class, HIT where a prediction holds
+        np.right_shift(r, _CLASS, out=part)
+        np.floor_divide(code, part, out=value)
+        np.minimum(value, _LAST, out=value)
+        np.add(value.view(np.int64), lane_parts, out=at)
+        kind = model.seen[k, :m]
+        lookup.take(at, out=kind, mode="clip")
+        np.less(order, two, out=named)
+        np.multiply(named.view(np.uint8), hit_class, out=order)
+        np.bitwise_or(kind, order, out=kind)
+        np.add(lane_classes, kind, out=at)
+        classes.take(at, out=y, mode="clip")
+        np.bitwise_and(y, _HALF, out=x)
+        np.multiply(x, part, out=x)
+        np.subtract(code, x, out=code)
+        np.right_shift(y, _SIXTEEN, out=y)
+        np.multiply(y, part, out=r)
+        # the place in the class
+        np.copyto(at, kind)
+        _PLACE.take(at, out=x, mode="clip")
+        np.right_shift(r, x, out=r)
+        np.floor_divide(code, r, out=value)
+        np.multiply(value, r, out=x)
+        np.subtract(code, x, out=code)
+        _START.take(at, out=x, mode="clip")
+        np.add(value, x, out=value)
+        row = out[t, :m]
+        np.copyto(row, value, casting="unsafe")
+        np.copyto(row, predicted[0], where=named)
+        np.logical_not(above, out=above)
+        np.copyto(row, predicted[1], where=above)
+        np.less(r, _FLOOR, out=small)
+        who = small.nonzero()[0]
         if len(who):
-            before = last.take(who)
-            after = who * _AFTER + _OCTAVE.take(before) * 2 + (before & 1)
-            c0, c1 = octave0.take(who, axis=0), octave1.take(after, axis=0)
-            mix = ((c0.view(np.uint16) + c1.view(np.uint16)) >> 1).view(np.int16)
-            part = coder.range.take(who) >> BITS
-            if reading:
-                code = coder.code.take(who)
-                value = np.minimum(code // part, TOTAL - 1).astype(np.int16)
-                reached = (mix <= value[:, None]).view(np.uint64)
-                octave = (((reached[:, 0] + reached[:, 1]) * _BYTES) >> np.uint64(56)).astype(np.int64)
-                octave -= 1
-            else:
-                whole = rank.take(who).astype(np.int64)
-                octave = _OCTAVE.take(whole)
-            flat, at = mix.reshape(-1), np.arange(0, 16 * len(who), 16) + octave
-            start = flat.take(at).astype(np.int64)
-            # the entry behind a row's last one is the next row's first, 0, and stands for the total
-            end = flat.take(at + 1, mode="clip").astype(np.int64)
-            if octave[-1] == 15:
-                end[-1] = 0
-            end -= 1
-            end &= TOTAL - 1
-            end += 1 - start
-            start *= part
-            part *= end
-            # the place in the octave: so many parts of what the octave has left
-            part >>= _OCTAVE_BITS.take(octave)
-            first = _OCTAVE_START.take(octave)
-            if reading:
-                place = np.minimum((code - start) // part, _OCTAVE_LAST.take(octave))
-                rank[who] = first + place
-            else:
-                place = whole - first
-            start += part * place
-            coder.narrow(m, who, start, part)
-            to = _TARGET.take(octave, axis=0)
-            for put, at, c in ((put0, who, c0), (put1, after, c1)):
-                step = to - c
-                step >>= RATE
-                step += c
-                put[at] = step.view("V32").reshape(-1)
-        fresh = rank << 2
-        for table, at, e, p in ((tables[0], at1, e1, p1), (tables[1], at2, e2, p2)):
-            sure = e & 3
-            moved = e - 1
-            np.copyto(moved, fresh, where=sure == 0)
-            e += sure < 3
-            np.copyto(moved, e, where=p == rank)
-            table[at] = moved
-        last2[:m] = last[:m]
-        last[:m] = rank
-        if reading:
-            out[t, :m] = rank
+            to = c.take(who)
+            got = code.take(who)
+            got <<= _WORD
+            got |= flat.take(to, mode="clip")
+            code[who] = got
+            to += 1
+            c[who] = to
+            r[who] = r.take(who) << _WORD
+        np.minimum(row, _NEVER, out=a)
+        np.left_shift(a, _TWO, out=a)
+        _renew(entries, a, sure, hit)
+        tables[place] = sure
+        if t + 1 < steps:
+            two_back, one = one[: live[t + 1]], row[: live[t + 1]]
     return out
 
 
@@ -255,7 +371,7 @@ def ranking(ids: np.ndarray) -> np.ndarray:
     return order[: int((counts > 0).sum())].astype(np.uint16)
 
 
-def encode_blocks(ids: np.ndarray, ranked: np.ndarray, length: int) -> list[tuple[int, bytes, int]]:
+def encode_blocks(ids: np.ndarray, ranked: np.ndarray, prior: np.ndarray, length: int) -> list[tuple[int, bytes, int]]:
     """(ids, words, CRC-32 of the ids) of the blocks of ``length`` ids each; the last one may be shorter."""
     out = []
     rank_of = np.zeros(LIMIT, np.uint16)
@@ -266,35 +382,34 @@ def encode_blocks(ids: np.ndarray, ranked: np.ndarray, length: int) -> list[tupl
         lengths[-1] = len(part) - length * (len(lengths) - 1)
         grid = np.zeros((len(lengths), length), np.uint16)
         grid.reshape(-1)[: len(part)] = rank_of[part]
-        coder = _Encoder(len(lengths), length // 2)
-        _run(lengths, coder, np.ascontiguousarray(grid[:, : int(lengths[0])].T))
-        for k, words in enumerate(coder.finish()):
-            out.append((int(lengths[k]), words, zlib.crc32(part[k * length : k * length + int(lengths[k])].astype("<u4").tobytes())))
+        raw = part.astype("<u4")
+        for k, words in enumerate(_encode_group(np.ascontiguousarray(grid[:, : int(lengths[0])].T), lengths, prior)):
+            out.append((int(lengths[k]), words, zlib.crc32(raw[k * length : k * length + int(lengths[k])])))
     return out
 
 
-def decode_blocks(blocks: list[tuple[int, bytes, int]], ranked: np.ndarray) -> np.ndarray:
+def decode_blocks(blocks: list[tuple[int, bytes, int]], ranked: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """The ids of the blocks. A block whose ids don't match its CRC-32 raises ValueError."""
     out = []
-    id_of = np.zeros(LIMIT, np.uint16)
+    id_of = np.zeros(LIMIT, "<u4")
     id_of[: len(ranked)] = ranked
     for a in range(0, len(blocks), GROUP):
         part = blocks[a : a + GROUP]
         lengths = np.array([b[0] for b in part], np.int64)
         order = np.argsort(-lengths, kind="stable")
-        grid = np.ascontiguousarray(id_of[_run(lengths[order], _Decoder([part[k][1] for k in order]), None)].T)
+        ranks = _decode_group([part[k][1] for k in order], lengths[order], prior).T
         column = np.empty(len(order), np.int64)
         column[order] = np.arange(len(order))
         for k, (n, _, crc) in enumerate(part):
-            ids = grid[column[k], :n].astype("<u4")
-            if zlib.crc32(ids.tobytes()) != crc:
+            ids = id_of.take(ranks[column[k], :n])
+            if zlib.crc32(ids) != crc:
                 raise ValueError(f"block {a + k}: the ids don't match their checksum")
             out.append(ids)
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
 @dataclass
-class IdFile:
+class IdChunk:
     """Documents (identifier or None, number of ids) and the ids of all of them in order."""
 
     docs: list[tuple[int | None, int]]
@@ -302,110 +417,146 @@ class IdFile:
 
     def to_bytes(self) -> bytes:
         n = len(self.ids)
-        length = max(SMALLEST, min(LARGEST, -(-n // LANES)))
         ranked = ranking(self.ids)
-        blocks = encode_blocks(self.ids, ranked, length)
+        counts = np.zeros(64, np.int64)
+        if n:
+            by_rank = np.bincount(self.ids)[ranked]
+            counts += np.bincount(CLASS_OF[: len(ranked)], weights=by_rank, minlength=64).astype(np.int64)
+        blocks = encode_blocks(self.ids, ranked, counts, max(SMALLEST, min(LARGEST, -(-n // GROUP))))
         head = [_HEAD.pack(MAGIC, FORMAT, 0, len(self.docs), len(blocks), n)]
         head += [struct.pack("<qBI", k or 0, k is None, size) for k, size in self.docs]
-        head += [struct.pack("<IIII", size, len(words) // 2, zlib.crc32(words), crc) for size, words, crc in blocks]
-        head += [struct.pack("<I", len(ranked)), ranked.astype("<u2").tobytes()]
+        head += [struct.pack("<IIII", size, len(words) // 4, zlib.crc32(words), crc) for size, words, crc in blocks]
+        head += [counts.astype("<u4").tobytes(), struct.pack("<I", len(ranked)), ranked.astype("<u2").tobytes()]
         first = b"".join(head)
         return b"".join([first, struct.pack("<I", zlib.crc32(first)), *(words for _, words, _ in blocks)])
 
     @classmethod
-    def from_bytes(cls, data: bytes) -> IdFile:
-        """Read a file; ValueError where it is damaged."""
+    def from_bytes(cls, data: bytes) -> IdChunk:
+        """Read a chunk; ValueError where it is damaged."""
         magic, form, _, docs, blocks, n = _HEAD.unpack_from(data)
         if magic != MAGIC or form != FORMAT:
             raise ValueError("not an id file of this format")
         listed = _HEAD.size + 13 * docs + 16 * blocks
-        at = listed + 4 + 2 * struct.unpack_from("<I", data, listed)[0]
-        if zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
+        ranks = listed + 256 + 4
+        if ranks > len(data):
+            raise ValueError("the directory is cut off")
+        at = ranks + 2 * struct.unpack_from("<I", data, ranks - 4)[0]
+        if at + 4 > len(data) or zlib.crc32(data[:at]) != struct.unpack_from("<I", data, at)[0]:
             raise ValueError("the directory doesn't match its checksum")
         named = [(None if null else k, size) for k, null, size in struct.iter_unpack("<qBI", data[_HEAD.size : _HEAD.size + 13 * docs])]
         place, found = at + 4, []
         for size, words, crc, ids_crc in struct.iter_unpack("<IIII", data[listed - 16 * blocks : listed]):
-            raw = data[place : place + 2 * words]
+            raw = data[place : place + 4 * words]
             if zlib.crc32(raw) != crc:
                 raise ValueError(f"block {len(found)} doesn't match its checksum")
             found.append((size, raw, ids_crc))
-            place += 2 * words
-        ids = decode_blocks(found, np.frombuffer(data[listed + 4 : at], "<u2"))
+            place += 4 * words
+        ids = decode_blocks(found, np.frombuffer(data[ranks:at], "<u2"), np.frombuffer(data[listed : listed + 256], "<u4"))
         if len(ids) != n or sum(size for _, size in named) != n:
             raise ValueError("the number of ids doesn't match")
         return cls(named, ids)
 
 
-def _put(uri: str, data: bytes, attempt: int) -> None:
-    """Write a file whole: under a name of this attempt, then renamed, so that a lost or repeated task leaves no half file."""
-    where, path = fs.FileSystem.from_uri(uri)
-    where.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with where.open_output_stream(f"{path}.{attempt}.tmp") as out:
-        out.write(data)
-    if where.get_file_info(path).type != fs.FileType.NotFound:
-        where.delete_file(path)  # of a lost attempt, with the same bytes; some stores don't rename over a file
-    where.move(f"{path}.{attempt}.tmp", path)
+class _Writer:
+    """The files of one task: ``part-PPPPP-NNNN-ATTEMPT.qmid``. A name holds its attempt, so no attempt touches another's file."""
+
+    def __init__(self, uri: str, part: int, attempt: int) -> None:
+        self.store, self.folder = fs.FileSystem.from_uri(uri)
+        self.store.create_dir(self.folder, recursive=True)
+        self.part, self.attempt, self.chunks, self.out = part, attempt, 0, None
+
+    def add(self, chunk: IdChunk) -> pa.RecordBatch:
+        """Write a chunk; its row of the manifest."""
+        if self.chunks % FILE_CHUNKS == 0:
+            self.close()
+            self.name = f"part-{self.part:05d}-{self.chunks // FILE_CHUNKS:04d}-{self.attempt}.qmid"
+            self.out = self.store.open_output_stream(f"{self.folder}/{self.name}")
+        data, offset = chunk.to_bytes(), self.out.tell()
+        self.out.write(data)
+        self.chunks += 1
+        kinds = zip(("part", "seq", "offset", "bytes", "docs", "ids"), (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()), (self.part, self.chunks - 1, offset, len(data), len(chunk.docs), len(chunk.ids)))
+        return pa.RecordBatch.from_pydict({"file": pa.array([self.name])} | {name: pa.array([x], kind) for name, kind, x in kinds})
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+
+
+MANIFEST = "file string, part int, seq int, offset long, bytes long, docs long, ids long"
 
 
 def write_files(df: DataFrame, tokenizer: str, uri: str, key: str = "doc_id", text: str = "text", end_id: int = 2) -> DataFrame:
     """Encode every whole text with the tokenizers file ``tokenizer``, append ``end_id`` to each, and write the ids in ascending order of ``key``
-    to files ``part-NNNNN.qmid`` under ``uri``, a folder that all executors share. Returns one row for each file, ``part`` (int), ``docs``, ``ids``
-    and ``bytes`` (long): the ids of a part follow those of the parts before it.
+    to files under ``uri``, a folder that all executors share. Returns the manifest, a row for each chunk: ``file`` (its name), ``part``, ``seq``
+    (int: its place in the part), ``offset``, ``bytes``, ``docs`` and ``ids`` (long). The ids of a part follow those of the parts before it.
 
-    Null and empty texts have the end id alone. Null keys come first; rows that repeat a key are ordered by text. An empty table
-    writes no file. The rows are shuffled once, by ranges of the key.
+    Null and empty texts have the end id alone. Null keys come first; rows that repeat a key are ordered by a hash of their text,
+    and equal ones as they are read. An empty table writes no file. The rows are shuffled once, by ranges of the key. Files of
+    attempts that were lost may stay in the folder; no manifest names them.
     """
     spark = df.sparkSession
     workspace.bound_batches(spark)
-    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    dealt = rows.repartitionByRange(workspace.task_count(spark), "k", F.xxhash64("t")).sortWithinPartitions("k", F.xxhash64("t"))
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t")).select("k", "t", F.xxhash64("t").alias("h"), F.monotonically_increasing_id().alias("n"))
+    # the last two columns of the order split rows that repeat a key, however many
+    dealt = rows.repartitionByRange(workspace.task_count(spark), "k", "h", "n").sortWithinPartitions("k", "h", "n").select("k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         encoder = bpe.library_encoder(tokenizer)
+        writer = None
         docs: list[tuple[int | None, int]] = []
         ids: list[np.ndarray] = []
-        end = np.array([end_id], np.uint16)
+        end, held = np.array([end_id], np.uint16), 0
         for b in batches:
             for k, own in zip(b.column("k").to_pylist(), encoder.encode(b.column("t").to_pylist())):
                 if len(own) and int(own.max()) >= LIMIT:
                     raise ValueError(f"ids must be from 0 to {LIMIT - 1}")
                 docs.append((k, len(own) + 1))
                 ids += [own.astype(np.uint16), end]
+                held += len(own) + 1
+                if held >= CHUNK:
+                    writer = writer or _Writer(uri, task.partitionId(), task.taskAttemptId())
+                    yield writer.add(IdChunk(docs, np.concatenate(ids)))
+                    docs, ids, held = [], [], 0
         if docs:
-            data = IdFile(docs, np.concatenate(ids)).to_bytes()
-            _put(f"{uri}/part-{task.partitionId():05d}.qmid", data, task.taskAttemptId())
-            yield pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "docs": [len(docs)], "ids": [sum(n for _, n in docs)], "bytes": [len(data)]})
+            writer = writer or _Writer(uri, task.partitionId(), task.taskAttemptId())
+            yield writer.add(IdChunk(docs, np.concatenate(ids)))
+        if writer:
+            writer.close()
 
-    return workspace.stage(dealt.mapInArrow(run, "part int, docs long, ids long, bytes long"), "manifest")
+    return workspace.stage(dealt.mapInArrow(run, MANIFEST), "manifest")
 
 
 def read_files(manifest: DataFrame, uri: str) -> DataFrame:
-    """The documents of the files that ``write_files`` wrote to ``uri``: ``id`` (long), ``start`` (long, the ids of all documents before it), ``n_tokens`` (long) and
-    ``ids`` (binary, little-endian unsigned 32-bit). A damaged file fails the job with the block's number."""
+    """The documents of the chunks that ``manifest`` lists under ``uri``: ``id`` (long), ``start`` (long, the ids of all documents before it), ``n_tokens``
+    (long) and ``ids`` (binary, little-endian unsigned 32-bit). A damaged chunk fails the job with the block's number. Each chunk is
+    read apart from the others, and a lost executor costs the chunks that it was reading."""
     spark = manifest.sparkSession
-    # one row a file
-    sizes = sorted((r["part"], r["ids"]) for r in manifest.select("part", "ids").collect())
-    bases, total = [], 0
-    for part, n in sizes:
-        bases.append((part, total))
-        total += n
     schema = "id long, start long, n_tokens long, ids binary"
+    # one row for each part, so no more than the tasks that wrote
+    sizes = sorted((r["part"], r["n"]) for r in manifest.groupBy("part").agg(F.sum("ids").alias("n")).collect())
     if not sizes:
         return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.qmid").load(uri).select(F.regexp_extract("path", r"part-(\d+)\.qmid$", 1).cast("int").alias("part"), "content")
-    based = files.join(F.broadcast(spark.createDataFrame(bases, "part int, base long")), "part").select("base", "content")
+    ends = np.cumsum([n for _, n in sizes]).tolist()
+    bases = spark.createDataFrame([(part, end - n) for (part, n), end in zip(sizes, ends)], "part int, below long")
+    ahead = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    placed = manifest.join(F.broadcast(bases), "part").withColumn("base", F.col("below") + F.coalesce(F.sum("ids").over(ahead), F.lit(0)))
+    tasks = workspace.task_count(spark)
+    # neighbours in a part are a prime number of tasks apart
+    dealt = placed.repartitionById(tasks, F.pmod(F.col("part") + F.col("seq") * 7919, F.lit(tasks)).cast("int")).select("file", "offset", "bytes", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = fs.FileSystem.from_uri(uri)
         for b in batches:
-            for base, content in zip(b.column("base").to_pylist(), b.column("content")):
-                file = IdFile.from_bytes(content.as_py())
-                ends = np.cumsum([n for _, n in file.docs])
+            for file, offset, size, base in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "bytes", "base"))):
+                with store.open_input_file(f"{folder}/{file}") as source:
+                    chunk = IdChunk.from_bytes(source.read_at(size, offset))
+                ends = np.cumsum([n for _, n in chunk.docs])
                 step = 500
-                for a in range(0, len(file.docs), step):
-                    docs = file.docs[a : a + step]
+                for a in range(0, len(chunk.docs), step):
+                    docs = chunk.docs[a : a + step]
                     last = ends[a : a + step].tolist()
                     first = [e - n for e, (_, n) in zip(last, docs)]
-                    yield pa.RecordBatch.from_pydict({"id": pa.array([k for k, _ in docs], pa.int64()), "start": pa.array([base + x for x in first], pa.int64()), "n_tokens": pa.array([n for _, n in docs], pa.int64()), "ids": pa.array([file.ids[x:y].tobytes() for x, y in zip(first, last)], pa.binary())})
+                    yield pa.RecordBatch.from_pydict({"id": pa.array([k for k, _ in docs], pa.int64()), "start": pa.array([base + x for x in first], pa.int64()), "n_tokens": pa.array([n for _, n in docs], pa.int64()), "ids": pa.array([chunk.ids[x:y].tobytes() for x, y in zip(first, last)], pa.binary())})
 
-    return based.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)

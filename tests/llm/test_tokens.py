@@ -111,8 +111,8 @@ def test_op8(spark, small, odd, none):
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 65535)), max_size=3000))
 def test_id_file_round_trip(ids):
-    data = rangecoder.IdFile([(5, len(ids))], np.array(ids, np.int64)).to_bytes()
-    back = rangecoder.IdFile.from_bytes(data)
+    data = rangecoder.IdChunk([(5, len(ids))], np.array(ids, np.int64)).to_bytes()
+    back = rangecoder.IdChunk.from_bytes(data)
     assert back.ids.tolist() == ids and back.docs == [(5, len(ids))]
 
 
@@ -121,23 +121,23 @@ def test_blocks(n):
     rng = np.random.default_rng(n)
     ids = np.minimum(rng.zipf(1.3, n), 50_000) % 50_000
     for length in (64, 1024):
-        ranked = rangecoder.ranking(ids)
-        assert (rangecoder.decode_blocks(rangecoder.encode_blocks(ids, ranked, length), ranked) == ids).all()
+        ranked, prior = rangecoder.ranking(ids), np.arange(64) % 62
+        assert (rangecoder.decode_blocks(rangecoder.encode_blocks(ids, ranked, prior, length), ranked, prior) == ids).all()
 
 
 def test_repeats_compress():
-    assert len(rangecoder.IdFile([(1, 60_000)], np.tile(np.arange(200), 300)).to_bytes()) < 30_000
+    assert len(rangecoder.IdChunk([(1, 60_000)], np.tile(np.arange(200), 300)).to_bytes()) < 30_000
 
 
 def test_damage_is_found():
-    data = bytearray(rangecoder.IdFile([(1, 3000)], np.arange(3000)).to_bytes())
+    data = bytearray(rangecoder.IdChunk([(1, 3000)], np.arange(3000)).to_bytes())
     for at in (0, 30, len(data) // 3, len(data) - 5):
         hurt = data.copy()
         hurt[at] ^= 0x40
         with pytest.raises(ValueError):
-            rangecoder.IdFile.from_bytes(bytes(hurt))
+            rangecoder.IdChunk.from_bytes(bytes(hurt))
     with pytest.raises(ValueError):
-        rangecoder.IdFile([(1, 1)], np.array([70_000])).to_bytes()
+        rangecoder.IdChunk([(1, 1)], np.array([70_000])).to_bytes()
 
 
 def test_op6(spark, small):
