@@ -10,8 +10,8 @@ which run starts are token starts then depends on the neighbouring classes alone
 * an apostrophe that begins a run of "other" characters, and has no space before it, takes the suffix letters s t m d,
   re ve ll with it; the rest of the letter run is a token of its own.
 
-Every distinct slice is merged once per worker (``merge_many`` merges all new slices of a group in lockstep) and cached; the ids
-of a text are gathered from the cache by slice. Token byte lengths give each id's byte offset, which decoding uses.
+Every distinct slice is merged once per worker and cached (``merge_many`` merges new slices of about one size in lockstep, very
+long ones with a heap each); the ids of a text are gathered from the cache by slice. Token byte lengths give each id's byte offset, which decoding uses.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ import base64
 import json
 import sys
 import unicodedata
-from functools import lru_cache
+from array import array
+from collections.abc import Iterator
+from functools import cached_property, lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,9 @@ from quillmill.llm import vectext
 LETTER, NUMBER, SPACE, BLANK, OTHER = range(5)
 #: Slices that a cache holds before it starts anew.
 CACHE_ROWS = 1 << 20
-_NONE = np.int32(2**31 - 1)
+#: Bytes of a slice that merges in lockstep, slices that do so together, and the fewest of a size over 16 bytes for which that pays.
+LONG, COLUMNS, FEW = 512, 1 << 13, 12
+_NONE = np.int64(2**31 - 1)
 _LAST = np.int64(2**63 - 1)
 
 
@@ -89,6 +94,23 @@ def token_starts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(token)
 
 
+def safe_cut(text: str, start: int, limit: int) -> int:
+    """As ``vectext.safe_cut``, for this pattern alone: also before any white space behind another character, and between letters,
+    numbers and others, unless an apostrophe stands before the cut. Only a run of one class longer than ``limit`` stays whole."""
+    if len(text) - start <= limit:
+        return len(text)
+    at, step = start + limit // 2, limit // 2
+    while at < len(text):
+        kind = class_table()[np.frombuffer(text[at - 1 : at + step].encode("utf-32-le", "surrogatepass"), np.uint32)]
+        blank = (kind == SPACE) | (kind == BLANK)
+        good = ~blank[:-1] & (kind[1:] != kind[:-1])
+        for k in np.flatnonzero(good)[::-1].tolist():
+            if text[at - 1 + k] != "'":
+                return at + k
+        at += step
+    return len(text)
+
+
 def _same(at: np.ndarray, k: int, edge: np.ndarray, n: int) -> np.ndarray:
     """Whether ``at + k`` lies in the text of ``at``."""
     out = np.ones(len(at), bool)
@@ -108,19 +130,28 @@ class Vocabulary:
         for k, t in enumerate(tokens):
             if len(t) == 1:
                 self.byte_ids[t[0]] = k
-        left, right, rank, merged = pairs
+        left, right, rank, merged = (x.astype(np.int64) for x in pairs)
         self.table = vectext.SliceTable()
-        self.rank, self.merged = np.append(rank, _NONE).astype(np.int32), np.append(merged, 0).astype(np.int32)
+        self.rank = np.append(rank, _NONE)
         self.table.add(self._key(left, right))
+        # by rank: the id that comes of it; the rank of a pair of ids, one after the other in 32 bits
+        self.merged = np.zeros(int(rank.max(initial=0)) + 1, np.int32)
+        self.merged[rank] = merged
+        self._pairs = left << 32 | right
+        pair = np.arange(1 << 16)
+        self.byte_ranks = self.ranks(self.byte_ids[pair >> 8], self.byte_ids[pair & 255])
 
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return vectext.mix(left.astype(np.uint64) * np.uint64(1 << 32) + right.astype(np.uint64) + np.uint64(1))
 
-    def ranks(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rank (the largest int32 where there is no merge) and id of the merged pairs."""
-        row = self.table.find(self._key(left, right))
-        return self.rank[row], self.merged[row]
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, _NONE where there is no merge."""
+        return self.rank[self.table.find(self._key(left, right))]
+
+    @cached_property
+    def rank_of(self) -> dict[int, int]:
+        return dict(zip(self._pairs.tolist(), self.rank.tolist()))
 
     @classmethod
     def from_ranks(cls, path: str) -> Vocabulary:
@@ -155,53 +186,103 @@ class Vocabulary:
         return cls(tokens, (a, b, np.arange(len(pairs)), k))
 
 
-def merge_many(vocabulary: Vocabulary, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all slices one after another, and how many each has. All slices merge in lockstep: each round, every slice
-    that still can merges its leftmost pair of lowest rank."""
-    sizes = np.fromiter(map(len, slices), np.int64, len(slices))
-    n = int(sizes.sum())
-    if not n:
-        return np.zeros(0, np.int32), np.zeros(len(slices), np.int64)
-    ids = vocabulary.byte_ids[np.frombuffer(b"".join(slices), np.uint8)]
-    ends = np.cumsum(sizes)
-    after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
-    filled = sizes > 0
-    after[ends[filled] - 1] = -1
-    before[(ends - sizes)[filled]] = -1
-    into = np.zeros(n, np.int32)
-    key = np.full(n, _LAST)  # rank and place of the pair that begins here
-    alive = np.ones(n, bool)
-
-    def rate(left: np.ndarray) -> None:
-        """Look up the pairs that begin at ``left`` (with a right neighbour)."""
-        rank, into[left] = vocabulary.ranks(ids[left], ids[after[left]])
-        key[left] = np.where(rank == _NONE, _LAST, (rank.astype(np.int64) << 32) | left)
-
-    rate(np.flatnonzero(after >= 0))
-    places = np.arange(n)  # of the slices that still merge
-    heads, widths = (ends - sizes)[filled], sizes[filled]
-    while len(heads):
-        best = np.minimum.reduceat(key[places], heads)
-        on = best != _LAST
-        at = best[on] & 0xFFFFFFFF
+def _merge_columns(vocabulary: Vocabulary, data: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Merge slices of about one size in lockstep: each round every slice merges its leftmost pair of lowest rank.
+
+    data: bytes (places, slices), of which a slice has the first of ``sizes``. Yields slices that are done, as places in ``sizes``, with
+    the columns of their ids, where -1 is no id."""
+    w, n = data.shape
+    step, who = np.arange(w)[:, None], np.arange(n)
+    ids = np.where(step < sizes, vocabulary.byte_ids[data], np.int32(-1))
+    # rank and place of the pair that begins at each place; the places of the next and the last id
+    key = np.full((w, n), _LAST)
+    rank = vocabulary.byte_ranks[data[:-1].astype(np.int64) << 8 | data[1:]]
+    np.copyto(key[:-1], rank << 20 | step[:-1], where=(rank != _NONE) & (step[1:] < sizes))
+    after, before = np.tile(step + 1, n), np.tile(step - 1, n)
+    while True:
+        best = key.min(axis=0)
+        on = np.flatnonzero(best != _LAST)
+        if 3 * len(on) < 2 * len(who) or not len(on):
+            done = best == _LAST
+            yield who[done], ids[:, done]
+            if not len(on):
+                return
+            who, ids, key, after, before, sizes, best = who[on], ids[:, on], key[:, on], after[:, on], before[:, on], sizes[on], best[on]
+            on, n = np.arange(len(who)), len(who)
+        best = best[on]
+        at = best & 0xFFFFF
+        flat_ids, flat_key, flat_after, flat_before = ids.reshape(-1), key.reshape(-1), after.reshape(-1), before.reshape(-1)
+        here = at * n + on
+        right = flat_after[here] * n + on
+        merged = vocabulary.merged[best >> 20]
+        flat_ids[here], flat_ids[right] = merged, -1
+        beyond, left = flat_after[right], flat_before[here]
+        flat_after[here] = beyond
+        flat_key[here], flat_key[right] = _LAST, _LAST
+        some, more = np.flatnonzero(beyond < sizes[on]), np.flatnonzero(left >= 0)
+        beyond, left = beyond[some] * n + on[some], left[more] * n + on[more]
+        flat_before[beyond] = at[some]
+        rank = vocabulary.ranks(np.concatenate([merged[some], flat_ids[left]]), np.concatenate([flat_ids[beyond], merged[more]]))
+        flat_key[np.concatenate([here[some], left])] = np.where(rank == _NONE, _LAST, rank << 20 | np.concatenate([at[some], left // n]))
+
+
+def _merge_alone(vocabulary: Vocabulary, data: bytes) -> np.ndarray:
+    """The ids of one slice of at least two bytes, with a heap of its pairs: time in proportion to n log n, memory to n."""
+    ids = vocabulary.byte_ids[np.frombuffer(data, np.uint8)]
+    n = len(ids)
+    rank = vocabulary.ranks(ids[:-1], ids[1:])
+    there = np.flatnonzero(rank != _NONE)
+    heap = np.sort(rank[there] << 32 | there).tolist()  # in order, so a heap
+    now, after, before = array("i", ids.tobytes()), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+    ranks, merged = vocabulary.rank_of, vocabulary.merged
+    while heap:
+        best = heappop(heap)
+        at, rank = best & 0xFFFFFFFF, best >> 32
         right = after[at]
-        ids[at] = into[at]
-        alive[right] = False
-        beyond = after[right]
+        # a pair that is no longer there has another rank, or an id that went
+        if now[at] < 0 or right >= n or ranks.get(now[at] << 32 | now[right]) != rank:
+            continue
+        here = now[at] = int(merged[rank])
+        now[right] = -1
+        beyond, left = after[right], before[at]
         after[at] = beyond
-        key[right] = key[at] = _LAST
-        some = beyond >= 0
-        before[beyond[some]] = at[some]
-        rate(at[some])
-        left = before[at]
-        rate(left[left >= 0])
-        if 3 * int(on.sum()) < 2 * len(on):
-            places = places[np.repeat(on, widths)]
-            widths = widths[on]
-            heads = np.cumsum(widths) - widths
+        if beyond < n:
+            before[beyond] = at
+            if (rank := ranks.get(here << 32 | now[beyond])) is not None:
+                heappush(heap, rank << 32 | at)
+        if left >= 0 and (rank := ranks.get(now[left] << 32 | here)) is not None:
+            heappush(heap, rank << 32 | left)
+    out = np.frombuffer(now, np.int32)
+    return out[out >= 0]
+
+
+def merge_many(vocabulary: Vocabulary, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all slices one after another, and how many each has. Slices of up to LONG bytes merge in lockstep with others of about
+    their size, longer ones and those of a rare size alone."""
+    sizes = np.fromiter(map(len, slices), np.int64, len(slices))
+    flat = np.frombuffer(b"".join(slices), np.uint8)
+    start = np.cumsum(sizes) - sizes
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    width = np.where(sizes <= 10, 10, np.where(sizes <= 16, 16, -(-sizes // 32) * 32))
+    for w in np.unique(width[sizes > 0]).tolist():
+        own = np.flatnonzero(width == w)
+        if w > LONG or w > 16 and len(own) < FEW:
+            found += [(np.array([k]), _merge_alone(vocabulary, slices[k])[:, None]) for k in own.tolist()]
+            continue
+        for a in range(0, len(own), COLUMNS):
+            mine = own[a : a + COLUMNS]
+            places = np.minimum(start[mine] + np.arange(w)[:, None], len(flat) - 1)
+            found += [(mine[who], ids) for who, ids in _merge_columns(vocabulary, flat[places], sizes[mine])]
     counts = np.zeros(len(slices), np.int64)
-    counts[filled] = np.add.reduceat(alive, (ends - sizes)[filled], dtype=np.int64)
-    return ids[alive], counts
+    for who, ids in found:
+        counts[who] = (ids >= 0).sum(axis=0)
+    first = np.cumsum(counts) - counts
+    out = np.zeros(int(counts.sum()), np.int32)
+    for who, ids in found:
+        n = counts[who]
+        own = ids.T
+        out[np.arange(int(n.sum())) + np.repeat(first[who] - np.cumsum(n) + n, n)] = own[own >= 0]
+    return out, counts
 
 
 class Encoder:
@@ -259,7 +340,7 @@ class Encoder:
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each text (None: empty)."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        for parts, owner in vectext.segments(texts):
+        for parts, owner in vectext.segments(texts, cut=safe_cut):
             rows, per_part = self.slices(parts)
             ids = self.ids(rows)
             per_slice = np.concatenate([[0], np.cumsum(self.count[rows])])

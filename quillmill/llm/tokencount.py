@@ -29,6 +29,8 @@ CACHE_ROWS = 1 << 20
 class PieceCounter:
     """Pre-tokens and their piece counts for a sentencepiece model."""
 
+    cut = staticmethod(vectext.safe_cut)
+
     def __init__(self, path: str) -> None:
         import sentencepiece
 
@@ -67,7 +69,7 @@ class PieceCounter:
     def total(self, texts: list) -> np.ndarray:
         """The sum over each text's pre-tokens of frequency times count."""
         total = np.zeros(len(texts), np.int64)
-        for parts, owner in vectext.segments(texts):
+        for parts, owner in vectext.segments(texts, cut=self.cut):
             joined, points, begin, end, part = self.pretokens(parts)
             if not len(begin):
                 continue
@@ -91,6 +93,8 @@ class BytePieceCounter(PieceCounter):
     """The same over the pre-tokens of a byte-level BPE file of the tokenizers library. A text that holds one of the file's
     added tokens is left to the library, which takes those out first."""
 
+    cut = staticmethod(bpe.safe_cut)
+
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 

@@ -3,17 +3,18 @@
 Every operator of this subpackage that looks at characters or words goes through the same three steps:
 
 1. ``segments`` turns a list of texts into groups of bounded size. A text longer than the bound is cut where no token of
-   any tokeniser used here can cross (before a single space between two non-blank characters).
+   any tokeniser used here can cross (before a single space between two non-blank characters); a text without such a place is
+   one piece, unless the operator knows more places (``bpe.safe_cut``).
 2. ``flatten`` lays a group out as one array of code points with the segment starts.
 3. ``SliceHasher`` hashes any slices of that array at once from one prefix sum, and ``SliceTable`` maps hashes to rows of
    a cache by vectorised open addressing.
 
-Memory is a fixed multiple of the group bound, whatever the length of a text or the number of rows.
+Memory is a fixed multiple of the group bound or of the longest piece without a place to cut, whichever is more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -57,8 +58,9 @@ def safe_cut(text: str, start: int, limit: int) -> int:
     return len(text)
 
 
-def segments(texts: list, limit: int = GROUP) -> Iterator[tuple[list[str], np.ndarray]]:
-    """Groups of pieces with the index of the text that each belongs to. A text's pieces come in order; None is empty."""
+def segments(texts: list, limit: int = GROUP, cut: Callable[[str, int, int], int] = safe_cut) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Groups of pieces with the index of the text that each belongs to. A text's pieces come in order; None is empty. ``cut`` says
+    where a piece ends, and may go beyond the limit where it must."""
     held: list[str] = []
     owner: list[int] = []
     size = 0
@@ -66,7 +68,7 @@ def segments(texts: list, limit: int = GROUP) -> Iterator[tuple[list[str], np.nd
         text = text or ""
         at = 0
         while True:
-            end = safe_cut(text, at, limit)
+            end = cut(text, at, limit)
             if held and size + end - at > limit:
                 yield held, np.array(owner, np.int64)
                 held, owner, size = [], [], 0
