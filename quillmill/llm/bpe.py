@@ -207,7 +207,9 @@ def _merge_columns(vocabulary: Vocabulary, data: np.ndarray, sizes: np.ndarray)
             yield who[done], ids[:, done]
             if not len(on):
                 return
-            who, ids, key, after, before, sizes, best = who[on], ids[:, on], key[:, on], after[:, on], before[:, on], sizes[on], best[on]
+            # take, unlike an index, keeps rows one after another, so that the flat forms below are views
+            ids, key, after, before = (x.take(on, axis=1) for x in (ids, key, after, before))
+            who, sizes, best = who[on], sizes[on], best[on]
             on, n = np.arange(len(who)), len(who)
         best = best[on]
         at = best & 0xFFFFF

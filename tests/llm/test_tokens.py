@@ -65,11 +65,17 @@ def test_long_texts_are_cut_safely(monkeypatch):
         assert "".join(p for parts, _ in groups for p in parts) == text * 2
         words = [w for parts, _ in groups for p in parts for w in PATTERN.findall(p)]
         assert words == PATTERN.findall(text) * 2
-    monkeypatch.setattr(vectext, "segments", lambda t, limit=64, real=vectext.segments: real(t, limit))
+    monkeypatch.setattr(vectext, "segments", lambda t, limit=64, cut=vectext.safe_cut, real=vectext.segments: real(t, limit, cut))
     assert bpe.Encoder(bpe.Vocabulary.from_ranks(queries.MULTI_RANKS)).encode([text])[0].tolist() == TIKTOKEN.encode_ordinary(text)
     assert tokencount.PieceCounter(queries.PIECES).count([text])[0] == len(PIECES.encode(text))
 
 
+@pytest.mark.parametrize("text", ["ab1cdEf9" * 125_000, "abcdefgh" * 20_000, "漢字仮名交" * 60_000, "zq" * 300 + " " + "k" * 511 + " " + "k" * 513])
+def test_texts_without_a_space(text):
+    assert bpe.Encoder(bpe.Vocabulary.from_ranks(queries.MULTI_RANKS)).encode([text])[0].tolist() == TIKTOKEN.encode_ordinary(text)
+    assert bpe.library_encoder(queries.BYTE_BPE).encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_ROWS", 3)
     e = bpe.Encoder(bpe.Vocabulary.from_ranks(queries.MULTI_RANKS))
