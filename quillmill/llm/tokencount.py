@@ -1,8 +1,12 @@
 """Token counts without ids.
 
-The pieces of every distinct pre-token are counted once per worker and kept in a hashed table; a document is reduced to its
-pre-token frequencies, which join that table by row; the products are summed. No ids are made for a document, and nothing is
-shuffled: the table of counts is a cache, rebuilt wherever a lost executor's tasks run again.
+1. *Distinct pre-tokens.* Tasks reduce their texts to distinct pre-tokens with their numbers; a shuffle by pre-token adds the numbers up,
+   and the pieces of each pre-token are counted there, once. The table of counts is written to the shared folder.
+2. *Frequent ones.* Pre-tokens that are at least one in HOT of all are HOT at most, each under KEY + 1 characters or a digest, so they
+   go to every task, which sums frequency times count over them and keeps the frequencies of the others.
+3. *Join.* Those frequencies (text, pre-token, number) meet the table of counts by pre-token. No pre-token left is more than one in HOT of all, so
+   none is a task by itself. The products are summed by text.
+4. Rows get the count of their text by its digest; texts that make up one in HOT of all rows, HOT at most, by a broadcast.
 
 A pre-token of the piece model is a run of spaces with the non-space characters after it. No piece of such a model holds a
 space behind another character (``check`` verifies that when the model is loaded), so no merge crosses the start of a run, and
@@ -11,6 +15,8 @@ counts of pre-tokens add up to the count of the text.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,12 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmill.llm import bpe, vectext
+from quillmill.llm import bpe, vectext, workspace
 
 #: How the piece model writes a space.
 MARK = "▁"
-#: Pre-tokens that a worker's table holds before it starts anew.
-CACHE_ROWS = 1 << 20
+#: Distinct pre-tokens, and code points of them, that a worker holds before it starts anew.
+CACHE_ROWS, CACHE_POINTS = 1 << 19, 1 << 24
+#: Characters up to which a pre-token is its own key; a longer one's key is its SHA-256 in 64 digits, and the key of a text's own row has 33.
+KEY = 24
+#: Most pre-tokens, and most texts, that are broadcast.
+HOT = 1 << 16
+_DIGEST, _COUNT = "quillmill_text_digest", "quillmill_token_count"
 
 
 class PieceCounter:
@@ -36,15 +47,16 @@ class PieceCounter:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.check()
-        self._reset()
 
     def check(self) -> None:
         for k in range(self.model.get_piece_size()):
             if MARK in self.model.id_to_piece(k).lstrip(MARK):
                 raise ValueError(f"piece {k} of the model holds a space behind another character")
 
-    def _reset(self) -> None:
-        self.table, self.counts = vectext.SliceTable(), np.zeros(0, np.int64)
+    def prepare(self, texts: list) -> tuple[list, dict[int, int]]:
+        """The texts to cut into pre-tokens, and the counts of those that the library has to count whole."""
+        # the model writes its own mark and a space alike, and puts a space before a text that isn't empty
+        return [" " + t.replace(MARK, " ") if t else "" for t in texts], {}
 
     def pretokens(self, parts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The joined parts, their code points, and the starts, ends and parts of the pre-tokens."""
@@ -56,38 +68,11 @@ class PieceCounter:
         begin = np.flatnonzero(first)
         return joined, points, begin, np.append(begin[1:], len(points)), np.searchsorted(starts, begin, "right") - 1
 
-    def count_new(self, tokens: list[str]) -> np.ndarray:
+    def pieces(self, tokens: list[str]) -> np.ndarray:
         """Pieces of each pre-token. Each begins with a space, which is the one that the model puts first itself."""
         bare = [t[1:] for t in tokens]
         return np.array([len(x) if b else 1 for x, b in zip(self.model.encode(bare, num_threads=1), bare)], np.int64)
 
-    def count(self, texts: list) -> np.ndarray:
-        """Pieces of each text; None is empty and has none."""
-        # the model writes its own mark and a space alike, and puts a space before a text that isn't empty
-        return self.total([" " + t.replace(MARK, " ") if t else "" for t in texts])
-
-    def total(self, texts: list) -> np.ndarray:
-        """The sum over each text's pre-tokens of frequency times count."""
-        total = np.zeros(len(texts), np.int64)
-        for parts, owner in vectext.segments(texts, cut=self.cut):
-            joined, points, begin, end, part = self.pretokens(parts)
-            if not len(begin):
-                continue
-            hashes = vectext.SliceHasher(points)(begin, end)
-            if self.table.rows > CACHE_ROWS:
-                self._reset()
-            row = self.table.find(hashes)
-            miss = np.flatnonzero(row < 0)
-            if len(miss):
-                new, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
-                where = miss[where]
-                fresh = self.count_new([joined[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())])
-                row[miss] = self.table.add(new)[back]
-                self.counts = np.concatenate([self.counts, fresh])
-            keys, frequency = np.unique((part << 32) | row, return_counts=True)
-            total += vectext.joined_sums(frequency * self.counts[keys & 0xFFFFFFFF], owner[keys >> 32], len(texts))
-        return total
-
 
 class BytePieceCounter(PieceCounter):
     """The same over the pre-tokens of a byte-level BPE file of the tokenizers library. A text that holds one of the file's
@@ -103,44 +88,178 @@ class BytePieceCounter(PieceCounter):
         self.library.no_padding()
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.vocabulary = bpe.Vocabulary.from_json(path)
-        self._reset()
+
+    def prepare(self, texts: list) -> tuple[list, dict[int, int]]:
+        whole = {k: len(self.library.encode(t, add_special_tokens=False).ids) for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        return [None if k in whole else t for k, t in enumerate(texts)], whole
 
     def pretokens(self, parts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         joined, points, starts = vectext.flatten(parts)
         begin = bpe.token_starts(points, starts)
         return joined, points, begin, np.append(begin[1:], len(points)), np.searchsorted(starts, begin, "right") - 1
 
-    def count_new(self, tokens: list[str]) -> np.ndarray:
+    def pieces(self, tokens: list[str]) -> np.ndarray:
         return bpe.merge_many(self.vocabulary, [t.encode("utf-8", "surrogatepass") for t in tokens])[1]
 
-    def count(self, texts: list) -> np.ndarray:
-        special = [k for k, t in enumerate(texts) if t and any(a in t for a in self.added)]
-        if special:
-            texts = list(texts)
-            own = [len(self.library.encode(texts[k], add_special_tokens=False).ids) for k in special]
-            for k in special:
-                texts[k] = None
-        total = self.total(texts)
-        if special:
-            total[special] = own
-        return total
-
 
 @lru_cache(maxsize=4)
 def counter(path: str) -> PieceCounter:
     return BytePieceCounter(path) if path.endswith(".json") else PieceCounter(path)
 
 
+class Distinct:
+    """Rows of distinct pre-tokens. Each is held whole and compared, so two of one hash are two rows."""
+
+    def __init__(self) -> None:
+        self.table, self.tokens, self.clashes = vectext.SliceTable(), [], {}
+        self.ends, self.pool = np.zeros(1, np.int64), np.zeros(1 << 16, np.uint32)
+
+    @property
+    def full(self) -> bool:
+        return len(self.tokens) > CACHE_ROWS or int(self.ends[-1]) > CACHE_POINTS
+
+    def rows(self, joined: str, points: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The row of each slice; new ones get the next rows."""
+        hashes = vectext.SliceHasher(points)(begin, end)
+        row = self.table.find(hashes).astype(np.int64)
+        miss = np.flatnonzero(row < 0)
+        if len(miss):
+            new, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
+            where = miss[where]
+            row[miss] = self.table.add(new)[back]
+            self._keep([joined[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())])
+        # a hash that another slice had before
+        size = end - begin
+        other = np.flatnonzero(self.ends[row + 1] - self.ends[row] != size)
+        if not len(other):
+            at = np.cumsum(size) - size
+            spread = np.arange(int(size.sum())) - np.repeat(at, size)
+            differs = self.pool[spread + np.repeat(self.ends[row], size)] != points[spread + np.repeat(begin, size)]
+            other = np.flatnonzero(np.logical_or.reduceat(differs, at)) if differs.any() else other
+        else:
+            other = np.array([k for k, (r, a, b) in enumerate(zip(row.tolist(), begin.tolist(), end.tolist())) if self.tokens[r] != joined[a:b]])
+        for k in other.tolist():
+            token = joined[begin[k] : end[k]]
+            if token not in self.clashes:
+                self.clashes[token] = len(self.tokens)
+                self.table.rows += 1
+                self._keep([token])
+            row[k] = self.clashes[token]
+        return row
+
+    def _keep(self, tokens: list[str]) -> None:
+        _, points, starts = vectext.flatten(tokens)
+        used = int(self.ends[-1])
+        if used + len(points) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(points)), np.uint32)])
+        self.pool[used : used + len(points)] = points
+        self.ends = np.concatenate([self.ends, used + starts[1:]])
+        self.tokens += tokens
+
+
+def frequencies(own: PieceCounter, texts: list, seen: Distinct) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts (places in ``texts``), rows of ``seen`` and how often that pre-token is in that text, for groups of bounded size. ``seen`` may be emptied
+    between two groups."""
+    for parts, owner in vectext.segments(texts, cut=own.cut):
+        joined, points, begin, end, part = own.pretokens(parts)
+        if len(begin):
+            keys, number = np.unique(owner[part] << 32 | seen.rows(joined, points, begin, end), return_counts=True)
+            yield keys >> 32, keys & 0xFFFFFFFF, number
+
+
+def _key(token: str) -> str:
+    return token if len(token) <= KEY else hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def distinct_counts(texts: DataFrame, path: str) -> DataFrame:
+    """key, pieces and n (how often it is in all texts) of every distinct pre-token of the one column of ``texts``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen, number = counter(path), Distinct(), np.zeros(0, np.int64)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(seen.tokens), 10_000):
+                tokens = seen.tokens[a : a + 10_000]
+                long = pa.array([t if len(t) > KEY else None for t in tokens], pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(map(_key, tokens), pa.string()), long, pa.array(number[a : a + 10_000])], ["key", "long", "n"])
+
+        for b in batches:
+            for _, row, n in frequencies(own, own.prepare(b.column(0).to_pylist())[0], seen):
+                number = np.concatenate([number, np.zeros(len(seen.tokens) - len(number), np.int64)])
+                number += np.bincount(row, weights=n, minlength=len(number)).astype(np.int64)
+                if seen.full:
+                    yield from flush()
+                    seen.__init__()
+                    number = np.zeros(0, np.int64)
+        yield from flush()
+
+    @F.arrow_udf("long")
+    def pieces(tokens: pa.Array) -> pa.Array:
+        return pa.array(counter(path).pieces(tokens.to_pylist()), pa.int64())
+
+    found = texts.mapInArrow(run, "key string, long string, n long").groupBy("key", "long").agg(F.sum("n").alias("n"))
+    return workspace.stage(found.select("key", pieces(F.coalesce("long", "key")).alias("pieces"), "n"), "pretokens")
+
+
+def _rest(texts: DataFrame, path: str, hot: dict[str, int]) -> DataFrame:
+    """For each row of ``texts`` (digest, text) one row with its sum over ``hot`` and 1 in ``copies``, and rows of the frequencies of its other pre-tokens."""
+    shared = texts.sparkSession.sparkContext.broadcast(hot)
+    names = ["digest", "key", "n", "hot", "copies"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen, known, value = counter(path), Distinct(), shared.value, np.zeros(0, np.int64)
+        for b in batches:
+            ready, whole = own.prepare(b.column(1).to_pylist())
+            digests, total = b.column(0), np.zeros(len(ready), np.int64)
+            for k, n in whole.items():
+                total[k] = n
+            for text, row, n in frequencies(own, ready, seen):
+                fresh = seen.tokens[len(value) :]
+                value = np.concatenate([value, np.fromiter((known.get(_key(t), -1) for t in fresh), np.int64, len(fresh))])
+                worth = value[row]
+                total += vectext.joined_sums(n * np.maximum(worth, 0), text, len(ready))
+                left = np.flatnonzero(worth < 0)
+                if len(left):
+                    each, back = np.unique(row[left], return_inverse=True)
+                    keys = pa.array([_key(seen.tokens[r]) for r in each.tolist()], pa.string()).take(pa.array(back))
+                    zero = pa.array(np.zeros(len(left), np.int64))
+                    yield pa.RecordBatch.from_arrays([digests.take(pa.array(text[left])), keys, pa.array(n[left].astype(np.int64)), zero, zero], names)
+                if seen.full:
+                    seen.__init__()
+                    value = np.zeros(0, np.int64)
+            # a key that no pre-token has, and that differs from text to text
+            keys = pa.array(["." + d.hex() for d in digests.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([digests, keys, pa.array(np.zeros(len(total), np.int64)), pa.array(total), pa.array(np.ones(len(total), np.int64))], names)
+
+    return texts.mapInArrow(run, "digest binary, key string, n long, hot long, copies long")
+
+
+def text_counts(texts: DataFrame, path: str) -> DataFrame:
+    """digest, copies (rows with that text) and tokens of every distinct text of ``texts`` (digest, text)."""
+    counts = distinct_counts(texts.select("text"), path)
+    every = counts.agg(F.sum("n")).head()[0] or 0
+    # each is at least one in HOT of all, so they are HOT at most
+    hot = {r["key"]: r["pieces"] for r in counts.where(F.col("n") * HOT >= every).select("key", "pieces").collect()}
+    joined = _rest(texts, path, hot).join(counts.where(F.col("n") * HOT < every).select("key", "pieces"), "key", "left")
+    sums = joined.groupBy("digest").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(0)) + F.col("hot")).alias("all"), F.sum("copies").alias("copies"))
+    # every copy of a text brought the same sum
+    return workspace.stage(sums.select("digest", "copies", F.expr("`all` div copies").alias("tokens")), "token-counts")
+
+
 def with_token_count(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
     """Add the number of tokens (long) of every whole text under a sentencepiece ``.model`` or a byte-level BPE ``.json`` file
     at ``path``, which every executor must be able to open.
 
     Null and empty texts have 0 tokens. No begin, end or added special tokens, no truncation. Repeated rows each get their
-    count; other columns pass through, nulls included, and a column named like the output is replaced.
+    count; other columns pass through, nulls included, and a column named like the output is replaced. ``df`` is read four times and must
+    give the same texts each time. An empty table gives an empty one.
     """
-
-    @F.arrow_udf("long")
-    def count(texts: pa.Array) -> pa.Array:
-        return pa.array(counter(path).count(texts.to_pylist()), pa.int64())
-
-    return df.withColumn(out, count(F.col(text)))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = df.withColumn(_DIGEST, F.substring(F.unhex(F.sha2(body, 256)), 1, 16))
+    found = text_counts(rows.select(F.col(_DIGEST).alias("digest"), body.alias("text")), path)
+    every = found.agg(F.sum("copies")).head()[0] or 0
+    counts = found.select(F.col("digest").alias(_DIGEST), F.col("tokens").alias(_COUNT), (F.col("copies") * HOT >= every).alias("often"))
+    often, others = counts.where("often").drop("often"), counts.where("NOT often").drop("often")
+    frequent = rows.join(F.broadcast(often), _DIGEST)
+    rare = rows.join(F.broadcast(often.select(_DIGEST)), _DIGEST, "left_anti").join(others, _DIGEST)
+    return frequent.unionByName(rare).withColumn(out, F.col(_COUNT)).drop(_DIGEST, _COUNT)

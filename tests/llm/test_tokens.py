@@ -31,6 +31,18 @@ def documents(spark, path):
     return [(r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
 
 
+def token_counts(path, parts):
+    """What the operator computes, without Spark: distinct pre-tokens, their pieces, sums by text."""
+    own, seen = tokencount.counter(path), tokencount.Distinct()
+    ready, whole = own.prepare(parts)
+    total = [whole.get(k, 0) for k in range(len(parts))]
+    for text, row, n in tokencount.frequencies(own, ready, seen):
+        pieces = own.pieces(seen.tokens)
+        for k, r, m in zip(text, row, n):
+            total[k] += int(pieces[r] * m)
+    return total
+
+
 @settings(max_examples=400, deadline=None)
 @given(texts)
 def test_pretokens(parts):
@@ -46,15 +58,15 @@ def test_ids(parts):
         assert got.tolist() == TIKTOKEN.encode_ordinary(text)
     for got, text in zip(bpe.library_encoder(queries.BYTE_BPE).encode(parts), parts):
         assert got.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
-    assert tokencount.counter(queries.PIECES).count(parts).tolist() == [len(PIECES.encode(t)) for t in parts]
-    assert tokencount.counter(queries.BYTE_BPE).count(parts).tolist() == [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in parts]
+    assert token_counts(queries.PIECES, parts) == [len(PIECES.encode(t)) for t in parts]
+    assert token_counts(queries.BYTE_BPE, parts) == [len(LIBRARY.encode(t, add_special_tokens=False).ids) for t in parts]
 
 
 def test_special_strings():
     text = "a<|endoftext|> b <|endoftext|>"
     want = LIBRARY.encode(text, add_special_tokens=False).ids
     assert 50256 in want and bpe.library_encoder(queries.BYTE_BPE).encode([text, None])[0].tolist() == want
-    assert tokencount.counter(queries.BYTE_BPE).count([text])[0] == len(want)
+    assert token_counts(queries.BYTE_BPE, [text])[0] == len(want)
 
 
 def test_long_texts_are_cut_safely(monkeypatch):
@@ -67,7 +79,7 @@ def test_long_texts_are_cut_safely(monkeypatch):
         assert words == PATTERN.findall(text) * 2
     monkeypatch.setattr(vectext, "segments", lambda t, limit=64, cut=vectext.safe_cut, real=vectext.segments: real(t, limit, cut))
     assert bpe.Encoder(bpe.Vocabulary.from_ranks(queries.MULTI_RANKS)).encode([text])[0].tolist() == TIKTOKEN.encode_ordinary(text)
-    assert tokencount.PieceCounter(queries.PIECES).count([text])[0] == len(PIECES.encode(text))
+    assert token_counts(queries.PIECES, [text])[0] == len(PIECES.encode(text))
 
 
 @pytest.mark.parametrize("text", ["ab1cdEf9" * 125_000, "abcdefgh" * 20_000, "漢字仮名交" * 60_000, "zq" * 300 + " " + "k" * 511 + " " + "k" * 513])
@@ -106,11 +118,33 @@ def test_bpe_columns(spark, odd, none):
 def test_op8(spark, small, odd, none):
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op8_token_counts(spark, small).collect()}
     assert got == {k: (len(t.encode()), n := len(PIECES.encode(t)), n > 4096) for k, t in documents(spark, small)}
-    counted = tokencount.with_token_count(odd, queries.PIECES, out="n").collect()
-    assert [r["n"] for r in counted] == [len(PIECES.encode(r["text"] or "")) for r in counted] and len(counted) == odd.count()
+    counted = tokencount.with_token_count(odd, queries.PIECES, out="n")
+    assert counted.columns == odd.columns
+    rows = counted.collect()
+    assert [r["n"] for r in rows] == [len(PIECES.encode(r["text"] or "")) for r in rows]
+    assert Counter(str(r.asDict() | {"n": 1}) for r in rows) == Counter(str(r.asDict()) for r in odd.collect())
     assert tokencount.with_token_count(none, queries.PIECES).count() == 0
 
 
+@pytest.mark.parametrize("path", [queries.PIECES, queries.BYTE_BPE])
+def test_token_counts_by_the_join(spark, odd, path, monkeypatch):
+    """Few frequent pre-tokens and texts, so nearly all go by the shuffled joins; caches that start anew; long pre-tokens; copies."""
+    monkeypatch.setattr(tokencount, "HOT", 3)
+    pick = random.Random(2)
+    some = [" ".join(pick.choice(["the", "of", "x" * 40, "漢字", "a1b2", "don't"]) for _ in range(pick.randint(0, 60))) for _ in range(60)]
+    some += [some[0]] * 40 + ["z" * 5000, "  ", "the the", "Z" * 5000 + " y"]
+    df = odd.select("doc_id", "text").unionByName(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")).repartition(3)
+    rows = tokencount.with_token_count(df, path).collect()
+    size = (lambda t: len(PIECES.encode(t))) if path == queries.PIECES else (lambda t: len(LIBRARY.encode(t, add_special_tokens=False).ids))
+    assert len(rows) == df.count() and all(r["n_tokens"] == size(r["text"] or "") for r in rows)
+
+
+def test_distinct_tells_equal_hashes_apart(monkeypatch):
+    monkeypatch.setattr(vectext.SliceHasher, "__call__", lambda self, a, b: np.ones(len(a), np.uint64))
+    parts = ["ab cd ab ef", " abc", "cd"]
+    assert token_counts(queries.PIECES, parts) == [len(PIECES.encode(t)) for t in parts]
+
+
 # --- id files --------------------------------------------------------------------------------------------------------
 
 
