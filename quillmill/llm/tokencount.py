@@ -2,11 +2,11 @@
 
 1. *Distinct pre-tokens.* Tasks reduce their texts to distinct pre-tokens with their numbers; a shuffle by pre-token adds the numbers up,
    and the pieces of each pre-token are counted there, once. The table of counts is written to the shared folder.
-2. *Frequent ones.* Pre-tokens that are at least one in HOT of all are HOT at most, each under KEY + 1 characters or a digest, so they
+2. *Frequent ones.* Pre-tokens that are at least one in HOT of all are HOT at most, and 20 bytes each (a 128-bit digest and the count), so they
    go to every task, which sums frequency times count over them and keeps the frequencies of the others.
 3. *Join.* Those frequencies (text, pre-token, number) meet the table of counts by pre-token. No pre-token left is more than one in HOT of all, so
    none is a task by itself. The products are summed by text.
-4. Rows get the count of their text by its digest; texts that make up one in HOT of all rows, HOT at most, by a broadcast.
+4. Rows get the count of their text by its digest; texts that make up one in HOT_TEXTS of all rows, HOT_TEXTS at most, by a broadcast.
 
 A pre-token of the piece model is a run of spaces with the non-space characters after it. No piece of such a model holds a
 space behind another character (``check`` verifies that when the model is loaded), so no merge crosses the start of a run, and
@@ -32,8 +32,8 @@ MARK = "▁"
 CACHE_ROWS, CACHE_POINTS = 1 << 19, 1 << 24
 #: Characters up to which a pre-token is its own key; a longer one's key is its SHA-256 in 64 digits, and the key of a text's own row has 33.
 KEY = 24
-#: Most pre-tokens, and most texts, that are broadcast.
-HOT = 1 << 16
+#: Most pre-tokens (168 MB, were all of one frequency), and most texts (2 MB), that are broadcast.
+HOT, HOT_TEXTS = 1 << 23, 1 << 16
 _DIGEST, _COUNT = "quillmill_text_digest", "quillmill_token_count"
 
 
@@ -178,10 +178,12 @@ def distinct_counts(texts: DataFrame, path: str) -> DataFrame:
         own, seen, number = counter(path), Distinct(), np.zeros(0, np.int64)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(seen.tokens), 10_000):
-                tokens = seen.tokens[a : a + 10_000]
+            order = sorted(range(len(seen.tokens)), key=seen.tokens.__getitem__)  # sorted keys compress better
+            for a in range(0, len(order), 10_000):
+                part = order[a : a + 10_000]
+                tokens = [seen.tokens[k] for k in part]
                 long = pa.array([t if len(t) > KEY else None for t in tokens], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(map(_key, tokens), pa.string()), long, pa.array(number[a : a + 10_000])], ["key", "long", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_key, tokens), pa.string()), long, pa.array(number[part])], ["key", "long", "n"])
 
         for b in batches:
             for _, row, n in frequencies(own, own.prepare(b.column(0).to_pylist())[0], seen):
@@ -201,10 +203,38 @@ def distinct_counts(texts: DataFrame, path: str) -> DataFrame:
     return workspace.stage(found.select("key", pieces(F.coalesce("long", "key")).alias("pieces"), "n"), "pretokens")
 
 
-def _rest(texts: DataFrame, path: str, hot: dict[str, int]) -> DataFrame:
-    """For each row of ``texts`` (digest, text) one row with its sum over ``hot`` and 1 in ``copies``, and rows of the frequencies of its other pre-tokens."""
-    shared = texts.sparkSession.sparkContext.broadcast(hot)
-    names = ["digest", "key", "n", "hot", "copies"]
+class Frequent:
+    """Piece counts by the MD5 of a key, in arrays ordered by its first half."""
+
+    def __init__(self, found: pa.Table) -> None:
+        """found: digest (16 bytes) and pieces."""
+        digests = np.frombuffer(b"".join(found.column("digest").to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+        order = np.lexsort((digests[:, 1], digests[:, 0]))
+        self.first, self.second = digests[order].T.copy()
+        self.counts = found.column("pieces").to_numpy()[order].astype(np.int32)
+
+    def pieces(self, keys: list[str]) -> np.ndarray:
+        """Pieces of each key, -1 for those that are not held."""
+        out = np.full(len(keys), -1, np.int64)
+        if not len(keys):
+            return out
+        want = np.frombuffer(b"".join([hashlib.md5(k.encode("utf-8", "surrogatepass")).digest() for k in keys]), ">u8").astype(np.uint64).reshape(-1, 2)
+        at, last = np.searchsorted(self.first, want[:, 0]), np.searchsorted(self.first, want[:, 0], "right")
+        left = np.flatnonzero(at < last)
+        while len(left):  # once, unless two share the first half
+            hit = self.second[at[left]] == want[left, 1]
+            out[left[hit]] = self.counts[at[left[hit]]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < last[left]]
+        return out
+
+
+def _rest(texts: DataFrame, path: str, frequent: Frequent) -> DataFrame:
+    """The frequencies ``n`` of each text's pre-tokens that are not ``frequent``; and for each row of ``texts`` (digest, text) a row with its
+    sum over the frequent ones as ``n``, under a key that no pre-token has."""
+    shared = texts.sparkSession.sparkContext.broadcast(frequent)
+    names = ["digest", "key", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, known, value = counter(path), Distinct(), shared.value, np.zeros(0, np.int64)
@@ -214,24 +244,22 @@ def _rest(texts: DataFrame, path: str, hot: dict[str, int]) -> DataFrame:
             for k, n in whole.items():
                 total[k] = n
             for text, row, n in frequencies(own, ready, seen):
-                fresh = seen.tokens[len(value) :]
-                value = np.concatenate([value, np.fromiter((known.get(_key(t), -1) for t in fresh), np.int64, len(fresh))])
+                value = np.concatenate([value, known.pieces([_key(t) for t in seen.tokens[len(value) :]])])
                 worth = value[row]
                 total += vectext.joined_sums(n * np.maximum(worth, 0), text, len(ready))
                 left = np.flatnonzero(worth < 0)
                 if len(left):
                     each, back = np.unique(row[left], return_inverse=True)
                     keys = pa.array([_key(seen.tokens[r]) for r in each.tolist()], pa.string()).take(pa.array(back))
-                    zero = pa.array(np.zeros(len(left), np.int64))
-                    yield pa.RecordBatch.from_arrays([digests.take(pa.array(text[left])), keys, pa.array(n[left].astype(np.int64)), zero, zero], names)
+                    yield pa.RecordBatch.from_arrays([digests.take(pa.array(text[left])), keys, pa.array(n[left].astype(np.int64))], names)
                 if seen.full:
                     seen.__init__()
                     value = np.zeros(0, np.int64)
-            # a key that no pre-token has, and that differs from text to text
-            keys = pa.array(["." + d.hex() for d in digests.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([digests, keys, pa.array(np.zeros(len(total), np.int64)), pa.array(total), pa.array(np.ones(len(total), np.int64))], names)
+            # keys differ from text to text, so that these rows are spread over the tasks of the join
+            keys = pa.array(["." + d.hex().zfill(32) for d in digests.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([digests, keys, pa.array(total)], names)
 
-    return texts.mapInArrow(run, "digest binary, key string, n long, hot long, copies long")
+    return texts.mapInArrow(run, "digest binary, key string, n long")
 
 
 def text_counts(texts: DataFrame, path: str) -> DataFrame:
@@ -239,9 +267,10 @@ def text_counts(texts: DataFrame, path: str) -> DataFrame:
     counts = distinct_counts(texts.select("text"), path)
     every = counts.agg(F.sum("n")).head()[0] or 0
     # each is at least one in HOT of all, so they are HOT at most
-    hot = {r["key"]: r["pieces"] for r in counts.where(F.col("n") * HOT >= every).select("key", "pieces").collect()}
-    joined = _rest(texts, path, hot).join(counts.where(F.col("n") * HOT < every).select("key", "pieces"), "key", "left")
-    sums = joined.groupBy("digest").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(0)) + F.col("hot")).alias("all"), F.sum("copies").alias("copies"))
+    frequent = Frequent(counts.where(F.col("n") * HOT >= every).select(F.unhex(F.md5("key")).alias("digest"), "pieces").toArrow())
+    joined = _rest(texts, path, frequent).join(counts.where(F.col("n") * HOT < every).select("key", "pieces"), "key", "left")
+    # only the rows of texts have no partner
+    sums = joined.groupBy("digest").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("all"), F.count(F.when(F.col("pieces").isNull(), 1)).alias("copies"))
     # every copy of a text brought the same sum
     return workspace.stage(sums.select("digest", "copies", F.expr("`all` div copies").alias("tokens")), "token-counts")
 
@@ -255,10 +284,10 @@ def with_token_count(df: DataFrame, path: str, text: str = "text", out: str = "n
     give the same texts each time. An empty table gives an empty one.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = df.withColumn(_DIGEST, F.substring(F.unhex(F.sha2(body, 256)), 1, 16))
+    rows = df.withColumn(_DIGEST, F.substring(F.unhex(F.sha2(body, 256)), 1, 12))
     found = text_counts(rows.select(F.col(_DIGEST).alias("digest"), body.alias("text")), path)
     every = found.agg(F.sum("copies")).head()[0] or 0
-    counts = found.select(F.col("digest").alias(_DIGEST), F.col("tokens").alias(_COUNT), (F.col("copies") * HOT >= every).alias("often"))
+    counts = found.select(F.col("digest").alias(_DIGEST), F.col("tokens").alias(_COUNT), (F.col("copies") * HOT_TEXTS >= every).alias("often"))
     often, others = counts.where("often").drop("often"), counts.where("NOT often").drop("often")
     frequent = rows.join(F.broadcast(often), _DIGEST)
     rare = rows.join(F.broadcast(often.select(_DIGEST)), _DIGEST, "left_anti").join(others, _DIGEST)

@@ -130,6 +130,7 @@ def test_op8(spark, small, odd, none):
 def test_token_counts_by_the_join(spark, odd, path, monkeypatch):
     """Few frequent pre-tokens and texts, so nearly all go by the shuffled joins; caches that start anew; long pre-tokens; copies."""
     monkeypatch.setattr(tokencount, "HOT", 3)
+    monkeypatch.setattr(tokencount, "HOT_TEXTS", 3)
     pick = random.Random(2)
     some = [" ".join(pick.choice(["the", "of", "x" * 40, "漢字", "a1b2", "don't"]) for _ in range(pick.randint(0, 60))) for _ in range(60)]
     some += [some[0]] * 40 + ["z" * 5000, "  ", "the the", "Z" * 5000 + " y"]
