@@ -268,7 +268,7 @@ def text_counts(texts: DataFrame, path: str) -> DataFrame:
     every = counts.agg(F.sum("n")).head()[0] or 0
     # each is at least one in HOT of all, so they are HOT at most
     frequent = Frequent(counts.where(F.col("n") * HOT >= every).select(F.unhex(F.md5("key")).alias("digest"), "pieces").toArrow())
-    joined = _rest(texts, path, frequent).join(counts.where(F.col("n") * HOT < every).select("key", "pieces"), "key", "left")
+    joined = _rest(texts, path, frequent).join(counts.where(F.col("n") * HOT < every).select("key", "pieces").hint("merge"), "key", "left")
     # only the rows of texts have no partner
     sums = joined.groupBy("digest").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("all"), F.count(F.when(F.col("pieces").isNull(), 1)).alias("copies"))
     # every copy of a text brought the same sum
