@@ -270,7 +270,7 @@ def test_copies_are_no_template():
     assert found[3] == "Story 3" and found[20:] == ["Story 20\nCorrected", "All rights"]
 
 
-def test_alignment_by_brute_force():
+def test_alignment_by_brute_force(monkeypatch):
     pick = random.Random(4)
 
     def tree(depth):
@@ -287,10 +287,36 @@ def test_alignment_by_brute_force():
 
         return 1 + children(a[1], b[1])
 
-    for _ in range(200):
+    def known(shapes, x):
+        return shapes.shape(x[0], tuple(known(shapes, c) for c in x[1]))
+
+    def preorder(x):
+        return [x[0]] + [label for c in x[1] for label in preorder(c)]
+
+    for k in range(200):
         a, b = tree(3), tree(3)
-        places = [p for p in html.align(a, b) if p is not None]
+        shapes = html.Shapes()
+        monkeypatch.setattr(html, "CELLS", (1 << 20, 1, 4)[k % 3])  # long sequences are halved
+        found = shapes.align(known(shapes, a), known(shapes, b))
+        places = [p for p in found if p is not None]
         assert len(places) == len(set(places)) == best(a, b) and places == sorted(places)
+        assert all(p is None or preorder(b)[p] == label for p, label in zip(found, preorder(a), strict=True))
+
+
+def test_deep_wide_and_mirrored_pages():
+    deep = lambda k: "<div>" * (5000 + k) + f"text {k}" + "</div>" * 5000
+    assert html.extract_group([deep(k) for k in range(6)]) == [f"text {k}" for k in range(6)]
+    lists = lambda k: "<ul><li>" * 3000 + f"item {k}"
+    assert html.extract_group([lists(k) for k in range(6)]) == [f"item {k}" for k in range(6)]
+    # the same parts in another order at both ends, so that nothing is equal from the start
+    wide = lambda k: "<article>" + f"<ul><li>first {k}</ul>" * (k % 2) + "".join(f"<h2>head {n}</h2><p>text {n} of {k}</p>" for n in range(5000 - k)) + f"<ol><li>last {k}</ol>" * (k % 3) + "</article>"
+    for k, found in enumerate(html.extract_group([wide(k) for k in range(6)])):
+        want = [f"first {k}"] * (k % 2) + [x for n in range(5000 - k) for x in (f"head {n}", f"text {n} of {k}")] + [f"last {k}"] * (k % 3)
+        assert found == "\n".join(want)
+    # pages of one article that differ beside it, of whatever number
+    mirror = lambda k: f"<body><nav>menu</nav><article><h1>Same title</h1><p>Same body text.</p></article><div class=comments>comment {k}</div><script>token({k})</script></body>"
+    for n in (1, 4, 5, 8, 50):
+        assert html.extract_group([mirror(k) for k in range(n)]) == ["Same title\nSame body text."] * n
 
 
 def test_op3(spark, small, none):
