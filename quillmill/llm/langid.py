@@ -212,7 +212,7 @@ def viterbi(rows: list[np.ndarray], scores: np.ndarray) -> list[np.ndarray]:
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
     steps = int(lengths[0]) if n else 0
-    out: list[np.ndarray] = [np.zeros(0, np.int8)] * n
+    out: list[np.ndarray] = [np.zeros(0, np.int32)] * n
     if not steps:
         return out
     live = np.searchsorted(-lengths, -np.arange(steps), "left")  # sequences longer than t
@@ -224,7 +224,7 @@ def viterbi(rows: list[np.ndarray], scores: np.ndarray) -> list[np.ndarray]:
         if length:
             packed[ends[:length] - live[:length] + k] = rows[order[k]]
     stay = np.zeros((len(packed), states), bool)
-    source = np.zeros(len(packed), np.int8)
+    source = np.zeros(len(packed), np.int32)
     value = np.zeros((n, states), np.float32)
     value[:] = 0
     at = 0
@@ -238,7 +238,7 @@ def viterbi(rows: list[np.ndarray], scores: np.ndarray) -> list[np.ndarray]:
         v += scores[packed[at : at + m]]
         at += m
     state = value.argmax(axis=1)
-    path = np.zeros(len(packed), np.int8)
+    path = np.zeros(len(packed), np.int32)
     for m in live[::-1].tolist():
         at -= m
         s = state[:m]
