@@ -18,13 +18,43 @@ def name_order(name: Column) -> list[Column]:
     return [F.upper(name), name]
 
 
+#: Ranges in which the names are ranked, and names looked at for their bounds. Neither changes the result.
+RANGES, LOOKED_AT = 64, 4096
+
+
+def _range_of(names: DataFrame, key: Column) -> Column:
+    """The number of the range that a key is in: ranges follow the order of the keys and are about equally large."""
+    seen = names.orderBy(F.xxhash64(F.col("k"))).limit(LOOKED_AT).select(key.alias("k")).orderBy("k").collect()
+    kinds = names.select(key.alias("k")).schema["k"].dataType
+    bounds = [seen[len(seen) * i // RANGES]["k"] for i in range(1, RANGES)] if len(seen) > RANGES else []
+    found = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, kinds))) for x in bounds)) if bounds else None
+    return F.size(F.filter(found, lambda x: x <= key)) if bounds else F.lit(0)
+
+
 def join_pieces(df: DataFrame, group: str, name: str, text: str = "text", newline: str = "\r\n") -> DataFrame:
     """group, seq (from 1), name and piece: the texts of each group in name order, each with its separator. Writing the pieces in
-    order gives the joined file. Names are unique in a group. Only names are ranked; texts meet their rank by group and name, so a large
-    group's texts are spread over tasks."""
-    order = Window.partitionBy(group).orderBy(*name_order(F.col(name)))
-    ranks = df.select(group, name).withColumn("seq", F.row_number().over(order))
-    return df.join(ranks, [group, name]).select(group, "seq", name, with_separator(F.coalesce(F.col(text), F.lit("")), newline).alias("piece"))
+    order gives the joined file.
+
+    A null group is a group, null names come first, and rows that repeat a name are ordered by the SHA-256 of their texts; each row has its
+    piece. A null text is an empty one. An empty table gives an empty one; other columns are not read. Names without texts are ranked, in ranges of
+    names, so neither a large group nor its texts meet in one task. A small job finds the bounds of the ranges.
+    """
+    body = F.coalesce(F.col(text), F.lit(""))
+    rows = df.select(F.col(group).alias("g"), F.col(name).alias("n"), F.sha2(body, 256).alias("h"), body.alias("t"))
+    key = F.struct("g", F.upper("n").alias("u"), "n", "h")
+    # rows alike in all three are counted, and told apart again at the end
+    counts = rows.groupBy("g", "n", "h").agg(F.count(F.lit(1)).alias("copies")).withColumn("k", key)
+    ranged = counts.withColumn("r", _range_of(counts, F.col("k")))
+    inside = Window.partitionBy("g", "r").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.withColumn("inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
+    before = Window.partitionBy("g").orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
+    # at most RANGES rows a group
+    totals = ranged.groupBy("g", "r").agg(F.sum("copies").alias("all")).select(F.col("g").alias("g2"), F.col("r").alias("r2"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("before"))
+    starts = ranked.join(totals, ranked["g"].eqNullSafe(totals["g2"]) & (ranked["r"] == totals["r2"])).select("g", "n", "h", "copies", (F.col("before") + F.col("inside")).alias("start"))
+    texts = rows.groupBy(F.col("g").alias("g2"), F.col("n").alias("n2"), F.col("h").alias("h2")).agg(F.first("t").alias("t"))
+    met = starts.join(texts, starts["h"].eqNullSafe(texts["h2"]) & starts["n"].eqNullSafe(texts["n2"]) & starts["g"].eqNullSafe(texts["g2"]))
+    seq = F.explode(F.sequence(F.col("start") + 1, F.col("start") + F.col("copies")).cast("array<int>"))
+    return met.select(F.col("g").alias(group), seq.alias("seq"), F.col("n").alias(name), with_separator(F.col("t"), newline).alias("piece"))
 
 
 def join_texts(df: DataFrame, name: str, text: str = "text", newline: str = "\r\n") -> DataFrame:

@@ -139,6 +139,18 @@ def test_join(spark, tmp_path, given, count, want):
     assert {r["path"].rsplit("/", 1)[-1] for r in files.list_files(spark, str(tmp_path), "*.TXT").collect()} == {n for n in given if n.lower().endswith(".txt")} | {"out.txt"}
 
 
+def test_join_pieces_of_repeated_and_null_names(spark):
+    rows = [("g", "b", "2", "k"), ("g", "b", "2", "k"), ("g", None, "0", "k"), ("g", None, None, "k"), (None, "x", "3", "k"), ("g", "A", "1", "k")] + [("big", f"f{k:04}", str(k), "k") for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, n string, text string, k string")
+    found = joiner.join_pieces(df, "g", "n", newline="\n").orderBy("g", "seq").collect()
+    assert [(r["seq"], r["n"], r["piece"]) for r in found if r["g"] == "big"] == [(k + 1, f"f{k:04}", f"{k}\n") for k in range(300)]
+    assert [(r["seq"], r["n"], r["piece"]) for r in found if r["g"] is None] == [(1, "x", "3\n")]
+    small = [(r["seq"], r["n"], r["piece"]) for r in found if r["g"] == "g"]
+    assert sorted(x[2] for x in small[:2]) == ["\n", "0\n"] and [x[1] for x in small[:2]] == [None, None]
+    assert small[2:] == [(3, "A", "1\n"), (4, "b", "2\n"), (5, "b", "2\n")] and len(found) == len(rows)
+    assert joiner.join_pieces(df.limit(0), "g", "n").count() == 0
+
+
 def test_join_pieces_and_batch(spark):
     df = spark.createDataFrame([("g", "b", "2"), ("g", "A", "1\n"), ("h", "x", None)], "g string, n string, text string")
     assert [tuple(r) for r in joiner.join_pieces(df, "g", "n", newline="\n").orderBy("g", "seq").collect()] == [("g", 1, "A", "1\n"), ("g", 2, "b", "2\n"), ("h", 1, "x", "\n")]
