@@ -22,7 +22,6 @@ def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a small table out where they come from fewer files than the cluster has cores: a file of one row group is
     one task, however small the splits. Larger tables, and those of more files, are left as they are, without a shuffle."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(df._jdf.inputFiles()) < cores:
-        return df
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL_TABLE else df
+    # the files of a large table are not listed here
+    return df.repartition(cores) if 0 < size < SMALL_TABLE and len(df._jdf.inputFiles()) < cores else df
