@@ -11,46 +11,44 @@ from quillmill.operators import lines
 W = lines.Width
 
 MERGE = [
-    (["1234567890", "abcdefghij", "ABCDEFGHIJ", "klmnopqrst"], 20, W.BYTES, None, ["1234567890abcdefghij", "ABCDEFGHIJklmnopqrst"]),
-    (["hello"], 100, W.BYTES, None, ["hello"]),
-    (["", ""], 1, W.BYTES, None, []),
-    (["a", "b", "c", "d", "e"], 3, W.CHARS, None, ["abc", "de"]),
-    (["你好", "世界", "测试"], 4, W.CHARS, None, ["你好世界", "测试"]),
-    (["你好", "世", "界"], 6, W.BYTES, None, ["你好", "世界"]),
-    (["你好", "世", "界"], 2, W.CHARS, None, ["你好", "世界"]),
-    (["Hello.", "World", "Done!", "Next"], 100, W.CHARS, ".!。！", ["Hello.", "WorldDone!", "Next"]),
-    (["Hello.", "World"], 100, W.CHARS, None, ["Hello.World"]),
-    (["a", "", "b"], 2, W.CHARS, None, ["ab"]),
-    (["𠀀", "x"], 2, W.CHARS, None, ["𠀀", "x"]),
-    (["。", " ", "x"], 100, W.CHARS, "。", ["。", " x"]),
     ([], 5, W.CHARS, None, []),
     (None, 5, W.CHARS, None, None),
+    (["", "", ""], 2, W.CHARS, None, []),
+    (["only one line"], 50, W.BYTES, None, ["only one line"]),
+    (["red", "green", "blue"], 8, W.CHARS, None, ["redgreen", "blue"]),
+    (["12", "345", "6", "78"], 4, W.BYTES, None, ["12345", "678"]),
+    (["one", "", "two"], 6, W.CHARS, None, ["onetwo"]),
+    (["山川", "草", "木"], 5, W.BYTES, None, ["山川", "草木"]),
+    (["山", "川", "草木"], 2, W.CHARS, None, ["山川", "草木"]),
+    (["𝄞", "z"], 2, W.CHARS, None, ["𝄞", "z"]),
+    (["Stop;", "go"], 90, W.CHARS, None, ["Stop;go"]),
+    (["Stop;", "go", "on;", "end"], 90, W.CHARS, ";：", ["Stop;", "goon;", "end"]),
+    (["；", " ", "y"], 90, W.CHARS, "；", ["；", " y"]),
 ]
 CJK = [
-    (["你好", "吗？"], None, ["你好吗？"]),
-    (["你好吗？", "下一个段落"], None, ["你好吗？", "下一个段落"]),
-    (["", ""], None, ["", ""]),
-    (["今天", "天气", "真", "好。"], None, ["今天天气真好。"]),
-    (["你好", "世界"], "好", ["你好", "世界"]),
-    (["你好。"], "。", ["你好。"]),
-    (["你好  ", "世界"], None, ["你好  世界"]),
-    (["你好", "   ", "世界"], None, ["你好   世界"]),
-    (["𠀀", "test"], None, ["𠀀", "test"]),
-    ([" ", "你", "好"], None, [" ", "你好"]),
-    (["你　", "好"], None, ["你　好"]),
-    (["你", ""], None, ["你"]),
     ([], None, []),
+    (["", "", ""], None, ["", "", ""]),
+    (["春", "夏", "秋冬", "到了。"], None, ["春夏秋冬到了。"]),
+    (["水长！", "第二段"], None, ["水长！", "第二段"]),
+    (["山高", "水长"], "高", ["山高", "水长"]),
+    (["水长。"], "。", ["水长。"]),
+    (["山高   ", "水长"], None, ["山高   水长"]),
+    (["山高", " ", "水长"], None, ["山高 水长"]),
+    (["  ", "山", "川"], None, ["  ", "山川"]),
+    (["山　", "川"], None, ["山　川"]),
+    (["山", ""], None, ["山"]),
+    (["𠀁", "word"], None, ["𠀁", "word"]),
 ]
 PUNCT = [
-    (["回家吧，", "孩子"], "，", None, ["回家吧，孩子"]),
-    (["回家吧", "孩子"], "，", None, ["回家吧", "孩子"]),
-    (["你好，", "世界"], "", None, ["你好，", "世界"]),
-    (["回家吧。", "孩子"], "，", "。", ["回家吧。", "孩子"]),
-    (["第一，", "第二、", "第三；", "结束"], "，、；", None, ["第一，第二、第三；结束"]),
-    (["你好，  ", "世界"], "，", None, ["你好，  世界"]),
-    (["你好，世界"], "，", None, ["你好，世界"]),
-    (["a，", "", "b"], "，", None, ["a，b"]),
-    (["a]", "b^", "c-", "d"], "]^-\\", None, ["a]b^c-d"]),
+    (["其一；", "其二：", "其三、", "完"], "：；、", None, ["其一；其二：其三、完"]),
+    (["先吃饭、", "再走"], "", None, ["先吃饭、", "再走"]),
+    (["先吃饭", "再走"], "、", None, ["先吃饭", "再走"]),
+    (["先吃饭！", "再走"], "、", "！", ["先吃饭！", "再走"]),
+    (["先吃饭、", "再走！", "快、", "走"], "、！", "！", ["先吃饭、再走！", "快、走"]),
+    (["山高、 ", "水长"], "、", None, ["山高、 水长"]),
+    (["山高、水长"], "、", None, ["山高、水长"]),
+    (["m、", "", "n"], "、", None, ["m、n"]),
+    (["p^", "q]", "r\\", "s"], "]^-\\", None, ["p^q]r\\s"]),
 ]
 
 

@@ -12,16 +12,16 @@ from quillmill.plans import pipeline
 from quillmill.sources import files, sinks
 
 CASES = [
-    ("你好。。。世界", [Rule("。。", "。")], "你好。。世界"),
-    ("a", [Rule("a", "b"), Rule("b", "c")], "c"),
-    ("hello", [Rule("x", "y")], "hello"),
-    ("hello", [], "hello"),
-    ("hello", [Rule("", "x"), Rule("hello", "world")], "world"),
-    ("", [Rule("a", "b")], ""),
-    ("test", [Rule(None, "x")], "test"),
-    ("你好，世界。", [Rule("，", ","), Rule("。", ".")], "你好,世界."),
-    ("abc", [Rule("b", None)], "ac"),
-    ("ab", [Rule("b", "c"), Rule("a", "b")], "cb" [::-1]),
+    ("", [Rule("k", "m")], ""),
+    ("plain", [], "plain"),
+    ("plain", [Rule("q", "z")], "plain"),
+    ("plain", [Rule("", "q"), Rule("plain", "fancy")], "fancy"),
+    ("word", [Rule(None, "q")], "word"),
+    ("klm", [Rule("l", None)], "km"),
+    ("kl", [Rule("l", "m"), Rule("k", "l")], "lm"),
+    ("k", [Rule("k", "m"), Rule("m", "n")], "n"),
+    ("等等，，，好", [Rule("，，", "，")], "等等，，好"),
+    ("山；水：", [Rule("；", ";"), Rule("：", ":")], "山;水:"),
 ]
 
 
@@ -117,14 +117,14 @@ def test_encodings(spark):
 
 
 JOIN = [
-    ({"b.txt": b"World", "a.txt": b"Hello"}, 2, "Hello\nWorld\n"),
-    ({"test.txt": b"only file"}, 1, "only file\n"),
-    ({"test.dat": b"data"}, 0, ""),
-    ({"test.dat": b"data", "x[1].TXT": b"y"}, 1, "y\n"),
-    ({"a.txt": b"Hello\n", "b.txt": b"World"}, 2, "Hello\nWorld\n"),
-    ({"gbk.txt": b"\xc4\xe3\xba\xc3", "utf8.txt": b"\xef\xbb\xbf\xe4\xb8\x96\xe7\x95\x8c"}, 2, "你好\n世界\n"),
-    ({"B.txt": b"2", "a.txt": b"1", "z_.txt": b"4", "zz.txt": b"3"}, 4, "1\n2\n3\n4\n"),
-    ({"a.txt": b"", "b.txt": b"x"}, 2, "\nx\n"),
+    ({"note.bin": b"raw"}, 0, ""),
+    ({"note.txt": b"alone"}, 1, "alone\n"),
+    ({"two.txt": b"rest", "one.txt": b"start"}, 2, "start\nrest\n"),
+    ({"k.txt": b"done\n", "m.txt": b"more"}, 2, "done\nmore\n"),
+    ({"k.txt": b"", "m.txt": b"q"}, 2, "\nq\n"),
+    ({"note.bin": b"raw", "n[2].TXT": b"q"}, 1, "q\n"),
+    ({"D.txt": b"2", "c.txt": b"1", "y_.txt": b"4", "yy.txt": b"3"}, 4, "1\n2\n3\n4\n"),
+    ({"gbk.txt": b"\xb2\xdd\xc4\xbe", "utf8.txt": b"\xef\xbb\xbf\xe5\xb1\xb1\xe6\xb0\xb4"}, 2, "草木\n山水\n"),
 ]
 
 
