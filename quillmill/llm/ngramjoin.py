@@ -34,6 +34,8 @@ WORDS, PERCENT = 5, 80
 BLOCK = 400
 #: Packed prefix entries that a task holds before it sends them off.
 HELD = 1 << 20
+#: Most sets (2 MB) whose classes are broadcast to their rows.
+HOT = 1 << 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], np.uint64)
 
 
@@ -353,7 +355,7 @@ def _components(df: DataFrame, key: str, text: str, words: int, percent: int) ->
     workspace.bound_batches(df.sparkSession)
     rows = _texts(df, key, text)
     named = workspace.stage(_names(rows, words), "names")
-    classes = named.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("id").alias("low"), F.min(F.struct("id", "th")).alias("rep"))
+    classes = named.where("n > 0").groupBy("name").agg(F.first("n").alias("n"), F.min("id").alias("low"), F.min(F.struct("id", "th")).alias("rep"), F.count(F.lit(1)).alias("copies"))
     hits = _hit_counts(rows, words, percent)
     need = F.ceil(F.lit(percent) * F.col("n") / 100)
     enough = F.col("hits") >= F.greatest(F.lit(1), F.floor(need / 10))
@@ -367,8 +369,16 @@ def _components(df: DataFrame, key: str, text: str, words: int, percent: int) ->
     low = classes.select(F.col("name").alias("node"), "low").join(found, "node")
     roots = low.groupBy("root").agg(F.min("low").alias("component"))
     joined = found.join(roots, "root").select(F.col("node").alias("name"), "root", "component")
-    by_class = classes.select("name", "low").join(joined, "name", "left").select(F.col("name").alias("c"), F.coalesce("component", "low").alias("component"), F.coalesce("root", "name").alias("group"))
-    return named.join(by_class, named["name"] == by_class["c"], "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"), "th", "group")
+    by_class = classes.select("name", "low", "copies").join(joined, "name", "left").select(F.col("name").alias("c"), F.coalesce("component", "low").alias("component_id"), F.coalesce("root", "name").alias("group"), "copies")
+    by_class = workspace.stage(by_class, "classes")
+    every = by_class.agg(F.sum("copies")).head()[0] or 0
+    # classes of one in HOT of all rows are HOT at most; their rows stay where they are, so no class is a task by itself
+    often = by_class.where(F.col("copies") * HOT >= every)
+    some = named.where("n > 0")
+    hot = some.join(F.broadcast(often), F.col("name") == F.col("c"))
+    rare = some.join(F.broadcast(often.select("c")), F.col("name") == F.col("c"), "left_anti").join(by_class.where(F.col("copies") * HOT < every), F.col("name") == F.col("c"))
+    linked = hot.unionByName(rare).select("id", F.col("n").alias("n_shingles"), "component_id", "th", "group")
+    return linked.union(named.where("n = 0").select("id", "n", "id", "th", F.lit(None).cast("long")))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -164,3 +164,14 @@ def test_pipeline(spark, odd, none, small):
             frame = stage(spark, frame, small)
             frame.collect()
     assert p.run(spark, small).count() == last.count()
+
+
+def test_frequent_and_rare_classes_alike(spark, monkeypatch):
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    texts = [words(0)] * 30 + [words(k) for k in range(1, 9)] + [words(1) + " more", None, "", " \n"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {k: 0 if k < 30 else 30 if k == 38 else k for k in range(len(texts))}
+    for hot in (1, 2, 1 << 16):
+        monkeypatch.setattr(ngramjoin, "HOT", hot)
+        rows = ngramjoin.jaccard_components(df).collect()
+        assert len(rows) == len(texts) and {r["id"]: r["component_id"] for r in rows} == want
