@@ -58,15 +58,16 @@ def process(df: DataFrame, merge: MergeOptions = MergeOptions(), post: PostProce
 
 
 def process_files(spark: SparkSession, paths: str | list[str], merge: MergeOptions = MergeOptions(), post: PostProcess = PostProcess(), newline: str = "\r\n") -> DataFrame:
-    """path, output_path, text (a newline after every line), lines and flags for every file; nothing is written. ``sinks.write_texts`` writes."""
+    """path, output_path, text (a newline after every line), lines, flags and error for every file; nothing is written. ``sinks.write_texts`` writes.
+    A file that cannot be read has an error and no text, and does not stop the others; ``joiner.batch_summary`` counts both."""
     scanned = files.scan_files(spark, paths).withColumn("lines", lines.to_lines(F.col("text"))).drop("content", "text")
     done = process(scanned, merge, post, charset=F.col("charset"))
     return done.withColumn("output_path", sinks.output_path(F.col("path"))).withColumn("text", sinks.lines_to_text(F.col("lines"), newline))
 
 
 def replace_files(spark: SparkSession, paths: str | list[str], found: tuple[rules.Rule, ...]) -> DataFrame:
-    """path, output_path and text of every file after the rules on its whole text, line breaks kept."""
+    """path, output_path, text and error of every file after the rules on its whole text, line breaks kept. Errors: as in ``process_files``."""
     if not found:
         raise ValueError("at least one rule is needed")
     scanned = files.scan_files(spark, paths)
-    return scanned.select("path", sinks.output_path(F.col("path")).alias("output_path"), rules.apply_rules(F.col("text"), found).alias("text"))
+    return scanned.select("path", sinks.output_path(F.col("path")).alias("output_path"), rules.apply_rules(F.col("text"), found).alias("text"), "error")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmill.functions.charsets import CHARSETS
+from quillmill.sources import reader, stores
 
 #: Bytes that detection looks at.
 PROBE = 4096
@@ -44,10 +45,15 @@ def charset_of(label: Column) -> Column:
 
 def decode(content: Column, label: Column) -> Column:
     """The text of a file's bytes, without a byte-order mark; U+FFFD for malformed bytes. Needs ``legacy_charsets``."""
+    return F.regexp_replace(decode_part(content, label), "\\A\\x{FEFF}", "")
+
+
+def decode_part(content: Column, label: Column) -> Column:
+    """The same with the mark."""
     text = F.lit(None).cast("string")
     for name, charset in CHARSETS.items():
         text = F.when(label == name, F.decode(content, charset)).otherwise(text)
-    return F.regexp_replace(text, "\\A\\x{FEFF}", "")
+    return text
 
 
 def _glob(pattern: str) -> str:
@@ -57,15 +63,15 @@ def _glob(pattern: str) -> str:
     return "".join(map(one, pattern))
 
 
-def _name_like(pattern: str) -> str:
+def name_like(pattern: str) -> str:
     """A file pattern as a regular expression that ignores case."""
-    return "(?iu)\\A" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "\\z"
+    return "(?iu)\\A" + "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in pattern) + "\\Z"
 
 
 def _empty_files(spark: SparkSession, paths: list[str], pattern: str | None) -> list[str]:
     """The files of no bytes at the paths or right in them, which Spark's reader leaves out. The driver lists them, as it does for
     the reader."""
-    wanted = re.compile(_name_like(pattern).replace("\\z", "\\Z")) if pattern else None
+    wanted = re.compile(name_like(pattern)) if pattern else None
     found = []
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -83,20 +89,15 @@ def list_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFram
     return files.union(spark.createDataFrame([(p, 0) for p in empty], "path string, length long")) if empty else files
 
 
-def scan_files(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
-    """path, content, encoding (label), charset and text of files. One task reads a file whole; the content column is read only if
-    it is used. ``pattern``: as in ``list_files``."""
+def scan_files(spark: SparkSession, paths: str | list[str], pattern: str | None = None, longest: int = reader.LONGEST) -> DataFrame:
+    """path, content, encoding (label), charset, text and error of files. One task reads a file whole. ``pattern``: as in ``list_files``. A file that is
+    gone, unreadable or longer than ``longest`` bytes has an error, and null in the other columns; the others are read."""
     legacy_charsets(spark)
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", _glob(pattern or "*")).load(paths).select("path", "content")
-    if empty := _empty_files(spark, paths, pattern):
-        files = files.union(spark.createDataFrame([(p, bytearray()) for p in empty], "path string, content binary"))
-    files = files.withColumn("encoding", detect_encoding(F.col("content")))
-    return files.withColumn("charset", charset_of(F.col("encoding"))).withColumn("text", decode(F.col("content"), F.col("encoding")))
+    found = reader.read_files(spark, paths, name_like(pattern) if pattern else None, longest=longest)
+    files = found.select("path", "content", "error").withColumn("encoding", detect_encoding(F.col("content")))
+    return files.select("path", "content", "encoding", charset_of(F.col("encoding")).alias("charset"), decode(F.col("content"), F.col("encoding")).alias("text"), "error")
 
 
 def existing(paths: list[str]) -> list[str]:
-    """Those of the paths that are files, in order, repeats kept."""
-    import os
-
-    return [p for p in paths if os.path.isfile(p)]
+    """Those of the paths, in any store, that are files, in order, repeats kept."""
+    return [p for p in paths if [f.length for f in stores.children(p)] != [None] and not stores.is_folder(p)]

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillmill.sources import stores
+
 BOM = b"\xef\xbb\xbf"
 
 
@@ -28,29 +29,34 @@ def preview(lines: Column, newline: str = "\n") -> Column:
     return F.array_join(lines, newline)
 
 
-def write_texts(df: DataFrame, path: str = "output_path", text: str = "text") -> DataFrame:
-    """Write each row's text (UTF-8 with a byte-order mark) to its path in a store that the executors share, over what is there.
-    Returns path, bytes and error (null if all went well): a row that fails does not stop the others. A file is written under
-    another name and renamed, so a task that is lost or repeated leaves no half file."""
+def write_files(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Write each row's bytes to its path in a store that the executors share, over what is there. Returns path, bytes and error (null if
+    all went well): a row that fails does not stop the others. Null bytes are none. A null path is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attempt = TaskContext.get().taskAttemptId()
+        attempt = str(TaskContext.get().taskAttemptId())
         for b in batches:
             sizes, errors = [], []
-            for p, t in zip(b.column("p").to_pylist(), b.column("t").to_pylist()):
-                data = BOM + (t or "").encode("utf-8", "replace")
+            for p, data in zip(b.column("p").to_pylist(), b.column("c").to_pylist()):
                 try:
-                    where, inner = fs.FileSystem.from_uri(p)
-                    with where.open_output_stream(f"{inner}.{attempt}.tmp") as out:
-                        out.write(data)
-                    if where.get_file_info(inner).type != fs.FileType.NotFound:
-                        where.delete_file(inner)  # some stores don't rename over a file
-                    where.move(f"{inner}.{attempt}.tmp", inner)
-                    sizes.append(len(data))
+                    stores.replace_file(p, data or b"", attempt)
+                    sizes.append(len(data or b""))
                     errors.append(None)
                 except Exception as e:  # noqa: BLE001 - reported by row
                     sizes.append(0)
                     errors.append(f"{type(e).__name__}: {e}")
             yield pa.RecordBatch.from_arrays([b.column("p"), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], ["path", "bytes", "error"])
 
-    return df.select(F.col(path).alias("p"), F.col(text).alias("t")).mapInArrow(run, "path string, bytes long, error string")
+    return df.select(F.col(path).alias("p"), F.col(content).cast("binary").alias("c")).mapInArrow(run, "path string, bytes long, error string")
+
+
+def with_bom(text: Column) -> Column:
+    """A text as UTF-8 bytes with a byte-order mark."""
+    return F.concat(F.lit(BOM), F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def write_texts(df: DataFrame, path: str = "output_path", text: str = "text", error: str = "error") -> DataFrame:
+    """``write_files`` for texts, as UTF-8 with a byte-order mark. If ``df`` has the column ``error``, rows with one are not written and keep it."""
+    rows = df.select(F.col(path).alias("path"), with_bom(F.col(text)).alias("content"), (F.col(error) if error in df.columns else F.lit(None)).cast("string").alias("error"))
+    written = write_files(rows.where("error IS NULL"))
+    return written.union(rows.where("error IS NOT NULL").select("path", F.lit(0).cast("long"), "error")) if error in df.columns else written
