@@ -87,3 +87,84 @@ def test_splits_give_the_whole_file(spark, tmp_path, size):
     pieces = splits.text_pieces(spark, str(tmp_path), size).orderBy("path", "split").collect()
     joined = {n: "".join(p["text"] for p in pieces if p["path"].rsplit("/", 1)[-1] == n) for n in given}
     assert joined == texts
+
+
+# --- lines over many partitions ---------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def dealt(spark):
+    """One long document, one without text, one of a single line, some small ones; dealt over 50 partitions."""
+    rnd = random.Random(3)
+    pool = ["", " ", "　", "你", "好。", "a", "bc ", "x，", "，y", "long line of text", "，　", "人", "é"]
+    docs = {"long": [rnd.choice(pool) for _ in range(4000)], "empty": [""] * 300, None: ["只"], "wide": ["w" * 50] * 40, **{f"d{k}": [rnd.choice(pool) for _ in range(rnd.randint(1, 30))] for k in range(40)}}
+    rows = [(d, k + 1, x, "clash") for d, ls in docs.items() for k, x in enumerate(ls)]
+    rnd.shuffle(rows)
+    return docs, spark.createDataFrame(rows, "doc_id string, line_no long, line string, part string").repartition(50)
+
+
+def by_document(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r["line_no"]):
+        out.setdefault(r["doc_id"], []).append((r["line_no"], r["line"]))
+    assert all([n for n, _ in v] == list(range(1, len(v) + 1)) for v in out.values())
+    return {d: [x for _, x in v] for d, v in out.items()}
+
+
+@pytest.fixture()
+def many_ranges(spark, monkeypatch):
+    from quillmill.operators import long_documents
+
+    monkeypatch.setattr(long_documents, "BLOCK_LINES", 7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    yield long_documents
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("threshold, mode, stop", [(20, "bytes", None), (1, "chars", None), (12, "chars", "。人"), (200, "bytes", "。"), (10**9, "bytes", None)])
+def test_merge_over_partitions(dealt, many_ranges, threshold, mode, stop):
+    docs, df = dealt
+    want = {d: lines.merge_list(ls, threshold, lines.Width(mode), "UTF-8", stop) for d, ls in docs.items()}
+    assert by_document(many_ranges.merge_lines(df, threshold, mode, stop)) == {d: v for d, v in want.items() if v}
+
+
+@pytest.mark.parametrize("change", ["fix_cjk", "fix_cjk_stop", "fix_punct", "fix_none"])
+def test_regroup_over_partitions(spark, dealt, many_ranges, change):
+    docs, df = dealt
+    one, many = {
+        "fix_cjk": (lambda c: lines.fix_cjk(c), lambda d: many_ranges.fix_cjk(d)),
+        "fix_cjk_stop": (lambda c: lines.fix_cjk(c, "人"), lambda d: many_ranges.fix_cjk(d, "人")),
+        "fix_punct": (lambda c: lines.fix_punctuation(c, "，。", "。"), lambda d: many_ranges.fix_punctuation(d, "，。", "。")),
+        "fix_none": (lambda c: c, lambda d: many_ranges.fix_punctuation(d, "。", "。")),
+    }[change]
+    whole = spark.createDataFrame(list(docs.items()), "doc_id string, lines array<string>")
+    assert by_document(many(df)) == {r["doc_id"]: r["lines"] for r in whole.select("doc_id", one(F.col("lines")).alias("lines")).collect()}
+
+
+def test_long_documents_of_odd_rows(spark, many_ranges):
+    df = spark.createDataFrame([(1, None, None), (1, 5, "b"), (1, 5, "a"), (1, 9, "c")], "doc_id int, line_no long, line string")
+    assert [r["line"] for r in many_ranges.merge_lines(df, 2).orderBy("line_no").collect()] == ["ab", "c"]
+    assert many_ranges.merge_lines(df.limit(0)).count() == 0 and many_ranges.fix_cjk(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        many_ranges.merge_lines(df, 0)
+
+
+def test_block_functions():
+    from quillmill.operators.long_documents import Merge
+    import numpy as np
+
+    rnd = random.Random(2)
+    for _ in range(500):
+        threshold = rnd.choice([1, 5, 20])
+        m, values = Merge(threshold), np.array([rnd.choice([0, 1, 3, 8, 30, -1, -4]) if rnd.random() < 0.9 else 0 for _ in range(rnd.randint(1, 40))], np.int64)
+        summary = m.summary(values)
+        for state in range(threshold):
+            width, flushed = state, []
+            for k, v in enumerate(values.tolist()):
+                width += v if v >= 0 else -1 - v
+                if width >= threshold or v < 0:
+                    flushed.append(k)
+                    width = 0
+            assert m.carry(summary, state) == (width, len(flushed)) and m.breaks(values, state).tolist() == flushed
