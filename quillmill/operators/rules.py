@@ -103,6 +103,11 @@ class RuleSet:
         """ord, find, replace."""
         return spark.createDataFrame([(k, r.find, r.replace) for k, r in enumerate(self.rules)], "ord int, find string, replace string")
 
+    @classmethod
+    def from_df(cls, table: DataFrame) -> RuleSet:
+        """The rules of a table (ord, find, replace). They are a parameter of plans, so they must fit the driver."""
+        return cls(tuple(Rule(r["find"], r["replace"]) for r in table.select("ord", "find", "replace").orderBy("ord").collect()))
+
     def save(self, path: str) -> None:
         _write(path, [{"Find": r.find, "Replace": r.replace} for r in self.rules])
 

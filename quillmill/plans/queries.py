@@ -11,11 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill import session
 from quillmill.functions import charsets
-from quillmill.operators import joiner, lines, rules
+from quillmill.operators import joiner, lines, long_documents, rule_index, rules
 from quillmill.plans import pipeline
 from quillmill.session import spread
-from quillmill.sources import files, sinks
+from quillmill.sources import files, joined, sinks, splits, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FROM, _TO = "aeinrst ", "的一是不了人我\n"
@@ -184,9 +185,97 @@ def join_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joiner.join_pieces(named, "source", "name", newline="\n").withColumn("seq", F.col("seq").cast("long"))
 
 
+def join_files_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The joined files written in parts, read back by their manifest, and cut into lines."""
+    path = session.shared_path(spark, "joined")
+    joined.write_joined(join_files(spark, sf_dir), path, "source", part_bytes=1 << 20)
+    chunks = joined.read_joined(spark, path, read_bytes=2 << 20)
+    text = F.regexp_replace(F.decode("content", "UTF-8"), "\\A\\x{FEFF}", "")
+    lined = splits.lines_of_pieces(chunks.select("source", "start", text.alias("text")), "source", "start", "text")
+    return lined.select(F.col("path").alias("source"), "line_no", "line")
+
+
+def _file_texts(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a file for each document, in the encoding that its number chooses."""
+    folder = session.shared_path(spark, "files")
+    stores.make_folder(folder)
+    named = _synthetic_files(spark, sf_dir).select(F.format_string(f"{folder}/%d.txt", "doc_id").alias("path"), "content")
+    failed = sinks.write_files(named).where("error IS NOT NULL").head()
+    if failed:
+        raise OSError(f"{failed['path']}: {failed['error']}")
+    return folder
+
+
+def _number() -> Column:
+    return F.regexp_extract("path", r"/(\d+)(_Processed)?\.txt$", 1).cast("long").alias("doc_id")
+
+
+def listed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.list_files(spark, _file_texts(spark, sf_dir), "*.TXT").select(_number(), "length")
+
+
+def scanned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.scan_files(spark, _file_texts(spark, sf_dir), "*.txt").select(_number(), "encoding", "text")
+
+
+#: Bytes of the longest file that the batch reads, and of a split.
+LONGEST, SPLIT = 20_000, 4096
+
+
+def batch_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with files that are too long and one that is not there."""
+    folder = _file_texts(spark, sf_dir)
+    found = files.scan_files(spark, [folder, f"{folder}/999999999.txt"], longest=LONGEST)
+    return found.select(_number(), F.substring_index("error", ":", 1).alias("error"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def batch_files_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joiner.batch_summary(batch_files(spark, sf_dir))
+
+
+def file_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of files in all encodings, read in splits."""
+    return splits.file_lines(spark, _file_texts(spark, sf_dir), SPLIT).select(_number(), "line_no", "line")
+
+
+def processed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean-up pipeline from files to files, read back."""
+    folder = _file_texts(spark, sf_dir)
+    done = pipeline.process_files(spark, folder, pipeline.MergeOptions(40, lines.Width.CHARS))
+    return _read_back(spark, folder, sinks.write_texts(done))
+
+
+def replaced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules on whole files, written and read back."""
+    folder = _file_texts(spark, sf_dir)
+    return _read_back(spark, folder, sinks.write_texts(pipeline.replace_files(spark, folder, _BREAK_RULES)))
+
+
+def _read_back(spark: SparkSession, folder: str, report: DataFrame) -> DataFrame:
+    if report.where("error IS NOT NULL").head():
+        raise OSError("a file was not written")
+    return files.scan_files(spark, folder, "*_Processed.txt").select(_number(), "encoding", "text")
+
+
+def _dealt_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.explode_lines(_lines(spark, sf_dir))
+
+
+def merge_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_documents.merge_lines(_dealt_lines(spark, sf_dir), 60, _W.BYTES, _STOPS)
+
+
+def fix_cjk_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_documents.fix_cjk(_dealt_lines(spark, sf_dir), _STOPS)
+
+
+def fix_punct_long_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return long_documents.fix_punctuation(_dealt_lines(spark, sf_dir), _PUNCT)
+
+
 def join_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("source").agg(F.count(F.lit(1)).alias("file_count"))
+    return joiner.file_counts(docs, "source")
 
 
 def output_path(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -216,9 +305,7 @@ def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replace_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rules of all schemes as one table value."""
     table = rules.RuleSet(tuple(r for s in SCHEMES for r in s.rules)).to_df(spark)
-    packed = table.agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "find", "replace"))), lambda r: F.struct(r["find"].alias("find"), r["replace"].alias("replace"))).alias("rules"))
-    # one row of 176 rules
-    return documents(spark, sf_dir).join(F.broadcast(packed)).select("doc_id", rules.apply_rule_table(mapped(F.col("text")), F.col("rules")).alias("result"))
+    return documents(spark, sf_dir).select("doc_id", rule_index.apply_many(mapped(F.col("text")), rules.RuleSet.from_df(table).rules).alias("result"))
 
 
 def replace_lines_vs_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,6 +343,17 @@ def _values(rows: list[tuple]) -> str:
     return ", ".join("(" + ", ".join(_q(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
+_FILES = f"(SELECT doc_id, CAST(doc_id % 5 AS INTEGER) AS kind, {_CONTENT_TEXT} AS t FROM documents)"
+_LENGTH = "CAST(CASE kind WHEN 0 THEN 3 + strlen(t) WHEN 1 THEN 2 + 2 * length(t) WHEN 2 THEN 2 + 2 * length(t) WHEN 3 THEN strlen(t) ELSE strlen(t) - 2 END AS BIGINT)"
+_ENCODING = "CASE kind WHEN 0 THEN 'UTF-8 (BOM)' WHEN 1 THEN 'UTF-16 LE' WHEN 2 THEN 'UTF-16 BE' WHEN 3 THEN 'UTF-8' ELSE 'GBK (ANSI)' END"
+_BATCH = f"""SELECT doc_id, CASE WHEN {_LENGTH} > {LONGEST} THEN 'ValueError' END AS error, CASE WHEN {_LENGTH} <= {LONGEST} THEN sha256(t) END AS text_sha256 FROM {_FILES}
+             UNION ALL SELECT 999999999, 'FileNotFoundError', NULL"""
+_FILE_SPLIT = f"""
+    parts AS (SELECT doc_id, regexp_split_to_array(t, '\\r\\n|\\r|\\n') AS a FROM {_FILES}),
+    src AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN list_slice(a, 1, len(a) - 1) ELSE a END AS lines FROM parts)
+"""
+_PROCESSED = f"""WITH {_FILE_SPLIT}, s0 AS ({_fold("src", 40, _CHARS)}), s1 AS ({_islands("s0", _CJK_RE)}), s2 AS ({_TRIM.replace("{0}", "s1")})
+    SELECT src.doc_id, 'UTF-8 (BOM)' AS encoding, coalesce(array_to_string(list_transform(s2.lines, lambda x: x || chr(13) || chr(10)), ''), '') AS text FROM src LEFT JOIN s2 USING (doc_id)"""
 _W = lines.Width
 _ENTRIES: dict[str, tuple[Query, str]] = {
     "pipeline_default": (pipeline_default, _stages(_fold("{0}", 20, _BYTES), _islands("{0}", _CJK_RE), _TRIM)),
@@ -295,6 +393,23 @@ _ENTRIES: dict[str, tuple[Query, str]] = {
         """SELECT source, row_number() OVER (PARTITION BY source ORDER BY upper(name), name) AS seq, name, text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(10) END AS piece
            FROM (SELECT source, lang || '_' || doc_id AS name, text FROM documents)""",
     ),
+    "join_files_written": (
+        join_files_written,
+        """WITH pieces AS (SELECT source, upper(lang || '_' || doc_id) AS u, lang || '_' || doc_id AS name, text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(10) END AS piece FROM documents),
+           whole AS (SELECT source, string_agg(piece, '' ORDER BY u, name) AS t FROM pieces GROUP BY source),
+           parts AS (SELECT source, regexp_split_to_array(t, '\\r\\n|\\r|\\n') AS a FROM whole)
+           SELECT source, u.line_no, u.line FROM parts, unnest(a[1:len(a) - 1]) WITH ORDINALITY AS u(line, line_no)""",
+    ),
+    "listed_files": (listed_files, f"SELECT doc_id, {_LENGTH} AS length FROM {_FILES}"),
+    "scanned_files": (scanned_files, f"SELECT doc_id, {_ENCODING} AS encoding, t AS text FROM {_FILES}"),
+    "batch_files": (batch_files, _BATCH),
+    "batch_files_status": (batch_files_status, f"SELECT count(*) AS total, count(*) FILTER (WHERE error IS NULL) AS succeeded, 'Partial' AS status FROM ({_BATCH})"),
+    "file_lines": (file_lines, f"WITH {_FILE_SPLIT} SELECT doc_id, u.line_no, u.line FROM src, unnest(lines) WITH ORDINALITY AS u(line, line_no)"),
+    "processed_files": (processed_files, _PROCESSED),
+    "replaced_files": (replaced_files, f"SELECT doc_id, 'UTF-8 (BOM)' AS encoding, {_replaced('t', list(_BREAK_RULES))} AS text FROM {_FILES}"),
+    "merge_long_documents": (merge_long_documents, f"SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM ({_stages(_fold('{0}', 60, _BYTES, _STOPS))})"),
+    "fix_cjk_long_documents": (fix_cjk_long_documents, f"SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM ({_stages(_islands('{0}', _CJK_RE, _class(_STOPS)))})"),
+    "fix_punct_long_documents": (fix_punct_long_documents, f"SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM ({_stages(_islands('{0}', _class(_PUNCT)))})"),
     "join_counts": (join_counts, "SELECT source, count(*) AS file_count FROM documents GROUP BY source"),
     "output_path": (output_path, r"SELECT page_id, regexp_replace(url, '^(.*?)(\.[^./\\]*)?$', '\1_Processed\2') AS output_path FROM pages"),
     "scheme_summary": (scheme_summary, f"SELECT count(*) AS n_schemes, CAST(sum(n) AS BIGINT) AS n_rules FROM (VALUES {_values([(s.name, len(s.rules)) for s in SCHEMES])}) v(name, n) WHERE name IN ({', '.join(map(_q, CHOSEN))})"),

@@ -143,3 +143,12 @@ def is_folder(uri: str) -> bool:
         return os.path.isdir(path)
     store, inner = remote(uri)
     return store.get_file_info(inner).type == fs.FileType.Directory
+
+
+def open_write(uri: str) -> BinaryIO:
+    """A new file to write."""
+    path = local_path(uri)
+    if path is not None:
+        return open(path, "wb")
+    store, inner = remote(uri)
+    return store.open_output_stream(inner)
