@@ -67,7 +67,13 @@ def has_leading_comma(lines: Column) -> Column:
     return F.exists(lines, lambda x: F.startswith(x, F.lit(FULL_COMMA)))
 
 
-_CODECS = {"UTF-8": "utf-8", "UTF-16LE": "utf-16-le", "UTF-16BE": "utf-16-le", "x-mswin-936": "gbk"}
+#: Characters of two bytes in code page 936 that Python's codec does not have (fixed values): the area for users' own.
+_OWN_FIRST, _OWN_LAST = "\ue000", "\ue864"
+
+
+def _bytes_936(s: str) -> int:
+    """Bytes in code page 936, one for a character that it lacks."""
+    return len(s.encode("gbk", "replace")) + sum(_OWN_FIRST <= c <= _OWN_LAST for c in s)
 
 
 def _measure(mode: Width, charset: str | None):
@@ -75,8 +81,9 @@ def _measure(mode: Width, charset: str | None):
     if mode is Width.CHARS or charset in ("UTF-16LE", "UTF-16BE"):
         factor = 1 if mode is Width.CHARS else 2
         return lambda s: factor * (len(s) + sum(c > "￿" for c in s)) if not s.isascii() else factor * len(s)
-    codec = _CODECS[charset or "UTF-8"]
-    return lambda s: len(s) if s.isascii() else len(s.encode(codec, "replace"))
+    if charset == "x-mswin-936":
+        return lambda s: len(s) if s.isascii() else _bytes_936(s)
+    return lambda s: len(s) if s.isascii() else len(s.encode("utf-8", "replace"))
 
 
 def merge_list(lines: list[str], threshold: int, mode: Width, charset: str | None, no_merge: str | None) -> list[str]:

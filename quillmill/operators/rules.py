@@ -233,47 +233,44 @@ def _read(path: str) -> list:
     return data
 
 
-# Names, descriptions and rules of the built-in schemes, in their order.
-_PUNCTUATION = ".。 ,， !！ ?？ ;； :："
-_BRACKETS = "“「 ”」 ‘「 ’」 『「 』」 〖「 〗」 【「 】」 〔「 〕」 [「 ]」 {「 }」 （( ）)"
-_SYMBOLS_DELETED = "■□○●◎◯△▲▽▼◇◆★☆·*《》<>"
-_SYMBOLS_STOPPED = "♪♭♯"
-_DASHES = ["--", "……", "…", "...", "⋮", "⋯", "⋰", "⋱", "——", "—", "–", "-", "―"]
-_REPEATS = ["、、", "、", "、", "，", "，，", "，", "。。", "。", "？？", "？", "。，", "。", "，。", "。", "？，", "？", "，？", "？", "。？", "？", "？。", "？", "「，", "「", "「。", "「", "，」", "。」", "  ", " "]
-_NUMERALS = "零一二三四五六七八九"
-_FILLERS = [
-    "哈哈", "", "嗯，", "，", "喔。", "。", "咦，", "，", "啊，", "，", "吧。", "。", "呀，", "，", "唉，", "，", "啦，", "，", "喂，", "，", "啊。", "。", "哪，", "，",
-    "啦。", "。", "呀。", "。", "啊啊", "啊", "唉。", "", "嗳，", "", "哎唷", "", "唷", "", "我的天。", "", "不，不。", "不，", "不，不，", "不，", "哩。", "。", "噢，", "，",
+# Name, description and (find, replace) pairs of the built-in schemes, in their order. The pairs of the sixth follow from a rule.
+_BUILTIN = [
+    ("标点符号转换", "英文标点符号转中文标点（. → 。  , → ，  ! → ！  ? → ？  ; → ；  : → ：）", [
+        (".", "。"), (",", "，"), ("!", "！"), ("?", "？"), (";", "；"), (":", "："),
+    ]),
+    ("引号括号统一", "各种引号/方括号/花括号统一为「」，中文括号（）转半角", [
+        ("“", "「"), ("”", "」"), ("‘", "「"), ("’", "」"), ("『", "「"), ("』", "」"), ("〖", "「"), ("〗", "」"), ("【", "「"), ("】", "」"), ("〔", "「"),
+        ("〕", "」"), ("[", "「"), ("]", "」"), ("{", "「"), ("}", "」"), ("（", "("), ("）", ")"),
+    ]),
+    ("特殊符号清除", "删除各类装饰符号、图形符号、音乐符号等特殊字符", [
+        ("■", ""), ("□", ""), ("○", ""), ("●", ""), ("◎", ""), ("◯", ""), ("△", ""), ("▲", ""), ("▽", ""), ("▼", ""), ("◇", ""), ("◆", ""),
+        ("★", ""), ("☆", ""), ("·", ""), ("*", ""), ("《", ""), ("》", ""), ("<", ""), (">", ""), ("♪", "。"), ("♭", "。"), ("♯", "。"),
+    ]),
+    ("横线省略号→逗号", "各种破折号、连接线、省略号等统一转为中文逗号", [
+        ("--", "，"), ("……", "，"), ("…", "，"), ("...", "，"), ("⋮", "，"), ("⋯", "，"), ("⋰", "，"), ("⋱", "，"), ("——", "，"), ("—", "，"), ("–", "，"),
+        ("-", "，"), ("―", "，"),
+    ]),
+    ("重复矛盾标点整理", "合并重复标点（、、→、  ，，→，  。。→。  ？？→？），整理逗号句号混乱等", [
+        ("、、", "、"), ("、", "，"), ("，，", "，"), ("。。", "。"), ("？？", "？"), ("。，", "。"), ("，。", "。"), ("？，", "？"), ("，？", "？"), ("。？", "？"), ("？。", "？"),
+        ("「，", "「"), ("「。", "「"), ("，」", "。」"), ("  ", " "),
+    ]),
+    ("全角字母数字→半角", "将全角英文字母和数字转为半角（Ａ→A  ａ→a  ０→0）", None),
+    ("阿拉伯数字→中文", "将阿拉伯数字转为中文数字（0→零  1→一  ...  9→九）", [
+        ("0", "零"), ("1", "一"), ("2", "二"), ("3", "三"), ("4", "四"), ("5", "五"), ("6", "六"), ("7", "七"), ("8", "八"), ("9", "九"),
+    ]),
+    ("语气词清理", "清理口语中的语气词及常见无意义填充词", [
+        ("哈哈", ""), ("嗯，", "，"), ("喔。", "。"), ("咦，", "，"), ("啊，", "，"), ("吧。", "。"), ("呀，", "，"), ("唉，", "，"), ("啦，", "，"), ("喂，", "，"), ("啊。", "。"),
+        ("哪，", "，"), ("啦。", "。"), ("呀。", "。"), ("啊啊", "啊"), ("唉。", ""), ("嗳，", ""), ("哎唷", ""), ("唷", ""), ("我的天。", ""), ("不，不。", "不，"),
+        ("不，不，", "不，"), ("哩。", "。"), ("噢，", "，"),
+    ]),
+    ("词语替换", "常见中英文词语替换（chapter→章节  ※→注）", [
+        ("chapter", "章节"), ("Chapter", "章节"), ("这一点", "这点"), ("一个接一个", "挨个"), ("※", "注"),
+    ]),
 ]
-_WORDS = ["chapter", "章节", "Chapter", "章节", "这一点", "这点", "一个接一个", "挨个", "※", "注"]
-_NAMES = [
-    ("标点符号转换", "英文标点符号转中文标点（. → 。  , → ，  ! → ！  ? → ？  ; → ；  : → ：）"),
-    ("引号括号统一", "各种引号/方括号/花括号统一为「」，中文括号（）转半角"),
-    ("特殊符号清除", "删除各类装饰符号、图形符号、音乐符号等特殊字符"),
-    ("横线省略号→逗号", "各种破折号、连接线、省略号等统一转为中文逗号"),
-    ("重复矛盾标点整理", "合并重复标点（、、→、  ，，→，  。。→。  ？？→？），整理逗号句号混乱等"),
-    ("全角字母数字→半角", "将全角英文字母和数字转为半角（Ａ→A  ａ→a  ０→0）"),
-    ("阿拉伯数字→中文", "将阿拉伯数字转为中文数字（0→零  1→一  ...  9→九）"),
-    ("语气词清理", "清理口语中的语气词及常见无意义填充词"),
-    ("词语替换", "常见中英文词语替换（chapter→章节  ※→注）"),
-]
 
 
 def builtin_schemes() -> list[Scheme]:
     """The nine built-in schemes, 176 rules."""
-    pairs = lambda flat: [Rule(a, b) for a, b in zip(flat[::2], flat[1::2])]
-    chars = lambda spaced: [Rule(p[0], p[1]) for p in spaced.split(" ")]
     # full-width forms lie at a fixed distance from ASCII
-    narrow = [Rule(chr(ord(c) + 0xFEE0), c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
-    rules = [
-        chars(_PUNCTUATION),
-        chars(_BRACKETS),
-        [Rule(c, "") for c in _SYMBOLS_DELETED] + [Rule(c, "。") for c in _SYMBOLS_STOPPED],
-        [Rule(d, "，") for d in _DASHES],
-        pairs(_REPEATS),
-        narrow,
-        [Rule(str(k), c) for k, c in enumerate(_NUMERALS)],
-        pairs(_FILLERS),
-        pairs(_WORDS),
-    ]
-    return [Scheme(name, text, True, tuple(r)) for (name, text), r in zip(_NAMES, rules)]
+    narrow = [(chr(ord(c) + 0xFEE0), c) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"]
+    return [Scheme(name, text, True, tuple(Rule(f, r) for f, r in pairs or narrow)) for name, text, pairs in _BUILTIN]

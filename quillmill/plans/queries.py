@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from quillmill import session
 from quillmill.functions import charsets
-from quillmill.operators import joiner, lines, long_documents, rule_index, rules
+from quillmill.operators import edit_log, joiner, lines, long_documents, rule_index, rules
 from quillmill.plans import pipeline
 from quillmill.session import spread
 from quillmill.sources import files, joined, sinks, splits, stores
+from quillmill.streaming import status
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FROM, _TO = "aeinrst ", "的一是不了人我\n"
@@ -283,17 +284,58 @@ def output_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", sinks.output_path(F.col("url")).alias("output_path"))
 
 
+def _ords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and the numbers, in all schemes, of the rules whose find is in the text."""
+    return documents(spark, sf_dir).select("doc_id", rule_index.rules_in(mapped(F.col("text")), _ALL).alias("ords"))
+
+
+def _rules_with_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules of all schemes with the number of documents that they can change first."""
+    use = _ords(spark, sf_dir).select(F.explode("ords").alias("ord")).groupBy("ord").agg(F.count(F.lit(1)).alias("n_docs"))
+    table = rules.RuleSet(tuple(_ALL)).to_df(spark)
+    return table.join(use, "ord", "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0).cast("long")))
+
+
 def scheme_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.scheme_summary(rules.SchemeCatalog.default().to_df(spark), CHOSEN)
+    """The chosen schemes, their rules, and the documents that any of them can change."""
+    chosen = [k for k, (name, _) in enumerate((s.name, r) for s in SCHEMES for r in s.rules) if name in CHOSEN]
+    met = _ords(spark, sf_dir).agg(F.count(F.when(F.arrays_overlap("ords", F.array(*map(F.lit, chosen))), 1)).alias("n_docs"))
+    counts = rules.scheme_summary(rules.SchemeCatalog.default().to_df(spark), CHOSEN)
+    return counts.unionByName(met, allowMissingColumns=True).agg(*(F.max(c).alias(c) for c in ("n_schemes", "n_rules", "n_docs")))
 
 
 def selected_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.selected_rules(rules.SchemeCatalog.default().to_df(spark), CHOSEN)
+    """The rules of the chosen schemes, with the documents that each can change."""
+    found = rules.selected_rules(rules.SchemeCatalog.default().to_df(spark), CHOSEN)
+    sizes = [len(s.rules) for s in SCHEMES]
+    first = F.array(*(F.lit(sum(sizes[:k])) for k in range(len(sizes))))
+    use = _rules_with_use(spark, sf_dir).select("ord", "n_docs")
+    return found.withColumn("ord", F.get(first, F.col("scheme_ord")) + F.col("pos")).join(use, "ord").drop("ord")
 
 
 def rule_display(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = rules.RuleSet(tuple(r for s in SCHEMES for r in s.rules)).to_df(spark)
-    return rows.select("ord", F.concat("find", F.lit(rules.ARROW), F.coalesce("replace", F.lit(""))).alias("shown"))
+    """Every rule as it is shown, with the documents that it can change."""
+    return _rules_with_use(spark, sf_dir).select("ord", F.concat("find", F.lit(rules.ARROW), F.coalesce("replace", F.lit(""))).alias("shown"), "n_docs")
+
+
+def replayed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of edits made of the documents, a catalog for each source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    kind, index = (F.col("doc_id") * 7919 + F.col("n_chars")) % 8, (F.col("doc_id") * 31 + F.col("n_chars")) % 20
+    names = F.array(*map(F.lit, [edit_log.ADD] * 4 + [edit_log.REPLACE, edit_log.DELETE, edit_log.UP, edit_log.DOWN]))
+    log = docs.select("source", "doc_id", F.get(names, kind.cast("int")).alias("op"), index.alias("index"), F.concat_ws("_", "lang", F.col("doc_id").cast("string")).alias("find"), F.col("n_chars").cast("string").alias("replace"))
+    return edit_log.replay(log, "source", "doc_id")
+
+
+def arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The status of files that are asked for in a stream, some of them again after a restart; those over the limit fail."""
+    folder, root = _file_texts(spark, sf_dir), session.shared_path(spark, "status")
+    asked = documents(spark, sf_dir).select("doc_id", F.format_string(f"{folder}/%d.txt", "doc_id").alias("path"))
+    for rows in (asked, asked.where("doc_id % 7 = 0")):
+        rows.select("path").write.mode("append").parquet(f"{root}/requests")
+        stream = spark.readStream.schema("path string").parquet(f"{root}/requests")
+        status.start(stream, root, LONGEST, availableNow=True).awaitTermination()
+    return status.current(spark, root).select(_number(), "attempts", "failures", F.substring_index("error", ":", 1).alias("error"))
 
 
 def batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -412,12 +454,39 @@ _ENTRIES: dict[str, tuple[Query, str]] = {
     "fix_punct_long_documents": (fix_punct_long_documents, f"SELECT doc_id, CAST(line_no AS BIGINT) AS line_no, line FROM ({_stages(_islands('{0}', _class(_PUNCT)))})"),
     "join_counts": (join_counts, "SELECT source, count(*) AS file_count FROM documents GROUP BY source"),
     "output_path": (output_path, r"SELECT page_id, regexp_replace(url, '^(.*?)(\.[^./\\]*)?$', '\1_Processed\2') AS output_path FROM pages"),
-    "scheme_summary": (scheme_summary, f"SELECT count(*) AS n_schemes, CAST(sum(n) AS BIGINT) AS n_rules FROM (VALUES {_values([(s.name, len(s.rules)) for s in SCHEMES])}) v(name, n) WHERE name IN ({', '.join(map(_q, CHOSEN))})"),
+    "scheme_summary": (
+        scheme_summary,
+        f"""SELECT count(*) AS n_schemes, CAST(sum(n) AS BIGINT) AS n_rules, any_value(n_docs) AS n_docs FROM (VALUES {_values([(s.name, len(s.rules)) for s in SCHEMES])}) v(name, n),
+            (SELECT count(*) FILTER (WHERE len(list_filter([{', '.join(_q(r.find) for s in SCHEMES if s.name in CHOSEN for r in s.rules)}], lambda f: contains(t, f))) > 0) AS n_docs FROM {_SOURCE}) WHERE name IN ({', '.join(map(_q, CHOSEN))})""",
+    ),
     "selected_rules": (
         selected_rules,
-        f"SELECT scheme_ord, pos, find, \"replace\" FROM (VALUES {_values([(s.name, k, j, r.find, r.replace) for k, s in enumerate(SCHEMES) for j, r in enumerate(s.rules)])}) v(name, scheme_ord, pos, find, \"replace\") WHERE name IN ({', '.join(map(_q, CHOSEN))})",
+        f"""SELECT scheme_ord, pos, find, "replace", count(*) FILTER (WHERE contains(t, find)) AS n_docs
+            FROM (VALUES {_values([(s.name, k, j, r.find, r.replace) for k, s in enumerate(SCHEMES) for j, r in enumerate(s.rules)])}) v(name, scheme_ord, pos, find, "replace"), {_SOURCE} WHERE name IN ({', '.join(map(_q, CHOSEN))}) GROUP BY ALL""",
+    ),
+    "rule_display": (
+        rule_display,
+        f"""SELECT ord, find || '{rules.ARROW}' || repl AS shown, count(*) FILTER (WHERE contains(t, find)) AS n_docs
+            FROM (VALUES {_values([(k, r.find, r.replace) for k, r in enumerate(_ALL)])}) v(ord, find, repl), {_SOURCE} GROUP BY ord, find, repl""",
+    ),
+    "replayed_edits": (
+        replayed_edits,
+        """WITH e AS (SELECT source, doc_id, (doc_id * 7919 + n_chars) % 8 AS k, (doc_id * 31 + n_chars) % 20 AS i, {'f': lang || '_' || doc_id, 'r': n_chars::VARCHAR} AS v FROM documents),
+           l AS (SELECT source, list({'s': []::STRUCT(f VARCHAR, r VARCHAR)[], 'k': k, 'i': i, 'v': v} ORDER BY doc_id) AS a FROM e GROUP BY source),
+           z AS (SELECT source, list_reduce(list_prepend({'s': []::STRUCT(f VARCHAR, r VARCHAR)[], 'k': 0::BIGINT, 'i': 0::BIGINT, 'v': {'f': '', 'r': ''}}, a), lambda s, e: {'s':
+               CASE WHEN e.k < 4 OR (e.k = 4 AND e.i >= len(s.s)) THEN list_append(s.s, e.v)
+                    WHEN e.i >= len(s.s) THEN s.s
+                    WHEN e.k = 4 THEN list_slice(s.s, 1, e.i) || [e.v] || list_slice(s.s, e.i + 2, len(s.s))
+                    WHEN e.k = 5 THEN list_slice(s.s, 1, e.i) || list_slice(s.s, e.i + 2, len(s.s))
+                    WHEN e.k = 6 AND e.i > 0 THEN list_slice(s.s, 1, e.i - 1) || [s.s[e.i + 1], s.s[e.i]] || list_slice(s.s, e.i + 2, len(s.s))
+                    WHEN e.k = 7 AND e.i + 1 < len(s.s) THEN list_slice(s.s, 1, e.i) || [s.s[e.i + 2], s.s[e.i + 1]] || list_slice(s.s, e.i + 3, len(s.s))
+                    ELSE s.s END, 'k': e.k, 'i': e.i, 'v': e.v}) AS z FROM l)
+           SELECT source, u.pos - 1 AS pos, u.x.f AS find, u.x.r AS "replace" FROM z, unnest(z.s) WITH ORDINALITY AS u(x, pos)""",
+    ),
+    "arriving_files": (
+        arriving_files,
+        f"SELECT doc_id, n AS attempts, CASE WHEN bad THEN n ELSE 0 END AS failures, CASE WHEN bad THEN 'ValueError' END AS error FROM (SELECT doc_id, CAST(CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n, {_LENGTH} > {LONGEST} AS bad FROM {_FILES})",
     ),
-    "rule_display": (rule_display, f"SELECT ord, find || '{rules.ARROW}' || repl AS shown FROM (VALUES {_values([(k, r.find, r.replace) for k, r in enumerate(_ALL)])}) v(ord, find, repl)"),
     "batch_summary": (batch_summary, "SELECT count(*) AS total, count(*) FILTER (WHERE NOT contains(text, '|')) AS succeeded, CASE WHEN count(*) = count(*) FILTER (WHERE NOT contains(text, '|')) THEN 'Complete' ELSE 'Partial' END AS status FROM documents"),
     "conversations_clean": (conversations_clean, f"SELECT conv_id, turn, role, {_replaced('text', list(SCHEMES[0].rules))} AS result FROM conversations"),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmill.functions import charsets
 from quillmill.operators import lines
+from quillmill.sources import files
 
 W = lines.Width
 
@@ -129,3 +130,12 @@ def test_trim_and_lines(spark):
 def test_ends_with_any(spark, text, chars, want):
     df = spark.createDataFrame([(text,)], "t string")
     assert df.select(charsets.ends_with_any(F.col("t"), chars)).head()[0] is want
+
+
+def test_byte_widths_are_those_of_the_decoder(spark):
+    files.legacy_charsets(spark)
+    char = F.decode(F.unhex(F.lpad(F.hex("id"), 4, "0")), "UTF-16BE")
+    df = spark.range(0, 65536).where("id < 55296 OR id > 57343").select(char.alias("c"), F.octet_length(F.encode(char, "x-mswin-936")).alias("n"))
+    measure = lines._measure(lines.Width.BYTES, "x-mswin-936")
+    assert all(measure(r["c"]) == r["n"] for r in df.collect()) and measure("🙂") == 1
+    assert lines._measure(lines.Width.BYTES, "UTF-16BE")("a🙂") == 6
