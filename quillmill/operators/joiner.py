@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import json
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,13 +36,15 @@ def _bounds(keys: DataFrame, ranges: int) -> list[tuple]:
 
 def _range_of(key: Column, kind: StructType, bounds: list[tuple]) -> tuple[Column, Column]:
     """The number of a key's range, and whether the key is so frequent that the range is its own. Ranges follow the order of the keys."""
-    literal = lambda x: F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(x, kind)))
     if not bounds:
         return F.lit(0), F.lit(False)
+    # one constant, which the optimizer folds
+    literal = lambda xs: F.from_json(F.lit(json.dumps([dict(zip(kind.names, x)) for x in xs], default=str)), f"array<{kind.simpleString()}>")
     often = [x for x, n in Counter(bounds).items() if n > 1]
-    alone = reduce(lambda a, x: a | (key == literal(x)), often, F.lit(False))
-    each = F.array(*map(literal, sorted(set(bounds), key=bounds.index)))
-    below = F.size(F.filter(each, lambda x: x <= key)) * 2
+    below = F.size(F.filter(literal(dict.fromkeys(bounds)), lambda x: x <= key)) * 2
+    if not often:
+        return below + 1, F.lit(False)
+    alone = F.array_contains(literal(often), key)
     return F.when(alone, below).otherwise(below + 1), alone
 
 
