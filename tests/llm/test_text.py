@@ -264,8 +264,27 @@ def test_names_of_parts_of_articles(page, want):
 
 def test_template_of_a_host():
     page = lambda k: f"<body><div>Welcome to the site</div><div class=x>Story {k}</div><p>Text {k} of many</p><div>All rights</div></body>"
-    assert html.extract_group([page(k) for k in range(8)])[3] == "Story 3\nText 3 of many"
-    assert html.extract_group([page(k) for k in range(3)])[2].startswith("Welcome")
+    for n in (2, 3, 8):
+        found = html.extract_group([page(k) for k in range(n)])
+        assert found[1] == "Story 1\nText 1 of many" and found[1] != html.extract_group([page(k) for k in range(n)], aligned=False)[1]
+    assert html.extract_group([page(0)])[0].startswith("Welcome") and html.extract_group([page(0)] * 9)[0].startswith("Welcome")
+
+
+@pytest.mark.parametrize("n", [1, 4, 6, 499, 501])
+def test_what_articles_share_is_no_template(n):
+    own = lambda k: [f"Dish number {k}", "Ingredients", f"Take {k} eggs and {k * 3} onions.", "Method", f"Boil for {k} minutes and {k * 7} seconds.", "Enjoy your meal!"]
+    body = lambda k: "<h1>{}</h1><h2>{}</h2><p>{}</p><h2>{}</h2><p>{}</p><p>{}</p>".format(*own(k))
+    article = lambda k: f"<body><nav>x</nav><article>{body(k)}</article><footer>f</footer></body>"
+    bare = lambda k: f"<body><div class=top>Our site</div><div class=text>{body(k)}</div><div class=end>Imprint of the house</div></body>"
+    assert html.extract_group([article(k) for k in range(n)]) == ["\n".join(own(k)) for k in range(n)]
+    # without an article, the alignment finds what holds the varying text, as soon as there are two pages
+    around = ([], []) if n > 1 else (["Our site"], ["Imprint of the house"])
+    assert html.extract_group([bare(k) for k in range(n)]) == ["\n".join([*around[0], *own(k), *around[1]]) for k in range(n)]
+
+
+def test_references_end_with_their_run():
+    page = "<article><p>R&<b>lt; x</b></p><p>a&<i>copy; b</i></p><p>a &lt; b&amp;lt; c</p></article>"
+    assert html.extract_group([page]) == ["R&lt; x\na&copy; b\na < b&lt; c"]
 
 
 def test_copies_are_no_template():
@@ -273,10 +292,10 @@ def test_copies_are_no_template():
     other = lambda k: f"<body><div>Site</div><article><h1>Other {k}</h1><p>By us</p><p>Own text {k}</p></article></body>"
     found = html.extract_group([copy(k) for k in range(92)] + [other(k) for k in range(8)])
     assert found == ["Same\nCopied text"] * 92 + [f"Other {k}\nBy us\nOwn text {k}" for k in range(8)]
-    # a template's node that says something else on a page, and articles of which only template would be left
+    # what articles share stays, and so does what one of them says instead
     page = lambda k, foot: f"<article><h1>Story {k}</h1><div>{foot}</div></article>"
     found = html.extract_group([page(k, "All rights") for k in range(20)] + [page(20, "Corrected"), "<article><div>All rights</div></article>"])
-    assert found[3] == "Story 3" and found[20:] == ["Story 20\nCorrected", "All rights"]
+    assert found[3] == "Story 3\nAll rights" and found[20:] == ["Story 20\nCorrected", "All rights"]
 
 
 def test_alignment_by_brute_force(monkeypatch):
