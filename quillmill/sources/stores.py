@@ -47,6 +47,12 @@ def remote(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(f"{SAME_STORE[scheme]}://{rest}")
 
 
+def file_system(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a URI, and the path in it."""
+    path = local_path(uri)
+    return (fs.LocalFileSystem(), os.path.abspath(path)) if path is not None else remote(uri)
+
+
 def check(uri: str) -> None:
     """Raise where no store opens the scheme of ``uri``."""
     scheme, mark, _ = uri.partition("://")
