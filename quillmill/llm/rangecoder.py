@@ -30,12 +30,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmill.llm import bpe, workspace
+from quillmill.sources import stores
 
 MAGIC, FORMAT = b"QMID", 2
 _HEAD = struct.Struct("<4sHHIIQ")
@@ -461,7 +461,7 @@ class _Writer:
     """The files of one task: ``part-PPPPP-NNNN-ATTEMPT.qmid``. A name holds its attempt, so no attempt touches another's file."""
 
     def __init__(self, uri: str, part: int, attempt: int) -> None:
-        self.store, self.folder = fs.FileSystem.from_uri(uri)
+        self.store, self.folder = stores.file_system(uri)
         self.store.create_dir(self.folder, recursive=True)
         self.part, self.attempt, self.chunks, self.out = part, attempt, 0, None
 
@@ -546,7 +546,7 @@ def read_files(manifest: DataFrame, uri: str) -> DataFrame:
     dealt = placed.repartitionById(tasks, F.pmod(F.col("part") + F.col("seq") * 7919, F.lit(tasks)).cast("int")).select("file", "offset", "bytes", "base")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = fs.FileSystem.from_uri(uri)
+        store, folder = stores.file_system(uri)
         for b in batches:
             for file, offset, size, base in zip(*(b.column(c).to_pylist() for c in ("file", "offset", "bytes", "base"))):
                 with store.open_input_file(f"{folder}/{file}") as source:
