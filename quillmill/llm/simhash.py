@@ -135,7 +135,8 @@ def edited_likeness(df: DataFrame, key: str = "doc_id", text: str = "text", shar
 
     The rows are dealt once, by ranges of the key; the last row of a range finds the row that follows it as a copy beside it.
     """
-    dealt = _in_order(df, key, text).repartition(workspace.task_count(df.sparkSession), "slot")
+    tasks = workspace.task_count(df.sparkSession)
+    dealt = _in_order(df, key, text).repartitionById(tasks, F.pmod("slot", F.lit(tasks)).cast("int"))
     # ties of a key: by text; a guest is the largest row of its slot, so the first of its ties is the right one
     ordered = dealt.sortWithinPartitions("slot", "guest", F.col("k").desc_nulls_last(), "t")
 
