@@ -13,6 +13,7 @@ numbers each) are shuffled.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -53,16 +54,18 @@ def best_pattern(values: np.ndarray, weights: np.ndarray, capacity: int) -> tupl
     return float(best[capacity]), counts
 
 
-def solve(demand: np.ndarray, weights: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[int, np.ndarray]]:
-    """(uses, pieces of each class) of the patterns that hold exactly ``demand`` pieces of each class. ``rounds`` bounds the columns
-    that are priced; fewer leave more sequences, never a piece out."""
+def solve(demand: np.ndarray, weights: np.ndarray, capacity: int) -> list[tuple[int, np.ndarray]]:
+    """(uses, pieces of each class) of the patterns that hold exactly ``demand`` pieces of each class. Columns are priced until none helps; a basis
+    that comes back (which only steps without gain can do) ends it too, so it ends."""
     m = len(demand)
     if not m:
         return []
     columns = np.diag(capacity // weights).astype(float)
     inverse = np.diag(1 / np.diag(columns))
     use = inverse @ demand.astype(float)
-    for _ in range(rounds):
+    bases: set[bytes] = set()
+    while (basis := hashlib.sha256(columns.tobytes()).digest()) not in bases:
+        bases.add(basis)
         duals = inverse.sum(axis=0)
         worth, pattern = best_pattern(np.maximum(duals, 0), weights, capacity)
         if worth <= 1 + 1e-7:
