@@ -1,11 +1,12 @@
 """Token counts without ids.
 
-1. *Distinct pre-tokens.* Tasks reduce their texts to distinct pre-tokens with their numbers; a shuffle by pre-token adds the numbers up,
-   and the pieces of each pre-token are counted there, once. The table of counts is written to the shared folder.
-2. *Frequent ones.* Pre-tokens that are at least one in HOT of all are HOT at most, and 20 bytes each (a 128-bit digest and the count), so they
-   go to every task, which sums frequency times count over them and keeps the frequencies of the others.
-3. *Join.* Those frequencies (text, pre-token, number) meet the table of counts by pre-token. No pre-token left is more than one in HOT of all, so
-   none is a task by itself. The products are summed by text.
+1. *Frequent pre-tokens.* Tasks reduce their texts to distinct pre-tokens with their numbers; a shuffle by pre-token adds the numbers up. Those
+   that are at least one in HOT of all that come more than once are HOT at most, and 20 bytes each (a 128-bit digest and the count of pieces): their pieces are counted, once, and they
+   go to every task.
+2. *Frequencies.* A task sums frequency times count over the frequent pre-tokens of a text. The frequencies of the others (text, pre-token, number) are
+   shuffled by pre-token and sorted, so each distinct one meets all its frequencies in one place, where its pieces are counted, once, and joined to them. None of these is
+   more than one in HOT of all, so none is a task by itself.
+3. *Sums.* The products are summed by text.
 4. Rows get the count of their text by its digest; texts that make up one in HOT_TEXTS of all rows, HOT_TEXTS at most, by a broadcast.
 
 A pre-token of the piece model is a run of spaces with the non-space characters after it. No piece of such a model holds a
@@ -30,8 +31,8 @@ from quillmill.llm import bpe, vectext, workspace
 MARK = "▁"
 #: Distinct pre-tokens, and code points of them, that a worker holds before it starts anew.
 CACHE_ROWS, CACHE_POINTS = 1 << 19, 1 << 24
-#: Characters up to which a pre-token is its own key; a longer one's key is its SHA-256 in 64 digits, and the key of a text's own row has 33.
-KEY = 24
+#: Characters up to which a pre-token is its own key; a longer one's key is its SHA-256 in 64 digits, and the key of a text's own row has OWN.
+KEY, OWN = 24, 33
 #: Most pre-tokens (168 MB, were all of one frequency), and most texts (2 MB), that are broadcast.
 HOT, HOT_TEXTS = 1 << 23, 1 << 16
 _DIGEST, _COUNT = "quillmill_text_digest", "quillmill_token_count"
@@ -171,8 +172,8 @@ def _key(token: str) -> str:
     return token if len(token) <= KEY else hashlib.sha256(token.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def distinct_counts(texts: DataFrame, path: str) -> DataFrame:
-    """key, pieces and n (how often it is in all texts) of every distinct pre-token of the one column of ``texts``."""
+def pretoken_numbers(texts: DataFrame, path: str) -> DataFrame:
+    """key, long (the pre-token, where the key is not it) and n (how often it is in all texts) of every pre-token of the one column of ``texts`` that comes more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, number = counter(path), Distinct(), np.zeros(0, np.int64)
@@ -182,8 +183,7 @@ def distinct_counts(texts: DataFrame, path: str) -> DataFrame:
             for a in range(0, len(order), 10_000):
                 part = order[a : a + 10_000]
                 tokens = [seen.tokens[k] for k in part]
-                long = pa.array([t if len(t) > KEY else None for t in tokens], pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(map(_key, tokens), pa.string()), long, pa.array(number[part])], ["key", "long", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_key, tokens), pa.string()), _long(tokens), pa.array(number[part])], ["key", "long", "n"])
 
         for b in batches:
             for _, row, n in frequencies(own, own.prepare(b.column(0).to_pylist())[0], seen):
@@ -195,12 +195,26 @@ def distinct_counts(texts: DataFrame, path: str) -> DataFrame:
                     number = np.zeros(0, np.int64)
         yield from flush()
 
+    found = texts.mapInArrow(run, "key string, long string, n long").groupBy("key", "long").agg(F.sum("n").alias("n"))
+    return workspace.stage(found.where("n > 1"), "pretokens")
+
+
+def _long(tokens: list[str]) -> pa.Array:
+    return pa.array([t if len(t) > KEY else None for t in tokens], pa.string())
+
+
+def frequent_counts(texts: DataFrame, path: str) -> Frequent:
+    """The piece counts of the frequent pre-tokens, which the driver holds."""
+    numbers = pretoken_numbers(texts, path)
+    every = numbers.agg(F.sum("n")).head()[0] or 0
+
     @F.arrow_udf("long")
     def pieces(tokens: pa.Array) -> pa.Array:
         return pa.array(counter(path).pieces(tokens.to_pylist()), pa.int64())
 
-    found = texts.mapInArrow(run, "key string, long string, n long").groupBy("key", "long").agg(F.sum("n").alias("n"))
-    return workspace.stage(found.select("key", pieces(F.coalesce("long", "key")).alias("pieces"), "n"), "pretokens")
+    # each is at least one in HOT of all, so they are HOT at most
+    chosen = numbers.where(F.col("n") * HOT >= every)
+    return Frequent(chosen.select(F.unhex(F.md5("key")).alias("digest"), pieces(F.coalesce("long", "key")).alias("pieces")).toArrow())
 
 
 class Frequent:
@@ -208,7 +222,10 @@ class Frequent:
 
     def __init__(self, found: pa.Table) -> None:
         """found: digest (16 bytes) and pieces."""
-        digests = np.frombuffer(b"".join(found.column("digest").to_pylist()), ">u8").astype(np.uint64).reshape(-1, 2)
+        # straight from the buffers, without an object for each
+        chunks = [c.cast(pa.binary(16)) for c in found.column("digest").chunks if len(c)]
+        raw = [np.frombuffer(c.buffers()[1], ">u8")[2 * c.offset : 2 * (c.offset + len(c))] for c in chunks]
+        digests = np.concatenate(raw or [np.zeros(0, ">u8")]).astype(np.uint64).reshape(-1, 2)
         order = np.lexsort((digests[:, 1], digests[:, 0]))
         self.first, self.second = digests[order].T.copy()
         self.counts = found.column("pieces").to_numpy()[order].astype(np.int32)
@@ -232,9 +249,9 @@ class Frequent:
 
 def _rest(texts: DataFrame, path: str, frequent: Frequent) -> DataFrame:
     """The frequencies ``n`` of each text's pre-tokens that are not ``frequent``; and for each row of ``texts`` (digest, text) a row with its
-    sum over the frequent ones as ``n``, under a key that no pre-token has."""
+    sum over the frequent ones as ``n``, under a key that no pre-token has and without ``long``."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
-    names = ["digest", "key", "n"]
+    names = ["digest", "key", "long", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen, known, value = counter(path), Distinct(), shared.value, np.zeros(0, np.int64)
@@ -250,27 +267,43 @@ def _rest(texts: DataFrame, path: str, frequent: Frequent) -> DataFrame:
                 left = np.flatnonzero(worth < 0)
                 if len(left):
                     each, back = np.unique(row[left], return_inverse=True)
-                    keys = pa.array([_key(seen.tokens[r]) for r in each.tolist()], pa.string()).take(pa.array(back))
-                    yield pa.RecordBatch.from_arrays([digests.take(pa.array(text[left])), keys, pa.array(n[left].astype(np.int64))], names)
+                    tokens, at = [seen.tokens[r] for r in each.tolist()], pa.array(back)
+                    yield pa.RecordBatch.from_arrays([digests.take(pa.array(text[left])), pa.array(map(_key, tokens), pa.string()).take(at), _long(tokens).take(at), pa.array(n[left].astype(np.int64))], names)
                 if seen.full:
                     seen.__init__()
                     value = np.zeros(0, np.int64)
             # keys differ from text to text, so that these rows are spread over the tasks of the join
-            keys = pa.array(["." + d.hex().zfill(32) for d in digests.to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([digests, keys, pa.array(total)], names)
+            keys = pa.array(["." + d.hex().zfill(OWN - 1) for d in digests.to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([digests, keys, pa.nulls(len(keys), pa.string()), pa.array(total)], names)
 
-    return texts.mapInArrow(run, "digest binary, key string, n long")
+    return texts.mapInArrow(run, "digest binary, key string, long string, n long")
+
+
+def _products(rows: DataFrame, path: str) -> DataFrame:
+    """digest, tokens and copies (1 for a text's own row) of the rows of ``_rest``. Rows of one key follow one another, so its pieces are counted once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last, worth = counter(path), None, 0
+        for b in batches:
+            keys, long, n = b.column("key").to_pylist(), b.column("long"), b.column("n").to_numpy()
+            mine = np.array([len(k) == OWN for k in keys], bool)
+            new = np.array([not m and k != before for k, m, before in zip(keys, mine.tolist(), [last, *keys[:-1]])], bool)
+            at = np.flatnonzero(new)
+            tokens = [t if t is not None else keys[k] for k, t in zip(at.tolist(), long.take(pa.array(at)).to_pylist())]
+            # the pieces of the key before the batch, then of each new one
+            pieces = np.concatenate([[worth], own.pieces(tokens) if tokens else np.zeros(0, np.int64)]).astype(np.int64)
+            products = np.where(mine, n, n * pieces[np.cumsum(new)])
+            if keys:
+                last, worth = keys[-1], int(pieces[-1])
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(products), pa.array(mine.astype(np.int64))], ["digest", "tokens", "copies"])
+
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "digest binary, tokens long, copies long")
 
 
 def text_counts(texts: DataFrame, path: str) -> DataFrame:
     """digest, copies (rows with that text) and tokens of every distinct text of ``texts`` (digest, text)."""
-    counts = distinct_counts(texts.select("text"), path)
-    every = counts.agg(F.sum("n")).head()[0] or 0
-    # each is at least one in HOT of all, so they are HOT at most
-    frequent = Frequent(counts.where(F.col("n") * HOT >= every).select(F.unhex(F.md5("key")).alias("digest"), "pieces").toArrow())
-    joined = _rest(texts, path, frequent).join(counts.where(F.col("n") * HOT < every).select("key", "pieces").hint("merge"), "key", "left")
-    # only the rows of texts have no partner
-    sums = joined.groupBy("digest").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("all"), F.count(F.when(F.col("pieces").isNull(), 1)).alias("copies"))
+    products = _products(_rest(texts, path, frequent_counts(texts.select("text"), path)), path)
+    sums = products.groupBy("digest").agg(F.sum("tokens").alias("all"), F.sum("copies").alias("copies"))
     # every copy of a text brought the same sum
     return workspace.stage(sums.select("digest", "copies", F.expr("`all` div copies").alias("tokens")), "token-counts")
 
