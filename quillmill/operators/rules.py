@@ -7,13 +7,15 @@ same text, so a scheme of 62 rules is one pass.
 from __future__ import annotations
 
 import json
-import os
+import uuid
 from collections.abc import Iterable
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillmill.sources import stores
+
 ARROW = "  →  "
 
 
@@ -196,38 +198,36 @@ def scheme_summary(schemes: DataFrame, names: Iterable[str]) -> DataFrame:
     return schemes.where(F.col("name").isin(*names)).agg(F.count(F.lit(1)).alias("n_schemes"), F.coalesce(F.sum(F.size("rules")), F.lit(0)).cast("long").alias("n_rules"))
 
 
+def _copy(source: str, target: str) -> bool:
+    """Copy a small file between stores; whether there was one."""
+    try:
+        with stores.open_read(source) as f:
+            data = f.read()
+    except FileNotFoundError:
+        return False
+    stores.replace_file(target, data, uuid.uuid4().hex[:8])
+    return True
+
+
 def export_config(folder: str, files: dict[str, str]) -> list[str]:
-    """Copy configuration files (name -> path) that exist into a folder; the names copied."""
-    os.makedirs(folder, exist_ok=True)
-    done = []
-    for name, path in files.items():
-        if os.path.exists(path):
-            with open(path, "rb") as a, open(os.path.join(folder, name), "wb") as b:
-                b.write(a.read())
-            done.append(name)
-    return done
+    """Copy configuration files (name -> URI) that exist into a folder of any store; the names copied."""
+    stores.make_folder(folder)
+    return [name for name, path in files.items() if _copy(path, f"{folder.rstrip('/')}/{name}")]
 
 
 def import_config(paths: Iterable[str], files: dict[str, str]) -> list[str]:
     """Copy those of ``paths`` that have the exact name of a configuration file to its place; the names copied."""
-    done = []
-    for path in paths:
-        name = os.path.basename(path)
-        if name in files:
-            with open(path, "rb") as a, open(files[name], "wb") as b:
-                b.write(a.read())
-            done.append(name)
-    return done
+    named = ((p.replace("\\", "/").rsplit("/", 1)[-1], p) for p in paths)
+    return [name for name, path in named if name in files and _copy(path, files[name])]
 
 
 def _write(path: str, data: list) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(data, f, ensure_ascii=False, indent=2)
+    stores.replace_file(path, json.dumps(data, ensure_ascii=False, indent=2).encode("utf-8", "surrogatepass"), uuid.uuid4().hex[:8])
 
 
 def _read(path: str) -> list:
-    with open(path, encoding="utf-8-sig") as f:
-        data = json.load(f)
+    with stores.open_read(path) as f:
+        data = json.loads(f.read().decode("utf-8-sig"))
     if not isinstance(data, list):
         raise ValueError("not a list")
     return data
