@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from quillmill.operators import lines
 from quillmill.plans import pipeline
-from quillmill.sources import files
+from quillmill.sources import reader
+from quillmill.streaming import status
 
 
-def clean_stream(spark: SparkSession, folder: str, merge: pipeline.MergeOptions = pipeline.MergeOptions(), post: pipeline.PostProcess = pipeline.PostProcess()) -> DataFrame:
-    """A streaming DataFrame of the processed lines of files as they arrive in ``folder``."""
-    files.legacy_charsets(spark)
+def clean_stream(spark: SparkSession, folder: str, merge: pipeline.MergeOptions = pipeline.MergeOptions(), post: pipeline.PostProcess = pipeline.PostProcess(), longest: int = reader.LONGEST) -> DataFrame:
+    """A streaming DataFrame of the processed lines of files as they arrive in ``folder``. The stream finds the files by name; a file that cannot be read by then, or is longer
+    than ``longest`` bytes, is a row with an error and without lines."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    arrived = spark.readStream.format("binaryFile").schema(schema).load(folder).select("path", "content")
-    label = files.detect_encoding(F.col("content"))
-    decoded = arrived.withColumn("encoding", label).withColumn("charset", files.charset_of(F.col("encoding")))
-    text = decoded.withColumn("lines", lines.to_lines(files.decode(F.col("content"), F.col("encoding")))).drop("content")
+    # only the path is asked for, so the content is not read here
+    arrived = spark.readStream.format("binaryFile").schema(schema).load(folder).select("path")
+    text = status.read_requests(arrived, longest).withColumn("lines", lines.to_lines(F.col("text"))).drop("text")
     return pipeline.process(text, merge, post, charset=F.col("charset"))

@@ -198,6 +198,8 @@ def test_stream(spark, tmp_path):
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_bytes("你\n好\n，x".encode("gbk"))
-    stream = clean_stream(spark, str(tmp_path / "in"), pipeline.MergeOptions(1)).writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
+    (tmp_path / "in" / "long.txt").write_bytes(b"x" * 99)
+    stream = clean_stream(spark, str(tmp_path / "in"), pipeline.MergeOptions(1), longest=50).writeStream.format("memory").queryName("cleaned").trigger(availableNow=True).start()
     stream.awaitTermination()
-    assert spark.table("cleaned").head()["lines"] == ["你好，x"]
+    found = {r["path"].rsplit("/", 1)[-1]: (r["lines"], r["error"]) for r in spark.table("cleaned").collect()}
+    assert found == {"a.txt": (["你好，x"], None), "long.txt": (None, "ValueError: 99 bytes, more than 50")}
