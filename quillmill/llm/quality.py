@@ -100,8 +100,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     """A model from the texts of ``docs`` that ``labels`` marks 1 or 0.
 
     At most ``sample`` labelled keys of each class are used (a bound), those with the smallest hash of the key; half of them build
-    the dictionaries, from all pieces of their texts, and half fit the curve. Null labels, keys and texts are left out. With no text of one class the
-    score is the share of label 1 among the labels, or 0.5 without labels.
+    the dictionaries, from all pieces of their texts, and half fit the curve. Null labels, keys and texts are left out. A key with both labels counts
+    once in each class, and rows of ``docs`` that repeat a key count each. With no text of one class the score is the share of label 1 among the labels, or 0.5 without labels.
     """
     spark = docs.sparkSession
     marked = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"), F.xxhash64(F.col(key)).alias("h")).where("k IS NOT NULL AND y IN (0, 1)").distinct()

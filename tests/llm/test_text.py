@@ -220,6 +220,11 @@ def test_dictionaries_see_whole_texts(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     quality.train(docs, spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int"))
     assert len(given) == 2 and all(b"".join(p).decode() in texts for p in given)
+    # contradictory labels count in both classes, and rows that repeat a key count each
+    given.clear()
+    both = spark.createDataFrame([(k, y) for k in range(4) for y in (0, 1)] * 2, "doc_id long, quality int")
+    quality.train(docs.union(docs), both)
+    assert len(given) == 2 and sorted(given[0]) == sorted(given[1]) and sum(map(len, given[0])) == 2 * sum(len(t.encode()) for t in texts if any(p[:40] == t.encode()[:40] for p in given[0]))
 
 
 # --- html ------------------------------------------------------------------------------------------------------------
