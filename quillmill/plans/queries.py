@@ -200,13 +200,17 @@ def _file_texts(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a file for each document, in the encoding that its number chooses."""
     folder = session.shared_path(spark, "files")
     stores.make_folder(folder)
-    named = _synthetic_files(spark, sf_dir).select(F.format_string(f"{folder}/%d.txt", "doc_id").alias("path"), "content")
+    named = _synthetic_files(spark, sf_dir).select(_path_in(folder).alias("path"), "content")
     failed = sinks.write_files(named).where("error IS NOT NULL").head()
     if failed:
         raise OSError(f"{failed['path']}: {failed['error']}")
     return folder
 
 
+def _path_in(folder: str) -> Column:
+    return F.concat(F.lit(f"{folder}/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt"))
+
+
 def _number() -> Column:
     return F.regexp_extract("path", r"/(\d+)(_Processed)?\.txt$", 1).cast("long").alias("doc_id")
 
@@ -330,7 +334,7 @@ def replayed_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arriving_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The status of files that are asked for in a stream, some of them again after a restart; those over the limit fail."""
     folder, root = _file_texts(spark, sf_dir), session.shared_path(spark, "status")
-    asked = documents(spark, sf_dir).select("doc_id", F.format_string(f"{folder}/%d.txt", "doc_id").alias("path"))
+    asked = documents(spark, sf_dir).select("doc_id", _path_in(folder).alias("path"))
     for rows in (asked, asked.where("doc_id % 7 = 0")):
         rows.select("path").write.mode("append").parquet(f"{root}/requests")
         stream = spark.readStream.schema("path string").parquet(f"{root}/requests")
