@@ -255,6 +255,7 @@ _LABELLERS: dict[str, Labeller] = {}
 
 
 def labeller(model: Model) -> Labeller:
+    workspace.works_for("language", _LABELLERS.clear)
     key = model.digest()
     if key not in _LABELLERS:
         _LABELLERS.clear()

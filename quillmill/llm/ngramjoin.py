@@ -89,6 +89,7 @@ def _names(rows: DataFrame, words: int) -> DataFrame:
     """id, th, n and name (null where n is 0) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workspace.works_for("shingles")
         for b in batches:
             sets = shingle_sets(b.column("t").to_pylist(), words)
             names = [_name(s) if len(s) else None for s in sets]

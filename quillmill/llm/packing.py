@@ -104,6 +104,7 @@ def solve(demand: np.ndarray, weights: np.ndarray, capacity: int) -> list[tuple[
 
 def _pieces(df: DataFrame, path: str, key: str, text: str, capacity: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        workspace.works_for("token ids", bpe.library_encoder.cache_clear)
         encoder = bpe.library_encoder(path)
         for b in batches:
             out: dict[str, list] = {"id": [], "start": [], "length": [], "crc": [], "doc_tokens": []}

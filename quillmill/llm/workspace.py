@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +52,21 @@ def bound_batches(spark: SparkSession, rows: int = 500) -> None:
 
 def task_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def works_for(operator: str, drop: Callable[[], None] = lambda: None) -> None:
+    """A Python worker that Spark uses again has what operators before have left in it. Called at the start of a task or a batch, this says whose work it is and how to drop what
+    that operator keeps between tasks; what others keep is dropped, and free memory goes back to the system."""
+    if operator in _KEPT and len(_KEPT) == 1:
+        return
+    for other in [o for o in _KEPT if o != operator]:
+        _KEPT.pop(other)()
+    _KEPT[operator] = drop
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # only some C libraries have it
