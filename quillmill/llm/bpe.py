@@ -37,6 +37,8 @@ LETTER, NUMBER, SPACE, BLANK, OTHER = range(5)
 CACHE_ROWS = 1 << 20
 #: Bytes of a slice that merges in lockstep, slices that do so together, and the fewest of a size over 16 bytes for which that pays.
 LONG, COLUMNS, FEW = 512, 1 << 13, 12
+#: Places in the table of merges for each merge. Most pairs that are looked up have none, and in a sparse table they end at the first place.
+PLACES = 16
 _NONE = np.int64(2**31 - 1)
 _LAST = np.int64(2**63 - 1)
 
@@ -131,7 +133,7 @@ class Vocabulary:
             if len(t) == 1:
                 self.byte_ids[t[0]] = k
         left, right, rank, merged = (x.astype(np.int64) for x in pairs)
-        self.table = vectext.SliceTable()
+        self.table = vectext.SliceTable(max(16, (PLACES * len(rank) - 1).bit_length()))
         self.rank = np.append(rank, _NONE)
         self.table.add(self._key(left, right))
         # by rank: the id that comes of it; the rank of a pair of ids, one after the other in 32 bits

@@ -181,6 +181,17 @@ def test_damage_is_found():
         rangecoder.IdChunk([(1, 1)], np.array([70_000])).to_bytes()
 
 
+@pytest.mark.parametrize("path", [queries.BYTE_BPE, queries.MULTI_RANKS])
+def test_merges_are_sparse(path):
+    # pairs without a merge, most of those that are looked up, end at the first place
+    vocabulary = bpe.encoder(path).vocabulary
+    table = vocabulary.table
+    assert table.rows == len(vocabulary._pairs) and len(table.keys) >= bpe.PLACES * table.rows
+    left, right = np.random.default_rng(5).integers(0, len(vocabulary.tokens), (2, 20_000))
+    want = [vocabulary.rank_of.get(p, int(bpe._NONE)) for p in (left << 32 | right).tolist()]
+    assert vocabulary.ranks(left, right).tolist() == want
+
+
 def test_op6(spark, small):
     got = {r["doc_id"]: tuple(r)[1:] for r in queries.op6_id_files(spark, small).collect()}
     at, want = 0, {}
