@@ -1,11 +1,11 @@
 """Token counts without ids.
 
-1. *Frequent pre-tokens.* Tasks reduce their texts to distinct pre-tokens with their numbers; a shuffle by pre-token adds the numbers up. Those
-   that are at least one in HOT of all that come more than once are HOT at most, and 20 bytes each (a 128-bit digest and the count of pieces): their pieces are counted, once, and they
-   go to every task.
+1. *Frequent pre-tokens.* Tasks reduce their texts to distinct pre-tokens with their numbers; a shuffle by pre-token adds the numbers up. The
+   most frequent ones of those that come more than once, HOT at most and all or none of one number, are 20 bytes each (a 128-bit digest and the count of pieces): their pieces are
+   counted, once, and they go to every task.
 2. *Frequencies.* A task sums frequency times count over the frequent pre-tokens of a text. The frequencies of the others (text, pre-token, number) are
-   shuffled by pre-token and sorted, so each distinct one meets all its frequencies in one place, where its pieces are counted, once, and joined to them. None of these is
-   more than one in HOT of all, so none is a task by itself.
+   shuffled by pre-token and sorted, so each distinct one meets all its frequencies in one place, where its pieces are counted, once, and joined to them. More than
+   HOT are as frequent as any of these, so none is more than one in HOT of all, and none is a task by itself.
 3. *Sums.* The products are summed by text.
 4. Rows get the count of their text by its digest; texts that make up one in HOT_TEXTS of all rows, HOT_TEXTS at most, by a broadcast.
 
@@ -33,8 +33,8 @@ MARK = "▁"
 CACHE_ROWS, CACHE_POINTS = 1 << 19, 1 << 24
 #: Characters up to which a pre-token is its own key; a longer one's key is its SHA-256 in 64 digits, and the key of a text's own row has OWN.
 KEY, OWN = 24, 33
-#: Most pre-tokens (168 MB, were all of one frequency), and most texts (2 MB), that are broadcast.
-HOT, HOT_TEXTS = 1 << 23, 1 << 16
+#: Most pre-tokens (84 MB), and most texts (2 MB), that are broadcast.
+HOT, HOT_TEXTS = 1 << 22, 1 << 16
 _DIGEST, _COUNT = "quillmill_text_digest", "quillmill_token_count"
 
 
@@ -203,17 +203,28 @@ def _long(tokens: list[str]) -> pa.Array:
     return pa.array([t if len(t) > KEY else None for t in tokens], pa.string())
 
 
+def least_frequent(numbers: DataFrame) -> int:
+    """The least n that HOT rows of ``numbers`` at most have or exceed."""
+    # different numbers: fewer than the root of twice their sum
+    held, least = 0, None
+    for n, rows in sorted(((r["n"], r["rows"]) for r in numbers.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).collect()), reverse=True):
+        held += rows
+        if held > HOT:
+            return n + 1 if least is None else least
+        least = n
+    return least or 0
+
+
 def frequent_counts(texts: DataFrame, path: str) -> Frequent:
     """The piece counts of the frequent pre-tokens, which the driver holds."""
     numbers = pretoken_numbers(texts, path)
-    every = numbers.agg(F.sum("n")).head()[0] or 0
+    least = least_frequent(numbers)
 
     @F.arrow_udf("long")
     def pieces(tokens: pa.Array) -> pa.Array:
         return pa.array(counter(path).pieces(tokens.to_pylist()), pa.int64())
 
-    # each is at least one in HOT of all, so they are HOT at most
-    chosen = numbers.where(F.col("n") * HOT >= every)
+    chosen = numbers.where(F.col("n") >= least)
     return Frequent(chosen.select(F.unhex(F.md5("key")).alias("digest"), pieces(F.coalesce("long", "key")).alias("pieces")).toArrow())
 
 

@@ -140,6 +140,15 @@ def test_token_counts_by_the_join(spark, odd, path, monkeypatch):
     assert len(rows) == df.count() and all(r["n_tokens"] == size(r["text"] or "") for r in rows)
 
 
+@pytest.mark.parametrize("most, held", [(2, 1), (3, 3), (100, 3), (0, 0)])
+def test_frequent_pretokens_fill_their_bound(spark, monkeypatch, most, held):
+    """However small their share: only the bound, and a tie at it, leaves pre-tokens that come more than once to the shuffle."""
+    monkeypatch.setattr(tokencount, "HOT", most)
+    df = spark.createDataFrame([("a " * 500 + "b c d",), ("b c e",)], "text string")
+    frequent = tokencount.frequent_counts(df, queries.PIECES)
+    assert (frequent.pieces([" a", " b", " c", " d", " e"]) >= 0).sum() == len(frequent.counts) == held
+
+
 def test_distinct_tells_equal_hashes_apart(monkeypatch):
     monkeypatch.setattr(vectext.SliceHasher, "__call__", lambda self, a, b: np.ones(len(a), np.uint64))
     parts = ["ab cd ab ef", " abc", "cd"]
