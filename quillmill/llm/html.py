@@ -4,12 +4,14 @@ Pages of a host are dealt into groups of bounded size, so a host with a third of
 
 1. Every page becomes a tree of block elements; inline markup is part of a block's text, and runs of equal siblings are one
    node of the page's skeleton (a list of any length has one shape).
-2. A page that marks its article (or main element) has its content there, all of it: headings and closing lines that many articles of a host share are
-   no template. The other pages of the group are aligned: the most frequent skeleton is the wrapper, and simple tree matching aligns every other one with
-   it; pages share skeletons, so each alignment is computed once.
+2. The pages of the group are aligned, those that mark an article (or main element) with one another and the others with one another, or with all where one of
+   these kinds has but one content: the most frequent skeleton is the wrapper, and simple tree matching aligns every other one with it; pages share skeletons,
+   so each alignment is computed once.
 3. A wrapper node that has the same text beside nearly all distinct contents is constant where it has that text; the others are varying slots. Pages of
    one content count once. The slots show where the content is: in the shortest run of nodes with nearly all varying text, and in all of the element that
    holds that run. Constant nodes outside it are template; inside it they stay. Two distinct pages are enough; one page shows no template.
+   Marks check that: an article is content as a whole (headings and closing lines that many articles of a host share are no template), but of several on a
+   page those with nothing but template are none.
 4. From that content the parts are left out that markup itself sets apart: navigation, headers, footers, sidebars, notices, adverts, forms, scripts and
    comments. Names that articles use as well (discussion, search, ...) set a part apart only if it is mostly links; ids of headings, paragraphs and list
    items never do, and those of sections only if they say nothing else.
@@ -329,11 +331,12 @@ def own_text(node: Node) -> str:
 
 
 def _walk(node: Node) -> Iterator[Node]:
+    """A node and those in it that markup doesn't set apart."""
     todo = [node]
     while todo:
         x = todo.pop()
         yield x
-        todo.extend(c for c in reversed(x.items) if isinstance(c, Node))
+        todo.extend(c for c in reversed(x.items) if isinstance(c, Node) and not c.apart)
 
 
 def _regions(node: Node) -> list[Node]:
@@ -372,8 +375,8 @@ def _letters(node: Node, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
 
 
 def blocks(node: Node, template: set[int]) -> list[str]:
-    """The texts of the blocks of a page's content in page order, without those of the ``template`` nodes. An article of which
-    nothing else is left keeps them, and then what perhaps is set aside."""
+    """The texts of the blocks of a page's content in page order, without those of the ``template`` nodes. What an article holds is no template, but of several
+    articles those that hold nothing else are. Content of which nothing is left keeps its template, and then what perhaps is set aside."""
     out: list[str] = []
     held: list[tuple[str, bool]] = []
     letters: dict[int, tuple[int, int]] = {}
@@ -413,6 +416,8 @@ def blocks(node: Node, template: set[int]) -> list[str]:
                 todo.pop()
 
     regions = _regions(node)
+    if regions[0] is not node:
+        regions, template = [r for r in regions if not _is_template(r, template)] or regions, set()
     for region in regions:
         had = len(out)
         for kept, sparing in ((template, False), (set(), False), (set(), True)):
@@ -421,6 +426,12 @@ def blocks(node: Node, template: set[int]) -> list[str]:
     return out
 
 
+def _is_template(region: Node, template: set[int]) -> bool:
+    """Whether a part has text, and all of it in nodes of the template."""
+    texts = [x.slot in template for x in _walk(region) if own_text(x)] if template else []
+    return bool(texts) and all(texts)
+
+
 def _content_range(shapes: Shapes, wrapper: int, varying: np.ndarray) -> tuple[int, int]:
     """The preorder places of a wrapper's content, from the letters that vary in each of its nodes: the shortest run of nodes with MOST_VARYING of them, and all of
     the element that holds the run, unless that is the page itself."""
@@ -442,24 +453,20 @@ def _content_range(shapes: Shapes, wrapper: int, varying: np.ndarray) -> tuple[i
             return (first, last) if at == 0 else (at, end)
 
 
-def extract_group(pages: list[str | None], aligned: bool = True) -> list[str]:
-    """The main text of each page of a group of one host. ``aligned``: whether the pages say what of one another is template."""
-    trees = [parse(p) if p else None for p in pages]
-    contents = ["\n".join(blocks(t, set())) if t is not None else "" for t in trees]
-    # pages that mark their article need no wrapper, and what stands in it is no template, however many pages say it too
-    bare = [k for k, t in enumerate(trees) if t is not None and _regions(t)[0] is t]
+def _templates(trees: list[Node | None], contents: list[str], among: list[int]) -> dict[int, set[int]]:
+    """The wrapper of the pages ``among``: for each of them the places of its template nodes, which its nodes then have as ``slot``."""
     # pages that are copies of one another say nothing about the template
-    distinct = len({contents[k] for k in bare})
-    if not aligned or distinct < 2:
-        return contents
+    distinct = len({contents[k] for k in among})
+    if distinct < 2:
+        return {}
     shapes = Shapes()
-    found = {k: shapes.skeleton(trees[k]) for k in bare}
+    found = {k: shapes.skeleton(trees[k]) for k in among}
     counts = Counter(f[0] for f in found.values())
     wrapper = min(counts, key=lambda s: (-counts[s], shapes.digests[s]))
     paths = {s: shapes.align(s, wrapper) for s in counts}
     said: dict[int, dict[int, str]] = {}  # the text of each wrapper node on each page
     beside: dict[tuple[int, str], set[str]] = {}
-    for k in bare:
+    for k in among:
         for slot, nodes in zip(paths[found[k][0]], found[k][1]):
             for x in nodes:
                 x.slot = slot
@@ -481,12 +488,26 @@ def extract_group(pages: list[str | None], aligned: bool = True) -> list[str]:
         if constant.get(slot) != text:
             varying[slot] += len(text)
     if not varying.any():
-        return contents
+        return {}
     first, last = _content_range(shapes, wrapper, varying)
-    for k in bare:
-        template = {slot for slot, text in said[k].items() if constant.get(slot) == text and not first <= slot < last}
-        if template:
-            contents[k] = "\n".join(blocks(trees[k], template))
+    return {k: {slot for slot, text in said[k].items() if constant.get(slot) == text and not first <= slot < last} for k in among}
+
+
+def extract_group(pages: list[str | None], aligned: bool = True) -> list[str]:
+    """The main text of each page of a group of one host. ``aligned``: whether the pages say what of one another is template."""
+    trees = [parse(p) if p else None for p in pages]
+    marked = ["\n".join(blocks(t, set())) if t is not None else "" for t in trees]
+    contents = list(marked)
+    if not aligned:
+        return contents
+    there = [k for k, t in enumerate(trees) if t is not None]
+    bare = {k for k in there if _regions(trees[k])[0] is trees[k]}
+    # pages with an article and pages without one mostly come from different templates
+    for own in ([k for k in there if k not in bare], sorted(bare)):
+        found = _templates(trees, marked, own if len({marked[k] for k in own}) > 1 else there) if own else {}
+        for k in own:
+            if found.get(k):
+                contents[k] = "\n".join(blocks(trees[k], found[k]))
     return contents
 
 

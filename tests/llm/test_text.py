@@ -287,6 +287,23 @@ def test_what_articles_share_is_no_template(n):
     assert html.extract_group([bare(k) for k in range(n)]) == ["\n".join([*around[0], *own(k), *around[1]]) for k in range(n)]
 
 
+@pytest.mark.parametrize("n", [2, 5, 501])
+def test_pages_that_mark_an_article_are_aligned(n):
+    # of several articles, one that all pages of the host have is none; alone on a page, it stays
+    about = "<article class=about><h3>The house</h3><p>We bake since 1900.</p></article>"
+    story = lambda k: f"<article class=story><h1>Story {k}</h1><h2>Shared heading</h2><p>Text {k} of many.</p></article>"
+    own = lambda k: f"Story {k}\nShared heading\nText {k} of many."
+    house = "The house\nWe bake since 1900."
+    pages = [f"<body><div class=top>Our site</div>{about}{story(k)}</body>" for k in range(n)]
+    assert html.extract_group(pages) == [own(k) for k in range(n)]
+    assert html.extract_group(pages, aligned=False) == [f"{house}\n{own(k)}" for k in range(n)]
+    assert html.extract_group([*pages, f"<body>{about}</body>"])[-1] == house
+    assert html.extract_group(pages[:1] * 3) == [f"{house}\n{own(0)}"] * 3
+    # a single page without an article loses nothing of its own
+    *others, last = html.extract_group([*pages, "<body><div class=top>Our site</div><div class=text>Another page</div></body>"])
+    assert others == [own(k) for k in range(n)] and last.endswith("Another page")
+
+
 def test_references_end_with_their_run():
     page = "<article><p>R&<b>lt; x</b></p><p>a&<i>copy; b</i></p><p>a &lt; b&amp;lt; c</p></article>"
     assert html.extract_group([page]) == ["R&lt; x\na&copy; b\na < b&lt; c"]
