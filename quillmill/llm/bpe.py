@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from heapq import heappop, heappush
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ from pyspark.sql import functions as F
 
 from quillmill.llm import vectext
 
+if TYPE_CHECKING:
+    from tokenizers import Tokenizer
+
 LETTER, NUMBER, SPACE, BLANK, OTHER = range(5)
 #: Slices that a cache holds before it starts anew.
 CACHE_ROWS = 1 << 20
@@ -420,13 +424,19 @@ class LibraryEncoder:
     the ends. A text that holds one of the file's added tokens is left to the library, which takes those out first."""
 
     def __init__(self, path: str) -> None:
+        self.path = path
+        self.added = [t["content"] for t in json.load(open(path, encoding="utf-8")).get("added_tokens") or []]
+        self.encoder = encoder(path)
+
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer. A worker whose texts hold no added token never loads it."""
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.encoder = encoder(path)
+        library = Tokenizer.from_file(self.path)
+        library.no_truncation()
+        library.no_padding()
+        return library
 
     def encode(self, texts: list) -> list[np.ndarray]:
         special = {k for k, t in enumerate(texts) if t and any(a in t for a in self.added)}
@@ -439,3 +449,9 @@ class LibraryEncoder:
 @lru_cache(maxsize=4)
 def library_encoder(path: str) -> LibraryEncoder:
     return LibraryEncoder(path)
+
+
+def forget() -> None:
+    """Drop this worker's encoders with their tables and caches, also those that a library encoder is made of."""
+    library_encoder.cache_clear()
+    encoder.cache_clear()

@@ -104,7 +104,7 @@ def solve(demand: np.ndarray, weights: np.ndarray, capacity: int) -> list[tuple[
 
 def _pieces(df: DataFrame, path: str, key: str, text: str, capacity: int, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        workspace.works_for("token ids", bpe.library_encoder.cache_clear)
+        workspace.works_for("token ids", bpe.forget)
         encoder = bpe.library_encoder(path)
         for b in batches:
             out: dict[str, list] = {"id": [], "start": [], "length": [], "crc": [], "doc_tokens": []}
@@ -156,7 +156,8 @@ def pack(df: DataFrame, path: str, key: str = "doc_id", text: str = "text", capa
         base += n
     if histogram.get(0):
         spans.append((0, 0, histogram[0], base, 1, 0))
-    plan = spark.createDataFrame(spans, "class int, low long, high long, base long, each long, place long")
+    kinds = {"class": pa.int32(), "low": pa.int64(), "high": pa.int64(), "base": pa.int64(), "each": pa.int64(), "place": pa.int64()}
+    plan = workspace.local_table(spark, {name: pa.array([s[k] for s in spans], kind) for k, (name, kind) in enumerate(kinds.items())})
     before = counts.select("class", "salt", (F.sum("n").over(Window.partitionBy("class").orderBy("salt")) - F.col("n")).alias("before"))
     order = Window.partitionBy("class", "salt").orderBy("id", "start", "crc")
     ranked = classed.withColumn("rank", F.row_number().over(order) - 1).join(before, ["class", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))

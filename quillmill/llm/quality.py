@@ -108,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     chosen = [r for y in (0, 1) for r in marked.where(F.col("y") == y).orderBy("h", "k").limit(sample).collect()]
     if not chosen:
         return Model(b"", b"", 0.0, (0.0, 0.0, 0.0))
-    part = spark.createDataFrame([(r["k"], r["y"], i % 2) for i, r in enumerate(chosen)], "k long, y int, fold int")
+    part = workspace.local_table(spark, {"k": pa.array([r["k"] for r in chosen], pa.int64()), "y": pa.array([r["y"] for r in chosen], pa.int32()), "fold": pa.array([i % 2 for i in range(len(chosen))], pa.int32())})
     # at most 2 * sample rows
     mine = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL AND k IS NOT NULL").join(F.broadcast(part), "k")
 

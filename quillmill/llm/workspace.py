@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
@@ -45,6 +46,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def local_table(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A small table of the driver's. It goes by Arrow: rows given as a list pass through an RDD, for which every executor starts a second pool of
+    Python workers beside that of SQL, and these stay."""
+    return spark.createDataFrame(pa.table(columns))
+
+
 def bound_batches(spark: SparkSession, rows: int = 500) -> None:
     """Keep Arrow batches small, so that a batch of long texts fits in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -66,6 +73,7 @@ def works_for(operator: str, drop: Callable[[], None] = lambda: None) -> None:
         _KEPT.pop(other)()
     _KEPT[operator] = drop
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
     except (OSError, AttributeError):
