@@ -24,6 +24,7 @@ from array import array
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from heapq import heappop, heappush
+from itertools import islice
 from typing import TYPE_CHECKING
 
 import numpy as np
@@ -41,6 +42,8 @@ LETTER, NUMBER, SPACE, BLANK, OTHER = range(5)
 CACHE_ROWS = 1 << 20
 #: Bytes of a slice that merges in lockstep, slices that do so together, and the fewest of a size over 16 bytes for which that pays.
 LONG, COLUMNS, FEW = 512, 1 << 13, 12
+#: Groups of texts whose new slices merge together.
+TOGETHER = 8
 #: Places in the table of merges for each merge. Most pairs that are looked up have none, and in a sparse table they end at the first place.
 PLACES = 16
 _NONE = np.int64(2**31 - 1)
@@ -67,7 +70,7 @@ def token_starts(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     kind = class_table()[points]
     blank = (kind == SPACE) | (kind == BLANK)
-    group = np.where(blank, np.uint8(SPACE), kind)
+    group = kind - (kind == BLANK).view(np.uint8)  # one class of white space
     new = np.ones(n, bool)
     new[1:] = group[1:] != group[:-1]
     edge = np.zeros(n + 1, bool)
@@ -139,7 +142,12 @@ class Vocabulary:
         left, right, rank, merged = (x.astype(np.int64) for x in pairs)
         self.table = vectext.SliceTable(max(16, (PLACES * len(rank) - 1).bit_length()))
         self.rank = np.append(rank, _NONE)
-        self.table.add(self._key(left, right))
+        keys = self._key(left, right)
+        self.table.add(keys)
+        # a byte for each place in the table, whether a key begins its search there: far smaller than the table, it answers most look-ups
+        self.home = np.uint64(64 - self.table.bits)
+        self.begun = np.zeros(1 << self.table.bits, bool)
+        self.begun[keys >> self.home] = True
         # by rank: the id that comes of it; the rank of a pair of ids, one after the other in 32 bits
         self.merged = np.zeros(int(rank.max(initial=0)) + 1, np.int32)
         self.merged[rank] = merged
@@ -149,11 +157,21 @@ class Vocabulary:
 
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return vectext.mix(left.astype(np.uint64) * np.uint64(1 << 32) + right.astype(np.uint64) + np.uint64(1))
+        # a product with an odd number differs for different pairs, and its high bits, which name the place, depend on both ids
+        out = left.astype(np.uint64)
+        out <<= np.uint64(32)
+        out += right.astype(np.uint64)
+        out += np.uint64(1)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        return out
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs, _NONE where there is no merge."""
-        return self.rank[self.table.find(self._key(left, right))]
+        keys = self._key(left, right)
+        some = np.flatnonzero(self.begun.take((keys >> self.home).view(np.int64)))
+        out = np.full(len(keys), _NONE)
+        out[some] = self.rank.take(self.table.find(keys.take(some)))
+        return out
 
     @cached_property
     def rank_of(self) -> dict[int, int]:
@@ -302,13 +320,15 @@ class Encoder:
 
     def _reset(self) -> None:
         self.table = vectext.SliceTable()
-        self.count = np.zeros(0, np.int64)
-        self.first = np.zeros(0, np.int64)
+        # of each slice, where its ids are in the pool and how many
+        self.spans = np.zeros((1 << 12, 2), np.int64)
         self.pool = np.zeros(1 << 16, np.int32)
         self.used = 0
+        # new slices, in the order of their rows, that are not merged yet
+        self.waiting: list[bytes] = []
 
     def slices(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cache rows of the tokens of the pattern in ``parts``, in order, and how many each part has."""
+        """Cache rows of the tokens of the pattern in ``parts``, in order, and how many each part has. New rows have their ids after ``settle``."""
         joined, points, starts = vectext.flatten(parts)
         begin = token_starts(points, starts)
         per_part = np.diff(np.searchsorted(begin, starts))
@@ -316,45 +336,56 @@ class Encoder:
             return np.zeros(0, np.int32), per_part
         end = np.append(begin[1:], len(points))
         hashes = vectext.SliceHasher(points)(begin, end)
-        if self.table.rows > CACHE_ROWS:
-            self._reset()
         row = self.table.find(hashes)
         miss = np.flatnonzero(row < 0)
         if len(miss):
             new, where, back = np.unique(hashes[miss], return_index=True, return_inverse=True)
             where = miss[where]
-            raw = [joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begin[where].tolist(), end[where].tolist())]
-            ids, counts = merge_many(self.vocabulary, raw)
+            self.waiting += [joined[a:b].encode("utf-8", "surrogatepass") for a, b in zip(begin[where].tolist(), end[where].tolist())]
             row[miss] = self.table.add(new)[back]
-            self.keep(ids, counts)
         return row, per_part
 
+    def settle(self) -> None:
+        """Merge the slices that wait."""
+        if self.waiting:
+            self.keep(*merge_many(self.vocabulary, self.waiting))
+            self.waiting = []
+
     def keep(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Take up the ids of the table's newest rows. Both arrays double where they are full, so a row is copied a few times, however many come."""
+        rows = self.table.rows
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.int32)])
+        if rows > len(self.spans):
+            self.spans = np.concatenate([self.spans, np.zeros((max(len(self.spans), rows - len(self.spans)), 2), np.int64)])
         self.pool[self.used : self.used + len(ids)] = ids
-        self.first = np.concatenate([self.first, self.used + np.cumsum(counts) - counts])
-        self.count = np.concatenate([self.count, counts])
+        new = self.spans[rows - len(counts) : rows]
+        new[:, 0] = self.used + np.cumsum(counts) - counts
+        new[:, 1] = counts
         self.used += len(ids)
 
-    def ids(self, rows: np.ndarray) -> np.ndarray:
-        """The ids of slices by cache row."""
-        n = self.count[rows]
-        ends = np.cumsum(n)
-        if not len(ends):
-            return np.zeros(0, np.int32)
-        return self.pool[np.arange(int(ends[-1])) + np.repeat(self.first[rows] - ends + n, n)]
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of slices by cache row, one after another, and where those of each begin, with the end."""
+        spans = self.spans.take(rows, axis=0)
+        bounds = np.zeros(len(rows) + 1, np.int64)
+        np.cumsum(spans[:, 1], out=bounds[1:])
+        at = np.repeat(spans[:, 0] - bounds[:-1], spans[:, 1])
+        at += np.arange(len(at))
+        return self.pool.take(at), bounds
 
     def encode(self, texts: list) -> list[np.ndarray]:
         """Ids of each text (None: empty)."""
         out: list[list[np.ndarray]] = [[] for _ in texts]
-        for parts, owner in vectext.segments(texts, cut=safe_cut):
-            rows, per_part = self.slices(parts)
-            ids = self.ids(rows)
-            per_slice = np.concatenate([[0], np.cumsum(self.count[rows])])
-            bounds = per_slice[np.concatenate([[0], np.cumsum(per_part)])]
-            for k, a, b in zip(owner.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                out[k].append(ids[a:b])
+        groups = vectext.segments(texts, cut=safe_cut)
+        while found := [(*self.slices(parts), owner) for parts, owner in islice(groups, TOGETHER)]:
+            self.settle()
+            for rows, per_part, owner in found:
+                ids, per_slice = self.ids(rows)
+                bounds = per_slice[np.concatenate([[0], np.cumsum(per_part)])]
+                for k, a, b in zip(owner.tolist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    out[k].append(ids[a:b])
+            if self.table.rows > CACHE_ROWS:
+                self._reset()
         return [x[0] if len(x) == 1 else np.concatenate(x) for x in out]
 
     def decode(self, ids: np.ndarray) -> bytes:

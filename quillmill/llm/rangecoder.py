@@ -50,7 +50,7 @@ WEIGHT_BITS, CLASS_BITS, TABLE_BITS = 10, 9, 10
 #: The first rank that is not predicted.
 NEVER = (1 << 14) - 1
 #: Steps whose probabilities the encoder looks up at once; ids of the windows after which weights are renewed, the last one repeated.
-BATCH, WINDOWS = 16, (32, 64, 128)
+BATCH, WINDOWS = 8, (32, 64, 128)
 #: What an id adds to the counts behind the weights and behind the classes, and the sums from which they are halved.
 GAIN, CLASS_GAIN, MOST, CLASS_MOST = 16, 2, 2000, 1000
 #: Parts of the chunk's frequencies that a block begins with.
@@ -67,21 +67,23 @@ _WEIGHT, _CLASS, _FLOOR, _HALF, _SIXTEEN, _TOP, _WORD, _REST, _LAST = (np.array(
 
 
 class _Model:
-    """Predictions, mixing weights and class distributions of ``n`` blocks. ``prior``: ids of the chunk in each class."""
+    """Predictions, mixing weights and class distributions of ``n`` blocks. ``prior``: ids of the chunk in each class.
+
+    Every table has a row for each context and a column for each block: blocks that are in one of the few frequent contexts find their entries side by side."""
 
     def __init__(self, n: int, prior: np.ndarray) -> None:
-        self.n = n
+        self.n, self.lane = n, np.arange(n)
         # order 1, then order 2; an entry is a rank and its confidence
         self.tables = np.full(2 * n << TABLE_BITS, NEVER << 2, np.uint16)
         second, first = np.divmod(np.arange(16), 4)
         begin = np.stack([8 + 24 * second, 8 + 8 * first, 64 - 8 * second]).astype(np.int32)
-        self.counts = np.tile(begin[:, None], (1, n, 1)).reshape(3, -1)
+        self.counts = np.repeat(begin[:, :, None], n, axis=2)
         self.used = int(np.flatnonzero(prior)[-1]) + 1 if prior.any() else 1
         share = prior[: self.used].astype(np.int64) * PRIOR // max(int(prior.sum()), 1)
-        self.order0 = np.tile(np.maximum(1, share).astype(np.int32), (n, 1))
-        # bounds of the parts of order 2 and order 1 by block and confidences; start and size of classes by block: low and high halves
-        self.weights, self.classes = np.zeros(16 * n, np.uint64), np.zeros((n, 64), np.uint64)
-        self.classes[:, HIT] = 1 << CLASS_BITS << 16
+        self.order0 = np.repeat(np.maximum(1, share).astype(np.int32)[:, None], n, axis=1)
+        # bounds of the parts of order 2 and order 1 by confidences; start and size of parts by confidences and order, and of classes: low and high halves
+        self.weights, self.parts, self.classes = np.zeros((16, n), np.uint64), np.zeros((16, 4, n), np.uint64), np.zeros((64, n), np.uint64)
+        self.classes[HIT] = 1 << CLASS_BITS << 16
         self.closes, self.windows = 0, 0
         self._spread()
 
@@ -99,18 +101,17 @@ class _Model:
 
     def _tally(self, codes: np.ndarray) -> np.ndarray:
         at = codes.astype(np.int64)
-        at += np.arange(self.n) << 6
-        return np.bincount(at.reshape(-1), minlength=self.n << 6).astype(np.int32).reshape(self.n, 64)
+        at *= self.n
+        at += self.lane
+        return np.bincount(at.reshape(-1), minlength=self.n << 6).astype(np.int32).reshape(64, self.n)
 
     def _learn(self) -> None:
-        found = self._tally(self.orders).reshape(-1, 4)
-        for k in range(3):
-            self.counts[k] += found[:, k] * GAIN
-        over = np.flatnonzero(self.counts.sum(axis=0) > MOST)
-        self.counts[:, over] >>= 1
-        self.order0 += self._tally(self.seen)[:, : self.used] * CLASS_GAIN
-        over = np.flatnonzero(self.order0.sum(axis=1) > CLASS_MOST)
-        self.order0[over] -= self.order0[over] >> 1
+        found = self._tally(self.orders).reshape(16, 4, self.n)
+        for k, own in enumerate(self.counts):
+            own += found[:, k] * np.int32(GAIN)
+        self.counts >>= (self.counts.sum(axis=0, dtype=np.int32) > MOST).view(np.int8)
+        self.order0 += self._tally(self.seen)[: self.used] * np.int32(CLASS_GAIN)
+        self.order0 -= (self.order0 >> 1) * (self.order0.sum(axis=0, dtype=np.int32) > CLASS_MOST)
         self._spread()
 
     def _spread(self) -> None:
@@ -119,20 +120,28 @@ class _Model:
         upper = two + one
         whole = upper + none
         room = (1 << WEIGHT_BITS) - 10
-        np.copyto(self.weights, (two * room // whole + 1) | (upper * room // whole + 2) << 16, casting="unsafe")
-        edge = np.cumsum(self.order0, axis=1, dtype=np.int32)
-        whole = edge[:, -1:].copy()
+        lower, upper = two * room // whole + 1, upper * room // whole + 2
+        np.copyto(self.weights, lower | upper << 16, casting="unsafe")
+        for k, (start, end) in enumerate(((0, lower), (lower, upper), (upper, 1 << WEIGHT_BITS))):
+            np.copyto(self.parts[:, k], start | (end - start) << 16, casting="unsafe")
+        edge = np.cumsum(self.order0, axis=0, dtype=np.int32)
+        whole = edge[-1].copy()
         edge *= (1 << CLASS_BITS) - self.used
         edge //= whole
-        edge += np.arange(1, self.used + 1, dtype=np.int32)
-        self.sizes = edge.copy()
-        self.sizes[:, 1:] -= edge[:, :-1]
-        edge -= self.sizes
-        np.copyto(self.classes[:, : self.used], edge | self.sizes << 16, casting="unsafe")
+        edge += np.arange(1, self.used + 1, dtype=np.int32)[:, None]
+        sizes = edge.copy()
+        sizes[1:] -= edge[:-1]
+        edge -= sizes
+        self.firsts = edge
+        np.copyto(self.classes[: self.used], edge | sizes << 16, casting="unsafe")
 
     def lookup(self) -> np.ndarray:
         """The class at each part of the distributions."""
-        return np.repeat(np.tile(np.arange(self.used, dtype=np.uint8), self.n), self.sizes.reshape(-1))
+        marks = np.zeros((1 << CLASS_BITS, self.n), np.uint8)
+        marks.reshape(-1)[self.firsts[1:] * np.int64(self.n) + self.lane] = 1
+        for above, row in zip(marks, marks[1:]):
+            np.add(row, above, out=row)
+        return marks.reshape(-1)
 
 
 def _renew(entries: np.ndarray, ranked: np.ndarray, sure: np.ndarray, hit: np.ndarray) -> None:
@@ -155,7 +164,7 @@ def _encode_group(ranks: np.ndarray, lengths: np.ndarray, prior: np.ndarray) ->
     """The words of blocks, longest first. ``ranks``: (steps, blocks)."""
     steps, n = ranks.shape
     model = _Model(n, prior)
-    tables, live, lane = model.tables, _live(lengths), np.arange(n)
+    tables, parts, classes, live, lane, blocks = model.tables, model.parts.reshape(-1), model.classes.reshape(-1), _live(lengths), model.lane, np.array(n)
     low, span = np.zeros(n, np.uint64), np.full(n, (1 << 63) - 1, np.uint64)
     room = steps // 3 + BATCH + 8
     words = np.zeros((n, room), np.uint64)
@@ -176,8 +185,9 @@ def _encode_group(ranks: np.ndarray, lengths: np.ndarray, prior: np.ndarray) ->
         at = np.empty((w, 2, m), np.int64)
         at[:, 0] = run[1:-1] & _SLOT
         at[:, 1] = (run[:-2] * _SECOND + run[1:-1] * _FIRST) >> _SHIFT
-        at[:, 1] += n << TABLE_BITS
-        at += lane[:m] << TABLE_BITS
+        at[:, 1] += 1 << TABLE_BITS
+        at *= n
+        at += lane[:m]
         ranked = np.minimum(own, _NEVER) << _TWO
         entries = np.empty((w, 2, m), np.uint16)
         work, sure, hit = np.empty((2, m), np.uint16), np.empty((2, m), np.uint16), np.empty((2, m), bool)
@@ -195,16 +205,12 @@ def _encode_group(ranks: np.ndarray, lengths: np.ndarray, prior: np.ndarray) ->
         kind = CLASS_OF.take(own)
         kind |= (order < 2) * np.uint8(HIT)
         k = t - model.opened
-        model.orders[k : k + w, :m], model.seen[k : k + w, :m] = (context << 2) + order, kind
-        bounds = model.weights.take(context + (lane[:m] << 4))
-        edges = np.zeros((4, w, m), np.uint64)
-        np.bitwise_and(bounds, _HALF, out=edges[1])
-        np.right_shift(bounds, _SIXTEEN, out=edges[2])
-        edges[3] = 1 << WEIGHT_BITS
-        edges, at = edges.reshape(-1), order * np.int64(w * m) + np.arange(w * m).reshape(w, m)
-        start, size = edges.take(at), edges.take(at + w * m)
-        size -= start
-        share = model.classes.reshape(-1).take(kind + (lane[:m] << 6))
+        context <<= 2
+        context += order
+        model.orders[k : k + w, :m], model.seen[k : k + w, :m] = context, kind
+        share = parts.take(context * blocks + lane[:m])
+        start, size = share & _HALF, share >> _SIXTEEN
+        share = classes.take(kind * blocks + lane[:m])
         first, width, bits = share & _HALF, share >> _SIXTEEN, _PLACE.take(kind)
         place = own - _START.take(kind)
         place *= order == 2
@@ -244,7 +250,8 @@ def _decode_group(blocks: list[bytes], lengths: np.ndarray, prior: np.ndarray) -
     """The ranks (steps, blocks) of the words of blocks, longest first."""
     n, steps = len(blocks), int(lengths[0])
     model = _Model(n, prior)
-    tables, weights, classes, live = model.tables, model.weights, model.classes.reshape(-1), _live(lengths)
+    tables, live = model.tables, _live(lengths)
+    weights, parts, classes = (x.reshape(-1) for x in (model.weights, model.parts, model.classes))
     longest = max(map(len, blocks)) // 4 + 2
     words = np.zeros((n, longest), np.uint32)
     for k, b in enumerate(blocks):
@@ -257,20 +264,16 @@ def _decode_group(blocks: list[bytes], lengths: np.ndarray, prior: np.ndarray) -
     span = np.full(n, (1 << 63) - 1, np.uint64)
     out = np.zeros((steps, n), np.uint16)
     one = two_back = np.zeros(n, np.uint16)
-    hit_class, two = np.array(HIT, np.uint8), np.array(2, np.uint8)
+    hit_class, two, blocks = np.array(HIT, np.uint8), np.array(2, np.uint8), np.array(n)
     m = -1
     for t in range(steps):
         if model.begin(t):
             lookup = model.lookup()
         if live[t] != m:
             m = int(live[t])
-            lane, lanes = np.arange(m), np.array(m)
-            lane_weights, lane_classes, lane_parts = lane << 4, lane << 6, lane << CLASS_BITS
-            slots = np.stack([lane << TABLE_BITS, (lane + n) << TABLE_BITS])
+            lane = model.lane[:m]
+            slots = np.stack([lane, lane + (n << TABLE_BITS)])
             r, code, c = span[:m], register[:m], count[:m]
-            edges = np.zeros((4, m), np.uint64)
-            edges[3] = 1 << WEIGHT_BITS
-            flat_edges, lower, upper = edges.reshape(-1), edges[1], edges[2]
             part, value, x, y = np.empty((4, m), np.uint64)
             place, at = np.empty((2, m), np.int64), np.empty(m, np.int64)
             entries, predicted, sure = np.empty((3, 2, m), np.uint16)
@@ -278,50 +281,54 @@ def _decode_group(blocks: list[bytes], lengths: np.ndarray, prior: np.ndarray) -
             above, beyond, named, small = np.empty((4, m), bool)
             hit, order = np.empty((2, m), bool), np.empty(m, np.uint8)
         np.bitwise_and(one, _SLOT, out=a)
-        np.add(slots[0], a, out=place[0])
+        np.multiply(a, blocks, out=place[0])
         np.multiply(two_back, _SECOND, out=a)
         np.multiply(one, _FIRST, out=b)
         np.add(a, b, out=a)
         np.right_shift(a, _SHIFT, out=a)
-        np.add(slots[1], a, out=place[1])
+        np.multiply(a, blocks, out=place[1])
+        np.add(place, slots, out=place)
         tables.take(place, out=entries, mode="clip")
         np.right_shift(entries, _TWO, out=predicted)
         np.bitwise_and(entries, _THREE, out=sure)
         # which order
         np.left_shift(sure[1], _TWO, out=a)
         np.add(a, sure[0], out=a)
-        np.add(lane_weights, a, out=at)
+        np.multiply(a, blocks, out=at)
+        np.add(at, lane, out=at)
         weights.take(at, out=x, mode="clip")
-        np.bitwise_and(x, _HALF, out=lower)
-        np.right_shift(x, _SIXTEEN, out=upper)
+        np.bitwise_and(x, _HALF, out=y)
+        np.right_shift(x, _SIXTEEN, out=x)
         np.right_shift(r, _WEIGHT, out=part)
         np.floor_divide(code, part, out=value)
-        np.greater_equal(value, lower, out=above)
-        np.greater_equal(value, upper, out=beyond)
+        np.greater_equal(value, y, out=above)
+        np.greater_equal(value, x, out=beyond)
         np.add(above.view(np.uint8), beyond.view(np.uint8), out=order)
         k = t - model.opened
         np.left_shift(a, _TWO, out=a)
-        np.add(a, order, out=model.orders[k, :m], casting="unsafe")
-        np.multiply(order, lanes, out=at)
+        np.add(a, order, out=a)
+        np.copyto(model.orders[k, :m], a, casting="unsafe")
+        np.multiply(a, blocks, out=at)
         np.add(at, lane, out=at)
-        flat_edges.take(at, out=x, mode="clip")
-        np.add(at, lanes, out=at)
-        flat_edges.take(at, out=y, mode="clip")
-        np.subtract(y, x, out=y)
+        parts.take(at, out=y, mode="clip")
+        np.bitwise_and(y, _HALF, out=x)
         np.multiply(x, part, out=x)
         np.subtract(code, x, out=code)
+        np.right_shift(y, _SIXTEEN, out=y)
         np.multiply(y, part, out=r)
         # which class, HIT where a prediction holds
         np.right_shift(r, _CLASS, out=part)
         np.floor_divide(code, part, out=value)
         np.minimum(value, _LAST, out=value)
-        np.add(value.view(np.int64), lane_parts, out=at)
+        np.multiply(value.view(np.int64), blocks, out=at)
+        np.add(at, lane, out=at)
         kind = model.seen[k, :m]
         lookup.take(at, out=kind, mode="clip")
         np.less(order, two, out=named)
         np.multiply(named.view(np.uint8), hit_class, out=order)
         np.bitwise_or(kind, order, out=kind)
-        np.add(lane_classes, kind, out=at)
+        np.multiply(kind, blocks, out=at)
+        np.add(at, lane, out=at)
         classes.take(at, out=y, mode="clip")
         np.bitwise_and(y, _HALF, out=x)
         np.multiply(x, part, out=x)
@@ -538,7 +545,7 @@ def read_files(manifest: DataFrame, uri: str) -> DataFrame:
     if not sizes:
         return spark.createDataFrame([], schema)
     ends = np.cumsum([n for _, n in sizes]).tolist()
-    bases = spark.createDataFrame([(part, end - n) for (part, n), end in zip(sizes, ends)], "part int, below long")
+    bases = workspace.local_table(spark, {"part": pa.array([part for part, _ in sizes], pa.int32()), "below": pa.array([end - n for (_, n), end in zip(sizes, ends)], pa.int64())})
     ahead = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.join(F.broadcast(bases), "part").withColumn("base", F.col("below") + F.coalesce(F.sum("ids").over(ahead), F.lit(0)))
     tasks = workspace.task_count(spark)

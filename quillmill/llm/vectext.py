@@ -130,7 +130,8 @@ class SliceHasher:
         _POWERS.grow(len(points) + 1)
         value = _char_table(lower_ascii)[points]
         value *= _POWERS.up[: len(points)]
-        self.sums = np.zeros(len(points) + 1, np.uint64)
+        self.sums = np.empty(len(points) + 1, np.uint64)
+        self.sums[0] = 0
         np.cumsum(value, out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -157,9 +158,15 @@ class SliceTable:
         """Rows of ``hashes``, -1 where there is none."""
         mask = np.int64((1 << self.bits) - 1)
         slot = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
-        got = self.keys[slot]
-        out = np.where(got == hashes, self.vals[slot], np.int32(-1))
-        left = np.flatnonzero((got != hashes) & (got != 0))
+        got = self.keys.take(slot)
+        same = got == hashes
+        hits = np.flatnonzero(same)
+        if 2 * len(hits) < len(hashes):
+            out = np.full(len(hashes), -1, np.int32)
+            out[hits] = self.vals.take(slot.take(hits))
+        else:
+            out = np.where(same, self.vals.take(slot), np.int32(-1))
+        left = np.flatnonzero(~same & (got != 0))
         slot = slot[left]
         while len(left):
             slot = (slot + 1) & mask

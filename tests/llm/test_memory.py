@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark import SparkContext
 
-from quillmill.llm import bpe, packing, quality, queries, workspace
+from quillmill.llm import bpe, packing, quality, queries, rangecoder, workspace
 
 
 def test_other_work_drops_the_encoders(spark, odd):
@@ -44,3 +44,24 @@ def test_small_tables_start_no_pool_of_their_own(spark, odd, none, monkeypatch):
     assert packing.pack(odd, queries.BYTE_BPE).count() >= odd.count()
     assert packing.pack(none, queries.BYTE_BPE).count() == 0
     assert quality.train(odd, labels).good is not None
+
+
+def test_id_files_start_no_pool_of_their_own(spark, odd, tmp_path, monkeypatch):
+    odd = odd.localCheckpoint()
+
+    def no_rdd(*args, **kwargs):
+        raise AssertionError("rows of the driver went through an RDD")
+
+    monkeypatch.setattr(SparkContext, "parallelize", no_rdd)
+    manifest = rangecoder.write_files(odd, queries.BYTE_BPE, f"file://{tmp_path}/a")
+    assert rangecoder.read_files(manifest, f"file://{tmp_path}/a").count() == odd.count()
+
+
+def test_new_slices_copy_no_old_ones():
+    e = bpe.Encoder(bpe.encoder(queries.BYTE_BPE).vocabulary)
+    e.encode([" ".join(map(str, range(5000)))])
+    spans, pool, rows = e.spans, e.pool, e.table.rows
+    want = [x.tolist() for x in e.encode(["some 4999 others", "", "4999"])]
+    assert e.table.rows == rows + 3 and e.spans is spans and e.pool is pool
+    e.encode([" ".join(map(str, range(5000, 60_000)))])
+    assert len(e.spans) >= e.table.rows and [x.tolist() for x in e.encode(["some 4999 others", "", "4999"])] == want
