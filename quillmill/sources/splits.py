@@ -10,10 +10,14 @@ a file's splits are composed in order (a few bytes a split), and then every spli
   byte may look like a letter. The functions of single bytes are composed by halving. Which pairs are one character is asked of the decoder.
 
 A malformed byte is a character of its own here as it is to the decoder, so the pieces give the text of the whole file.
+
+A file of a partition's size at most needs none of that: its splits follow each other in one task, which hands the number on. Its lines are cut there too.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillmill import session
 from quillmill.sources import files, reader
 
 DOUBLE_BYTE = "x-mswin-936"
@@ -84,6 +89,17 @@ def _double_carries(data: bytes, size: int, pairs: np.ndarray) -> list[int]:
     return [int(first[0]), int(second[0])] if size else [0, 1]
 
 
+def carried(data: bytes, size: int, skip: int, charset: str, pairs: np.ndarray | None = None) -> int:
+    """``carries`` for one number."""
+    if skip > size:
+        return skip - size
+    if charset == "UTF-8":
+        return _utf8_carry(data, size, skip)
+    if charset.startswith("UTF-16"):
+        return _utf16_carry(data, size, skip, 0 if charset == "UTF-16BE" else 1)
+    return carries(data, size, charset, pairs)[skip]
+
+
 def carries(data: bytes, size: int, charset: str, pairs: np.ndarray | None = None) -> list[int]:
     """For 0 to 3 first bytes that belong to the character before: how many bytes of the next split belong to this one's last character. ``data``: a
     split of ``size`` bytes with the first few of the next one."""
@@ -113,17 +129,26 @@ def double_byte_pairs(spark: SparkSession) -> np.ndarray:
     return np.unpackbits(np.frombuffer(_pairs_of(spark.sparkContext.applicationId), np.uint8)).astype(bool)
 
 
-def text_pieces(spark: SparkSession, paths: str | list[str], split_bytes: int, pattern: str | None = None, partition_bytes: int = reader.PARTITION_BYTES) -> DataFrame:
-    """path, split, encoding, charset, text and error of every split; the texts of a file's splits in order are its text.
+def _split_rows(spark: SparkSession, paths: str | list[str], split_bytes: int, pattern: str | None, partition_bytes: int, whole: bool | None) -> DataFrame:
+    files.legacy_charsets(spark)
+    name = files.name_like(pattern) if pattern else None
+    rows = reader.read_files(spark, paths, name, split_bytes=split_bytes, partition_bytes=partition_bytes, whole=whole)
+    label = files.detect_encoding(F.col("head"))
+    return rows.withColumns({"encoding": label, "charset": files.charset_of(label), "size": F.octet_length("content") - F.col("ahead")})
+
+
+def _decoded(content: Column) -> Column:
+    text = files.decode_part(content, F.col("encoding"))
+    return F.when(F.col("split") == 0, F.regexp_replace(text, "\\A\\x{FEFF}", "")).otherwise(text)
+
+
+def text_pieces(spark: SparkSession, paths: str | list[str], split_bytes: int, pattern: str | None = None, partition_bytes: int = reader.PARTITION_BYTES, whole: bool | None = None) -> DataFrame:
+    """path, split, encoding, charset, text and error of every split; the texts of a file's splits in order are its text. ``whole``: as in ``reader.read_files``.
 
     A file with a fault has an error where the fault is and null there; its other splits are read. Files of no bytes have one empty text. The files are read twice, first for
     the functions, of which there are four numbers a split; those are put in order by file and joined to the second reading.
     """
-    files.legacy_charsets(spark)
-    name = files.name_like(pattern) if pattern else None
-    rows = reader.read_files(spark, paths, name, split_bytes=split_bytes, partition_bytes=partition_bytes)
-    label = files.detect_encoding(F.col("head"))
-    rows = rows.withColumns({"encoding": label, "charset": files.charset_of(label), "size": F.octet_length("content") - F.col("ahead")})
+    rows = _split_rows(spark, paths, split_bytes, pattern, partition_bytes, whole)
     pairs = double_byte_pairs(spark)
 
     @F.arrow_udf("array<int>")
@@ -136,14 +161,73 @@ def text_pieces(spark: SparkSession, paths: str | list[str], split_bytes: int, p
     # a split that cannot be read leaves the next one between characters
     go_on = lambda s, x: F.struct((F.coalesce(F.element_at(x["f"], s["k"] + 1), F.lit(0))).alias("k"), F.array_append(s["o"], s["k"]).alias("o"))
     start = F.struct(F.lit(0).alias("k"), F.array().cast("array<int>").alias("o"))
-    placed = in_order.select("path", F.posexplode(F.aggregate("all", start, go_on, lambda s: F.array_append(s["o"], s["k"]))).alias("split", "skip"))
-    after = placed.select("path", (F.col("split") - 1).alias("split"), F.col("skip").alias("over"))
-    met = rows.join(placed, ["path", "split"]).join(after, ["path", "split"])
-    text = files.decode_part(F.substring(F.col("content"), F.col("skip") + 1, F.col("size") - F.col("skip") + F.col("over")), F.col("encoding"))
-    text = F.when(F.col("split") == 0, F.regexp_replace(text, "\\A\\x{FEFF}", "")).otherwise(text)
+    carried = in_order.select("path", F.aggregate("all", start, go_on, lambda s: F.array_append(s["o"], s["k"])).alias("o"))
+    both = F.arrays_zip(F.slice("o", 1, F.size("o") - 1).alias("skip"), F.slice("o", 2, F.size("o") - 1).alias("over"))
+    placed = carried.select("path", F.posexplode(both).alias("split", "at")).select("path", "split", "at.skip", "at.over")
+    met = rows.join(placed, ["path", "split"])
+    text = _decoded(F.substring(F.col("content"), F.col("skip") + 1, F.col("size") - F.col("skip") + F.col("over")))
     return met.select("path", "split", "encoding", "charset", text.alias("text"), "error")
 
 
+def _whole_lines(spark: SparkSession, paths: str | list[str], split_bytes: int, pattern: str | None, partition_bytes: int) -> DataFrame:
+    """path, line_no and line of the files of ``partition_bytes`` at most."""
+    rows = _split_rows(spark, paths, split_bytes, pattern, partition_bytes, True)
+    pairs = double_byte_pairs(spark)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        skip, encoding, charset = 0, None, None
+        for b in batches:
+            held = []
+            for split, content, size, label, name in zip(*(b.column(c).to_pylist() for c in ("split", "content", "size", "encoding", "charset"))):
+                if split == 0:
+                    skip, encoding, charset = 0, None, None
+                encoding, charset = label or encoding, name or charset
+                if content is None:
+                    over, body = 0, None
+                else:
+                    over = 0 if size == len(content) else carried(content, size, skip, charset, pairs)
+                    body = content[skip : size + over]
+                held.append((body, encoding))
+                skip = over
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("split"), pa.array([x for x, _ in held], pa.binary()), pa.array([x for _, x in held], pa.string())], ["path", "split", "content", "encoding"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, n, rest, cr = None, 1, [], False
+        broken = re.compile("\r\n|\r|\n")
+        for b in batches:
+            found, numbers, lines = [], [], []
+
+            def put(line: str) -> None:
+                nonlocal n
+                found.append(path)
+                numbers.append(n)
+                lines.append(line)
+                n += 1
+
+            for p, split, text in zip(*(b.column(c).to_pylist() for c in ("path", "split", "text"))):
+                if split == 0:
+                    if last := "".join(rest):
+                        put(last)
+                    path, n, rest, cr = p, 1, [], False
+                # CR LF over the end of a split is one break
+                body = text[1:] if text and cr and text[0] == "\n" else text
+                if text:
+                    cr = text.endswith("\r")
+                if body:
+                    first, *more = broken.split(body)
+                    rest.append(first)
+                    for x in more:
+                        put("".join(rest))
+                        rest = [x]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(numbers, pa.int64()), pa.array(lines, pa.string())], ["path", "line_no", "line"])
+        if last := "".join(rest):
+            yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([n], pa.int64()), pa.array([last], pa.string())], ["path", "line_no", "line"])
+
+    settled = rows.mapInArrow(settle, "path string, split int, content binary, encoding string")
+    texts = settled.select("path", "split", _decoded(F.col("content")).alias("text"))
+    return texts.mapInArrow(cut, "path string, line_no long, line string")
+
+
 def lines_of_pieces(pieces: DataFrame, path: str = "path", split: str = "split", text: str = "text") -> DataFrame:
     """path, line_no (from 1) and line of texts in pieces: broken at CR LF, LF and CR, no line after a final break. A null text is an empty one.
 
@@ -177,5 +261,11 @@ def assembled(rows: DataFrame, key: str, drop_empty_rest: bool) -> DataFrame:
 
 
 def file_lines(spark: SparkSession, paths: str | list[str], split_bytes: int, pattern: str | None = None, partition_bytes: int = reader.PARTITION_BYTES) -> DataFrame:
-    """path, line_no and line of files of any length, of which no task holds more than a split and a line."""
-    return lines_of_pieces(text_pieces(spark, paths, split_bytes, pattern, partition_bytes))
+    """path, line_no and line of files of any length, of which no task holds more than a split and a line. Files of ``partition_bytes`` at most are read once, without a
+    shuffle; the texts of longer ones are a table, from which lines are put together."""
+    short = _whole_lines(spark, paths, split_bytes, pattern, partition_bytes)
+    name = files.name_like(pattern) if pattern else None
+    if reader.read_files(spark, paths, name, split_bytes=split_bytes, partition_bytes=partition_bytes, whole=False).select("path").head() is None:
+        return short
+    long = session.staged(text_pieces(spark, paths, split_bytes, pattern, partition_bytes, whole=False).select("path", "split", "text"), "pieces")
+    return short.union(lines_of_pieces(long))

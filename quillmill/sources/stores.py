@@ -7,15 +7,19 @@ with the schemes that are.
 from __future__ import annotations
 
 import os
+import re
 import stat as modes
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from typing import BinaryIO
 
 from pyarrow import fs
 
 #: Hadoop's names of stores that Arrow knows under another one (fixed values).
 SAME_STORE = {"s3a": "s3", "s3n": "s3", "gs": "gs", "s3": "s3", "hdfs": "hdfs", "viewfs": "viewfs", "abfs": "abfs", "abfss": "abfss"}
+#: Names of a folder that are held and sorted at a time.
+SORTED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -60,17 +64,21 @@ def check(uri: str) -> None:
         raise ValueError(f"no store opens {scheme}: ({', '.join(['file', *SAME_STORE])} are known)")
 
 
-def children(uri: str) -> Iterator[Found]:
-    """The files right in a folder; the file itself if it is one; itself without a length if there is nothing."""
+def children(uri: str, wanted: re.Pattern | None = None, lengths: bool = True) -> Iterator[Found]:
+    """The files right in a folder; the file itself if it is one; itself without a length if there is nothing. ``wanted``: of files in a folder of the machines,
+    only those whose names match; without ``lengths`` those are not looked at. Such a folder streams by, in the order of names within every SORTED."""
     path = local_path(uri)
     if path is not None:
         if not os.path.isdir(path):
             yield Found(local_uri(path), _length(path))
             return
-        with os.scandir(path) as entries:
-            for name in sorted(e.name for e in entries if not os.path.isdir(e.path)):
-                inner = os.path.join(path, name)
-                yield Found(local_uri(inner), _length(inner))
+        folder = os.path.abspath(path)
+        with os.scandir(folder) as entries:
+            names = (e.name for e in entries if (wanted is None or wanted.match(e.name)) and not _is_folder(e))
+            while held := sorted(islice(names, SORTED)):
+                for name in held:
+                    inner = os.path.join(folder, name)
+                    yield Found(f"file:{inner}", _length(inner) if lengths else None)
         return
     store, inner = remote(uri)
     info = store.get_file_info(inner)
@@ -83,6 +91,18 @@ def children(uri: str) -> Iterator[Found]:
         yield Found(uri, info.size if info.type == fs.FileType.File else None)
 
 
+def _is_folder(entry: os.DirEntry) -> bool:
+    try:
+        return entry.is_dir()
+    except OSError:
+        return False
+
+
+def file_length(uri: str) -> int | None:
+    """The length of a file of the machines, None if it cannot be told."""
+    return _length(local_path(uri))
+
+
 def _length(path: str) -> int | None:
     try:
         found = os.stat(path)

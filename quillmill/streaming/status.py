@@ -32,7 +32,7 @@ def read_requests(requests: DataFrame, longest: int = reader.LONGEST) -> DataFra
                 one = reader.FilesReader({"paths": "1", "path0": path, "longest": str(longest)})
                 for work in one.partitions():
                     for found in one.read(work):
-                        yield pa.RecordBatch.from_arrays([pa.array([path], pa.string()), found.column("content"), found.column("error")], ["path", "content", "error"])
+                        yield pa.RecordBatch.from_arrays([pa.array([path] * found.num_rows, pa.string()), found.column("content"), found.column("error")], ["path", "content", "error"])
 
     found = requests.select("path").where(F.col("path").isNotNull()).mapInArrow(run, "path string, content binary, error string")
     labelled = found.withColumn("encoding", files.detect_encoding(F.col("content")))

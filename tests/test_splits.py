@@ -89,6 +89,35 @@ def test_splits_give_the_whole_file(spark, tmp_path, size):
     assert joined == texts
 
 
+@pytest.mark.parametrize("size", [7, 64])
+def test_lines_of_files_longer_than_a_partition(spark, tmp_path, size):
+    given = dict(list(raw_files().items())[::2])
+    for name, data in given.items():
+        (tmp_path / name).write_bytes(data)
+    whole = files.scan_files(spark, str(tmp_path)).select("path", F.posexplode(lines.to_lines(F.col("text"))).alias("k", "line"))
+    got = splits.file_lines(spark, str(tmp_path), size, partition_bytes=100)
+    assert sorted(map(tuple, got.collect())) == sorted((r["path"], r["k"] + 1, r["line"]) for r in whole.collect())
+    assert 0 < sum(len(d) > 100 for d in given.values()) < len(given)
+
+
+def test_lines_of_short_files_need_no_shuffle(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"f{k}").write_bytes(b"a\r\nb" * 50)
+    plan = splits.file_lines(spark, str(tmp_path), 16)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("BatchScan") == 1
+
+
+def test_listing_of_many_files_is_small(monkeypatch):
+    n = 300_000
+    monkeypatch.setattr(stores, "children", lambda *a, **k: (stores.Found(f"file:/folder/{i}.txt", 3000 + i % 7) for i in range(n)))
+    works = reader.FilesReader({"paths": "1", "path0": "/folder", "split_bytes": "1000"}).partitions()
+    assert len(works) <= reader.MOST and sum(len(g) for w in works for g in w.packed) < 20 * n
+    assert sum(k for w in works for *_, k in w.items()) == sum(-(-(3000 + i % 7) // 1000) for i in range(n))
+    # what is in a partition stays bounded in bytes
+    monkeypatch.setattr(stores, "children", lambda *a, **k: (stores.Found(f"file:/folder/{i}", 1 << 26) for i in range(10_000)))
+    assert len(reader.FilesReader({"paths": "1", "path0": "/folder"}).partitions()) == 5000
+
+
 # --- lines over many partitions ---------------------------------------------------------------------------------------
 
 
