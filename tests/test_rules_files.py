@@ -139,6 +139,18 @@ def test_join(spark, tmp_path, given, count, want):
     assert {r["path"].rsplit("/", 1)[-1] for r in files.list_files(spark, str(tmp_path), "*.TXT").collect()} == {n for n in given if n.lower().endswith(".txt")} | {"out.txt"}
 
 
+def test_listing_is_not_the_drivers(spark, tmp_path):
+    folder = tmp_path / "x[1]"
+    (folder / "in.txt").mkdir(parents=True)
+    for name in ("a.txt", "B.TXT", "_c.txt", "d.bin", "e.txt"):
+        (folder / name).write_bytes(b"x" * (name != "e.txt"))
+    found = files.list_files(spark, str(folder), "*.txt")
+    assert sorted((r["path"], r["length"]) for r in found.collect()) == [(f"file:{folder}/{n}", k) for n, k in (("B.TXT", 1), ("_c.txt", 1), ("a.txt", 1), ("e.txt", 0))]
+    assert "FileScan" not in found._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(FileNotFoundError):
+        files.list_files(spark, str(tmp_path / "gone"))
+
+
 def test_join_pieces_of_repeated_and_null_names(spark):
     rows = [("g", "b", "2", "k"), ("g", "b", "2", "k"), ("g", None, "0", "k"), ("g", None, None, "k"), (None, "x", "3", "k"), ("g", "A", "1", "k")] + [("big", f"f{k:04}", str(k), "k") for k in range(300)]
     df = spark.createDataFrame(rows, "g string, n string, text string, k string")
