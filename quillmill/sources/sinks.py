@@ -29,25 +29,28 @@ def preview(lines: Column, newline: str = "\n") -> Column:
     return F.array_join(lines, newline)
 
 
-def write_files(df: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def write_files(df: DataFrame, path: str = "path", content: str = "content", error: str | None = None) -> DataFrame:
     """Write each row's bytes to its path in a store that the executors share, over what is there. Returns path, bytes and error (null if
-    all went well): a row that fails does not stop the others. Null bytes are none. A null path is an error."""
+    all went well): a row that fails does not stop the others. Null bytes are none. A null path is an error. Rows whose column ``error`` holds one are not written and keep it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = str(TaskContext.get().taskAttemptId())
         for b in batches:
             sizes, errors = [], []
-            for p, data in zip(b.column("p").to_pylist(), b.column("c").to_pylist()):
-                try:
-                    stores.replace_file(p, data or b"", attempt)
-                    sizes.append(len(data or b""))
-                    errors.append(None)
-                except Exception as e:  # noqa: BLE001 - reported by row
-                    sizes.append(0)
-                    errors.append(f"{type(e).__name__}: {e}")
+            for p, data, fault in zip(*(b.column(c).to_pylist() for c in ("p", "c", "e"))):
+                size = 0
+                if fault is None:
+                    try:
+                        stores.replace_file(p, data or b"", attempt)
+                        size = len(data or b"")
+                    except Exception as e:  # noqa: BLE001 - reported by row
+                        fault = f"{type(e).__name__}: {e}"
+                sizes.append(size)
+                errors.append(fault)
             yield pa.RecordBatch.from_arrays([b.column("p"), pa.array(sizes, pa.int64()), pa.array(errors, pa.string())], ["path", "bytes", "error"])
 
-    return df.select(F.col(path).alias("p"), F.col(content).cast("binary").alias("c")).mapInArrow(run, "path string, bytes long, error string")
+    fault = (F.col(error) if error else F.lit(None)).cast("string")
+    return df.select(F.col(path).alias("p"), F.col(content).cast("binary").alias("c"), fault.alias("e")).mapInArrow(run, "path string, bytes long, error string")
 
 
 def with_bom(text: Column) -> Column:
@@ -56,7 +59,7 @@ def with_bom(text: Column) -> Column:
 
 
 def write_texts(df: DataFrame, path: str = "output_path", text: str = "text", error: str = "error") -> DataFrame:
-    """``write_files`` for texts, as UTF-8 with a byte-order mark. If ``df`` has the column ``error``, rows with one are not written and keep it."""
-    rows = df.select(F.col(path).alias("path"), with_bom(F.col(text)).alias("content"), (F.col(error) if error in df.columns else F.lit(None)).cast("string").alias("error"))
-    written = write_files(rows.where("error IS NULL"))
-    return written.union(rows.where("error IS NOT NULL").select("path", F.lit(0).cast("long"), "error")) if error in df.columns else written
+    """``write_files`` for texts, as UTF-8 with a byte-order mark. If ``df`` has the column ``error``, rows with one are not written and keep it. The rows are made once."""
+    kept = error if error in df.columns else None
+    content = F.when(F.col(kept).isNull(), with_bom(F.col(text))) if kept else with_bom(F.col(text))
+    return write_files(df.select(F.col(path).alias("path"), content.alias("content"), *([F.col(kept).alias("error")] if kept else [])), error="error" if kept else None)

@@ -151,6 +151,14 @@ def test_listing_is_not_the_drivers(spark, tmp_path):
         files.list_files(spark, str(tmp_path / "gone"))
 
 
+@pytest.mark.parametrize("write", [pipeline.process_files, lambda *a: pipeline.replace_files(*a, (rules.Rule("a", "b"),))])
+def test_files_are_read_once_to_be_written(spark, tmp_path, write):
+    (tmp_path / "a.txt").write_bytes(b"a")
+    report = sinks.write_texts(write(spark, [str(tmp_path / "a.txt"), str(tmp_path / "gone.txt")]))
+    assert report._jdf.queryExecution().executedPlan().toString().count("BatchScan") == 1
+    assert sorted((r["path"].rsplit("/", 1)[-1], r["bytes"], r["error"] is None) for r in report.collect()) == [("a_Processed.txt", 4 if write is not pipeline.process_files else 6, True), ("gone_Processed.txt", 0, False)]
+
+
 def test_join_pieces_of_repeated_and_null_names(spark):
     rows = [("g", "b", "2", "k"), ("g", "b", "2", "k"), ("g", None, "0", "k"), ("g", None, None, "k"), (None, "x", "3", "k"), ("g", "A", "1", "k")] + [("big", f"f{k:04}", str(k), "k") for k in range(300)]
     df = spark.createDataFrame(rows, "g string, n string, text string, k string")
