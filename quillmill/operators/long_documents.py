@@ -8,29 +8,34 @@ holds. Each of the operators decides after which lines a break stays. What it ne
   block is a step function, with one step for each line that may be the first flush.
 - regrouping: whether the last character that is no white space asks for more. A block sets that or keeps it.
 
-Lines are sorted in ranges and packed into blocks, once, as a table. A scan over the functions of a document's blocks (small rows) gives each block its number
-and how many lines come out before it. The blocks then make their lines apart from each other; only the first and the last of a block
-can have parts elsewhere and are put together.
+A task packs lines of a document that come to it in the order of their numbers into blocks, and the blocks become a table, once; no line is sorted or shuffled
+for that. A document of one block needs nothing else. Of the others, the blocks are put in order by their first numbers, and a scan over their functions (small
+rows) gives each block its number and how many lines come out before it. The blocks then make their lines apart from each other; only the first
+and the last of a block can have parts elsewhere and are put together. Documents whose blocks overlap, since their lines are dealt out at random or numbers repeat, are
+taken apart again, sorted by line in ranges and packed anew.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegralType
 
 from quillmill import session
 from quillmill.functions import charsets
 from quillmill.operators.lines import Width
 from quillmill.sources.splits import assembled
 
-#: Lines and characters of a block.
-BLOCK_LINES, BLOCK_CHARS = 1 << 16, 1 << 22
+#: Lines and bytes of a block.
+BLOCK_LINES, BLOCK_BYTES = 1 << 16, 1 << 22
 
 
 class Merge:
@@ -113,70 +118,200 @@ class Regroup:
         return np.flatnonzero(self._states(values, state) == 0)
 
 
-def _regrouped(df: DataFrame, operator: Merge | Regroup, value: Column, document: str, number: str, line: str) -> DataFrame:
-    spark, kind = df.sparkSession, df.schema[document].dataType
-    key_type = to_arrow_type(kind)
-    rows = df.select(F.col(document).alias("document"), F.col(number).alias("number"), F.coalesce(F.col(line), F.lit("")).alias("line"), value.alias("value"))
-    ranged = rows.repartitionByRange("document", "number").sortWithinPartitions("document", "number", "line")
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as they need."""
+    most = max(int(values.max()), -1 - int(values.min())) if len(values) else 0
+    size = 1 if most < 1 << 7 else 2 if most < 1 << 15 else 4 if most < 1 << 31 else 8
+    return bytes([size]) + values.astype(f"<i{size}").tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, block, key, held, values, size = TaskContext.get().partitionId(), 0, None, [], [], 0
-        names = ["document", "part", "block", "lines", "values", "summary"]
 
-        def close() -> pa.RecordBatch:
-            columns = [[key], [part], [block], [held], [values], [operator.summary(np.array(values, np.int64))]]
-            types = [key_type, pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+def _codes(column: pa.Array) -> np.ndarray:
+    """A number for each value; null is one."""
+    try:
+        return column.dictionary_encode(null_encoding="encode").indices.to_numpy()
+    except (pa.ArrowNotImplementedError, pa.ArrowInvalid, pa.ArrowTypeError):
+        values = column.to_pylist()
+        return np.array(list(accumulate([0, *(int(x != y) for x, y in zip(values, values[1:]))])) if values else [], np.int64)
 
+
+def _offsets(lines: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
+    _, offsets, data = lines.buffers()
+    return np.frombuffer(offsets, np.int32)[lines.offset : lines.offset + len(lines) + 1], data or pa.py_buffer(b"")
+
+
+def _regrouped(df: DataFrame, operator: Merge | Regroup, value: Column, document: str, number: str, line: str) -> DataFrame:
+    kind, number_kind = df.schema[document].dataType, df.schema[number].dataType
+    key_type, number_type = to_arrow_type(kind), to_arrow_type(number_kind)
+    counted = isinstance(number_kind, IntegralType)
+    rows = df.select(F.col(document).alias("document"), F.col(number).alias("number"), F.coalesce(F.col(line), F.lit("")).alias("line"), value.alias("value"))
+    name, number_name = kind.simpleString(), number_kind.simpleString()
+    row_schema = f"document {name}, number {number_name}, line string, value long"
+    schema = f"document {name}, part int, block int, first {number_name}, last {number_name}, text binary, sizes binary, values binary, numbers array<{number_name}>"
+
+    def pack(batches: Iterator[pa.RecordBatch], in_order: bool = False) -> Iterator[pa.RecordBatch]:
+        """``in_order``: all lines come as they are to go, whatever their numbers."""
+        part, block = TaskContext.get().partitionId(), 0
+
+        def starts_of(table: pa.Table) -> tuple[pa.Table, list[int]]:
+            codes = _codes(table.column("document").combine_chunks())
+            new = np.append(True, codes[1:] != codes[:-1])
+            if not in_order:
+                later = lambda t: pc.greater(t[1:], t[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+                numbers = table.column("number").combine_chunks()
+                new[1:] |= ~later(numbers)
+                if new.sum() > len(np.unique(codes)):
+                    order = pc.sort_indices(pa.table({"d": codes, "n": numbers}), sort_keys=[("d", "ascending"), ("n", "ascending")])
+                    table, codes = table.take(order).combine_chunks(), codes[order.to_numpy()]
+                    new = np.append(True, codes[1:] != codes[:-1])
+                    new[1:] |= ~later(table.column("number").combine_chunks())
+            return table, np.flatnonzero(new).tolist()
+
+        def close(held: list[pa.RecordBatch], rest: bool) -> tuple[pa.RecordBatch, list[pa.RecordBatch]]:
+            """The blocks of the lines held, and the lines of the last one if it may go on."""
+            nonlocal block
+            table, starts = starts_of(pa.Table.from_batches(held).combine_chunks())
+            lines, numbers = (table.column(c).combine_chunks() for c in ("line", "number"))
+            offsets, data = _offsets(lines)
+            cuts = []
+            for i, j in zip(starts, [*starts[1:], len(table)]):
+                while i < j:
+                    cuts.append(i)
+                    i = j if j - i <= BLOCK_LINES and offsets[j] - offsets[i] <= BLOCK_BYTES else min(j, i + BLOCK_LINES, max(i + 1, int(np.searchsorted(offsets, int(offsets[i]) + BLOCK_BYTES, "right")) - 1))
+            ends = [*cuts[1:], len(table)]
+            kept = table.slice(cuts[-1]).to_batches() if not rest and len(cuts) > 1 else []
+            if kept:
+                cuts.pop(), ends.pop()
+            values, sizes, first, last = table.column("value").to_numpy(), np.diff(offsets), numbers.take(pa.array(cuts)), numbers.take(pa.array([e - 1 for e in ends]))
+            gapless = [False] * len(cuts)
+            if counted:
+                gapless = [x is not None and y - x + 1 == j - i for x, y, i, j in zip(first.to_pylist(), last.to_pylist(), cuts, ends)]
+            columns = [
+                table.column("document").combine_chunks().take(pa.array(cuts)), pa.array([part] * len(cuts), pa.int32()), pa.array(range(block, block + len(cuts)), pa.int32()), first, last,
+                pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets[[*cuts, ends[-1]]].copy()), data]),
+                pa.array([_packed(sizes[i:j]) for i, j in zip(cuts, ends)], pa.binary()), pa.array([_packed(values[i:j]) for i, j in zip(cuts, ends)], pa.binary()),
+                pa.array([None if g or in_order else numbers.slice(i, j - i).to_pylist() for g, i, j in zip(gapless, cuts, ends)], pa.list_(number_type)),
+            ]
+            block += len(cuts)
+            return pa.RecordBatch.from_arrays(columns, ["document", "part", "block", "first", "last", "text", "sizes", "values", "numbers"]), kept
+
+        held = []
         for b in batches:
-            for k, text, v in zip(*(b.column(c).to_pylist() for c in ("document", "line", "value"))):
-                if held and (k != key or len(held) >= BLOCK_LINES or size >= BLOCK_CHARS):
-                    yield close()
-                    block, held, values, size = block + 1, [], [], 0
-                key = k
-                held.append(text)
-                values.append(v)
-                size += len(text)
+            if b.num_rows:
+                held.append(b.cast(pa.schema([("document", key_type), ("number", number_type), ("line", pa.string()), ("value", pa.int64())])))
+            if sum(x.num_rows for x in held) >= BLOCK_LINES or sum(x.column("line").nbytes for x in held) >= BLOCK_BYTES:
+                done, held = close(held, False)
+                yield done
         if held:
-            yield close()
+            yield close(held, True)[0]
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                sizes, values = _unpacked(r["sizes"]), _unpacked(r["values"])
+                n = len(sizes)
+                numbers = pa.array(r["numbers"], number_type) if r["numbers"] is not None else pa.array(range(r["first"], r["first"] + n), number_type)
+                lines = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(r["text"])])
+                yield pa.RecordBatch.from_arrays([pa.array([r["document"]] * n, key_type), numbers, lines, pa.array(values)], ["document", "number", "line", "value"])
+
+    def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [operator.summary(_unpacked(v)) for v in b.column("values").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("document", "part", "block", "seq", "final")), pa.array(found, pa.list_(pa.int64()))], ["document", "part", "block", "seq", "final", "summary"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, some, state, base = None, False, 0, 0
+        state, base = 0, 0
         for b in batches:
             states, bases = [], []
-            for k, summary in zip(b.column("document").to_pylist(), b.column("summary").to_pylist()):
-                if not some or k != key:
-                    key, some, state, base = k, True, 0, 0
+            for seq, summary in zip(b.column("seq").to_pylist(), b.column("summary").to_pylist()):
+                if seq == 0:
+                    state, base = 0, 0
                 states.append(state)
                 bases.append(base)
                 state, n = operator.carry(summary, state)
                 base += n
-            yield pa.RecordBatch.from_arrays([b.column("document"), b.column("part"), b.column("block"), pa.array(states, pa.int64()), pa.array(bases, pa.int64())], ["document", "part", "block", "state", "base"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "block", "seq", "final")), pa.array(states, pa.int64()), pa.array(bases, pa.int64())], ["part", "block", "seq", "final", "state", "base"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                held = r["lines"]
-                ends = (operator.breaks(np.array(r["values"], np.int64), r["state"]) + 1).tolist()
-                closed = len(ends)
-                if not ends or ends[-1] < len(held):
-                    ends.append(len(held))
-                begins, n = [0, *ends[:-1]], len(ends)
-                columns = [
-                    pa.array([r["document"]] * n, key_type), pa.array([r["part"]] * n, pa.int32()), pa.array([r["block"]] * n, pa.int32()),
-                    pa.array(np.arange(r["base"] + 1, r["base"] + n + 1)), pa.array(["".join(held[i:j]) for i, j in zip(begins, ends)], pa.string()),
-                    pa.array([k < closed for k in range(n)]), pa.array([k == 0 or k >= closed for k in range(n)]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["document", "part", "block", "line_no", "text", "closed", "edge"])
-
-    name = kind.simpleString()
-    blocks = session.staged(ranged.mapInArrow(pack, f"document {name}, part int, block int, lines array<string>, values array<long>, summary array<long>"), "line-blocks")
-    facts = blocks.select("document", "part", "block", "summary").repartition("document").sortWithinPartitions("document", "part", "block")
-    placed = facts.mapInArrow(scan, f"document {name}, part int, block int, state long, base long").select("part", "block", "state", "base")
-    # part and block alone name a block
-    met = blocks.drop("summary").join(placed, ["part", "block"])
-    parts = met.mapInArrow(cut, f"document {name}, part int, block int, line_no long, text string, closed boolean, edge boolean")
-    return assembled(parts, "document", operator.drop_empty_rest).select(F.col("document").alias(document), F.col("line_no").alias(number), F.col("line").alias(line))
+        for whole in batches:
+            at, _ = _offsets(whole.column("text"))
+            i = 0
+            while i < whole.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, int(at[i]) + BLOCK_BYTES)))
+                yield made(whole.slice(i, j - i))
+                i = j
+
+    def made(b: pa.RecordBatch) -> pa.RecordBatch:
+        """The lines of blocks: their bytes lie as they lay, only fewer offsets cut them."""
+        at, data = _offsets(b.column("text"))
+        columns = ("sizes", "values", "state", "base", "seq", "final")
+        offsets, counts, numbers, closes, edges, keep = [at[:1]], [], [], [], [], []
+        for start, sizes, values, state, base, seq, final in zip(at.tolist(), *(b.column(c).to_pylist() for c in columns)):
+            sizes = _unpacked(sizes)
+            ends = operator.breaks(_unpacked(values), state) + 1
+            closed = len(ends)
+            if not closed or ends[-1] < len(sizes):
+                ends = np.append(ends, len(sizes))
+            n = len(ends)
+            offsets.append((start + np.cumsum(sizes)[ends - 1]).astype(np.int32))
+            counts.append(n)
+            numbers.append(np.arange(base + 1, base + n + 1))
+            closes.append(np.arange(n) < closed)
+            # a line that begins or goes on in another block
+            edge = np.zeros(n, bool)
+            edge[0] = seq > 0
+            edge[closed:] |= not final
+            edges.append(edge)
+            stays = np.ones(n, bool)
+            if operator.drop_empty_rest and closed < n and not edge[-1]:
+                stays[-1] = int(offsets[-1][-1]) > (int(offsets[-1][-2]) if n > 1 else start)
+            keep.append(stays)
+        texts = pa.Array.from_buffers(pa.string(), sum(counts), [None, pa.py_buffer(np.concatenate(offsets)), data])
+        owner = np.repeat(np.arange(b.num_rows), counts)
+        document, seq = b.column("document").take(pa.array(owner)), b.column("seq").take(pa.array(owner))
+        out = [document, pa.array(np.zeros(len(owner), np.int32)), seq, pa.array(np.concatenate(numbers)), texts, pa.array(np.concatenate(closes)), pa.array(np.concatenate(edges))]
+        found = pa.RecordBatch.from_arrays(out, ["document", "part", "block", "line_no", "text", "closed", "edge"])
+        stays = np.concatenate(keep)
+        return found if stays.all() else found.filter(pa.array(stays))
+
+    def lined(blocks: DataFrame) -> DataFrame:
+        return blocks.select("document", "text", "sizes", "values", "state", "base", "seq", "final").mapInArrow(cut, f"document {name}, part int, block int, line_no long, text string, closed boolean, edge boolean")
+
+    def results(blocks: DataFrame, in_order: bool) -> DataFrame:
+        """The lines of the documents of ``blocks``."""
+        document = Window.partitionBy("document")
+        goes = [F.col("part"), F.col("block")] if in_order else [F.col("first").asc_nulls_first(), F.col("part"), F.col("block")]
+        placed = document.orderBy(*goes)
+        before = F.max("last").over(placed.rowsBetween(Window.unboundedPreceding, -1))
+        nth = F.row_number().over(placed)
+        overlaps = F.lit(False) if in_order else (nth > 1) & (F.col("first").isNull() | F.coalesce(F.col("first") <= before, F.lit(False)))
+        facts = blocks.select("document", "part", "block", "first", "last").withColumns({"n": F.count(F.lit(1)).over(document), "seq": (nth - 1).cast("int"), "overlaps": overlaps}).where("n > 1")
+        facts = facts.withColumns({"final": F.col("seq") == F.col("n") - 1, "tangled": F.max("overlaps").over(document)})
+        several = session.staged(facts.select("part", "block", "seq", "final", "tangled"), "line-blocks-placed")
+        lone = {"state": F.lit(0).cast("long"), "base": F.lit(0).cast("long"), "seq": F.lit(0), "final": F.lit(True)}
+        if several.head() is None:
+            return lined(blocks.withColumns(lone)).select("document", "line_no", F.col("text").alias("line"))
+        # part and block alone name a block
+        others = several.select("part", "block")
+        found = lined(blocks.join(others, ["part", "block"], "left_anti").withColumns(lone)).select("document", "line_no", F.col("text").alias("line"))
+        plain = several.where("NOT tangled").select("part", "block", "seq", "final")
+        summed = blocks.select("document", "part", "block", "values").join(plain, ["part", "block"]).select("document", "part", "block", "seq", "final", "values").mapInArrow(summarize, f"document {name}, part int, block int, seq int, final boolean, summary array<long>")
+        known = summed.repartition("document").sortWithinPartitions("document", "seq").mapInArrow(scan, "part int, block int, seq int, final boolean, state long, base long")
+        found = found.union(assembled(lined(blocks.join(session.staged(known, "line-blocks-known"), ["part", "block"])), "document", operator.drop_empty_rest))
+        tangled = several.where("tangled").select("part", "block")
+        if tangled.head() is None:
+            return found
+        apart = blocks.join(tangled, ["part", "block"], "left_semi").mapInArrow(unpack, row_schema)
+        ranged = apart.repartitionByRange("document", "number").sortWithinPartitions("document", "number", "line")
+        return found.union(results(stored(ranged, True), True))
+
+    def stored(lines: DataFrame, in_order: bool) -> DataFrame:
+        return session.staged(lines.mapInArrow(lambda batches: pack(batches, in_order), schema), "line-blocks", "zstd")
+
+    return results(stored(rows, False), False).select(F.col("document").alias(document), F.col("line_no").alias(number), F.col("line").alias(line))
 
 
 def merge_lines(df: DataFrame, threshold: int = 20, mode: Width = Width.BYTES, no_merge: str | None = None, charset: str = "UTF-8", document: str = "doc_id", number: str = "line_no", line: str = "line") -> DataFrame:

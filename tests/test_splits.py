@@ -172,6 +172,41 @@ def test_regroup_over_partitions(spark, dealt, many_ranges, change):
     assert by_document(many(df)) == {r["doc_id"]: r["lines"] for r in whole.select("doc_id", one(F.col("lines")).alias("lines")).collect()}
 
 
+@pytest.mark.parametrize("step", [1, 3])
+def test_lines_that_come_in_order_are_not_sorted(spark, many_ranges, monkeypatch, step):
+    rnd = random.Random(step)
+    docs = {f"d{k}": [rnd.choice(["", " ", "你", "好。", "a", "bc ", "x，", "w" * 30]) for _ in range(n)] for k, n in enumerate([1, 500, 7, 8, 0, 60, *range(20)])}
+    # a document's fourths lie in four partitions, the last first
+    fourths = [[(d, step * i, ls[i]) for d, ls in docs.items() for i in range(k * len(ls) // 4, (k + 1) * len(ls) // 4)] for k in (3, 2, 1, 0)]
+    df = spark.sparkContext.parallelize(fourths, 4).flatMap(lambda x: x).toDF("doc_id string, line_no long, line string")
+    monkeypatch.setattr(type(df), "repartitionByRange", lambda *a, **k: pytest.fail("lines are sorted in ranges"))
+    for threshold, stop in ((20, "。"), (10**9, None)):
+        want = {d: lines.merge_list(ls, threshold, lines.Width.BYTES, "UTF-8", stop) for d, ls in docs.items()}
+        assert by_document(many_ranges.merge_lines(df, threshold, "bytes", stop)) == {d: v for d, v in want.items() if v}
+    whole = spark.createDataFrame([x for x in docs.items() if x[1]], "doc_id string, lines array<string>")
+    assert by_document(many_ranges.fix_cjk(df)) == {r["doc_id"]: r["lines"] for r in whole.select("doc_id", lines.fix_cjk(F.col("lines")).alias("lines")).collect()}
+
+
+def test_documents_of_one_block_are_not_shuffled(spark):
+    rows = spark.range(0, 40, 1, 4).select((F.col("id") % 3 == 0).alias("even"), F.col("id").alias("doc_id"), F.array(*map(F.lit, ["a", "你", "", "b。", "c"])).alias("lines"))
+    from quillmill.operators import long_documents
+
+    done = long_documents.merge_lines(lines.explode_lines(rows), 3, no_merge="。")
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    assert by_document(done) == {k: ["a你", "b。", "c"] for k in range(40)}
+
+
+def test_tangled_documents_beside_others(spark, many_ranges):
+    """Numbers that repeat, that are none, or that are dealt out; of other types too."""
+    rnd = random.Random(5)
+    rows = [(1.5, None, "z"), (1.5, None, "b"), (1.5, 1, "c"), (2.5, None, "q"), (2.5, 4, "r"), (None, 7, "y"), (None, 7, "x"), (0.5, 1, "only")] + [(9.5, k, str(k % 10)) for k in range(100)]
+    rnd.shuffle(rows)
+    df = spark.sparkContext.parallelize(rows, 6).toDF("doc_id double, line_no int, line string")
+    want = {1.5: ["bzc"], 2.5: ["qr"], None: ["xy"], 0.5: ["only"], 9.5: ["0123456789" * 10]}
+    assert by_document(many_ranges.merge_lines(df, 1000)) == want
+    assert by_document(many_ranges.merge_lines(df.withColumn("doc_id", F.struct("doc_id")), 1000).withColumn("doc_id", F.col("doc_id.doc_id"))) == want
+
+
 def test_long_documents_of_odd_rows(spark, many_ranges):
     df = spark.createDataFrame([(1, None, None), (1, 5, "b"), (1, 5, "a"), (1, 9, "c")], "doc_id int, line_no long, line string")
     assert [r["line"] for r in many_ranges.merge_lines(df, 2).orderBy("line_no").collect()] == ["ab", "c"]
