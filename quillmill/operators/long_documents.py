@@ -18,6 +18,7 @@ taken apart again, sorted by line in ranges and packed anew.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -96,12 +97,56 @@ class Merge:
         return np.array(found, np.int64)
 
 
+@lru_cache(maxsize=8)
+def _members(ranges: tuple[tuple[int, int], ...], without: str) -> np.ndarray:
+    """For each code point, whether it is in one of the ranges and not in ``without``."""
+    found = np.zeros(0x110000, bool)
+    for a, b in ranges:
+        found[a : b + 1] = True
+    found[[ord(c) for c in without]] = False
+    return found
+
+
+def _singles(chars: str) -> tuple[tuple[int, int], ...]:
+    return tuple((ord(c), ord(c)) for c in dict.fromkeys(chars))
+
+
+def _characters(octets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The code points that end right before ``ends`` in UTF-8, and their bytes."""
+    code, width = octets[ends - 1].astype(np.int64), np.ones(len(ends), np.int64)
+    wide = np.flatnonzero(code >= 0x80)
+    if len(wide):
+        b1, b2, b3, b4 = (octets[np.maximum(ends[wide] - k, 0)].astype(np.int64) for k in (1, 2, 3, 4))
+        two, three = b2 >= 0xC0, (b2 < 0xC0) & (b3 >= 0xC0)
+        low = (b2 & 0x3F) << 6 | b1 & 0x3F
+        code[wide] = np.where(two, (b2 & 0x1F) << 6 | b1 & 0x3F, np.where(three, (b3 & 0xF) << 12 | low, (b4 & 7) << 18 | (b3 & 0x3F) << 12 | low))
+        width[wide] = np.where(two, 2, np.where(three, 3, 4))
+    return code, width
+
+
 class Regroup:
     """Lines go on the one before them while its last character that is no white space asks for more. A line's value is 1 where its own does, 0
-    where it doesn't, and -1 where it has none."""
+    where it doesn't, and -1 where it has none. Characters that ask: those of ``asks`` (ranges of code points) without those of ``refuses``."""
 
     drop_empty_rest = False
 
+    def __init__(self, asks: tuple[tuple[int, int], ...], refuses: str) -> None:
+        self.asks, self.refuses = asks, refuses
+
+    def values(self, offsets: np.ndarray, data: pa.Buffer) -> np.ndarray:
+        """The values of lines in UTF-8: from their ends back as far as there is white space, all lines at a time."""
+        octets, asks, blank = np.frombuffer(data, np.uint8), _members(self.asks, self.refuses), _members(_singles(charsets.WHITESPACE), "")
+        starts, ends = offsets[:-1].astype(np.int64), offsets[1:].astype(np.int64)
+        known, asked = np.zeros(len(starts), bool), np.zeros(len(starts), bool)
+        left = np.flatnonzero(ends > starts)
+        while len(left):
+            code, width = _characters(octets, ends[left])
+            asked[left] |= asks[code]
+            known[left] = ~blank[code]
+            ends[left] -= width
+            left = left[blank[code] & (ends[left] > starts[left])]
+        return np.where(known, asked, -1).astype(np.int64)
+
     @staticmethod
     def _states(values: np.ndarray, state: int) -> np.ndarray:
         known = np.maximum.accumulate(np.where(values >= 0, np.arange(len(values)), -1))
@@ -143,11 +188,11 @@ def _offsets(lines: pa.Array) -> tuple[np.ndarray, pa.Buffer]:
     return np.frombuffer(offsets, np.int32)[lines.offset : lines.offset + len(lines) + 1], data or pa.py_buffer(b"")
 
 
-def _regrouped(df: DataFrame, operator: Merge | Regroup, value: Column, document: str, number: str, line: str) -> DataFrame:
+def _regrouped(df: DataFrame, operator: Merge | Regroup, value: Column | None, document: str, number: str, line: str) -> DataFrame:
     kind, number_kind = df.schema[document].dataType, df.schema[number].dataType
     key_type, number_type = to_arrow_type(kind), to_arrow_type(number_kind)
-    counted = isinstance(number_kind, IntegralType)
-    rows = df.select(F.col(document).alias("document"), F.col(number).alias("number"), F.coalesce(F.col(line), F.lit("")).alias("line"), value.alias("value"))
+    counted, given = isinstance(number_kind, IntegralType), value is not None
+    rows = df.select(F.col(document).alias("document"), F.col(number).alias("number"), F.coalesce(F.col(line), F.lit("")).alias("line"), (value if given else F.lit(0).cast("long")).alias("value"))
     name, number_name = kind.simpleString(), number_kind.simpleString()
     row_schema = f"document {name}, number {number_name}, line string, value long"
     schema = f"document {name}, part int, block int, first {number_name}, last {number_name}, text binary, sizes binary, values binary, numbers array<{number_name}>"
@@ -185,7 +230,8 @@ def _regrouped(df: DataFrame, operator: Merge | Regroup, value: Column, document
             kept = table.slice(cuts[-1]).to_batches() if not rest and len(cuts) > 1 else []
             if kept:
                 cuts.pop(), ends.pop()
-            values, sizes, first, last = table.column("value").to_numpy(), np.diff(offsets), numbers.take(pa.array(cuts)), numbers.take(pa.array([e - 1 for e in ends]))
+            values = table.column("value").to_numpy() if given else operator.values(offsets, data)
+            sizes, first, last = np.diff(offsets), numbers.take(pa.array(cuts)), numbers.take(pa.array([e - 1 for e in ends]))
             gapless = [False] * len(cuts)
             if counted:
                 gapless = [x is not None and y - x + 1 == j - i for x, y, i, j in zip(first.to_pylist(), last.to_pylist(), cuts, ends)]
@@ -328,19 +374,12 @@ def merge_lines(df: DataFrame, threshold: int = 20, mode: Width = Width.BYTES, n
     return _regrouped(df, Merge(threshold), value, document, number, line)
 
 
-def _regroup(df: DataFrame, asks: str, document: str, number: str, line: str) -> DataFrame:
-    text = F.coalesce(F.col(line), F.lit(""))
-    own = F.when(~text.rlike(f"[^{charsets.BLANK}]"), -1).when(text.rlike(f"[{asks}][{charsets.BLANK}]*\\z"), 1).otherwise(0)
-    return _regrouped(df, Regroup(), own.cast("long"), document, number, line)
-
-
 def fix_cjk(df: DataFrame, no_merge: str | None = None, document: str = "doc_id", number: str = "line_no", line: str = "line") -> DataFrame:
     """``lines.fix_cjk`` on rows (document, number, line), as ``merge_lines`` is ``lines.merge_lines``."""
-    return _regroup(df, f"{charsets.CJK}&&[^{charsets.class_of(no_merge)}]" if no_merge else charsets.CJK, document, number, line)
+    return _regrouped(df, Regroup(tuple(charsets.CJK_RANGES), no_merge or ""), None, document, number, line)
 
 
 def fix_punctuation(df: DataFrame, merge: str, no_merge: str | None = None, document: str = "doc_id", number: str = "line_no", line: str = "line") -> DataFrame:
     """``lines.fix_punctuation`` on rows (document, number, line), as ``merge_lines`` is ``lines.merge_lines``. Without characters all lines stay; they are numbered
     anew all the same."""
-    asks = "".join(c for c in merge if c not in (no_merge or ""))
-    return _regroup(df, charsets.class_of(asks) if asks else "\\x{0}&&[^\\x{0}]", document, number, line)
+    return _regrouped(df, Regroup(_singles(merge), no_merge or ""), None, document, number, line)

@@ -215,6 +215,30 @@ def test_long_documents_of_odd_rows(spark, many_ranges):
         many_ranges.merge_lines(df, 0)
 
 
+def test_line_ends_by_bytes(spark, monkeypatch):
+    """What a line's end asks for is seen in its bytes, as the expressions on text say."""
+    from quillmill.operators import long_documents
+    import numpy as np
+    import pyarrow as pa
+    from quillmill.functions import charsets
+
+    rnd = random.Random(11)
+    pool = [*charsets.WHITESPACE, *"a。，你人é", "🙂", "㐀", "\uf900", "\u9fff", "\ua000", "\x00"]
+    texts = ["", *("".join(rnd.choice(pool) for _ in range(rnd.randint(0, 5))) for _ in range(3000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    for asks, refuses, operator in (
+        (f"{charsets.CJK}&&[^{charsets.class_of('人')}]", "人", long_documents.Regroup(tuple(charsets.CJK_RANGES), "人")),
+        (charsets.class_of("，🙂　"), "", long_documents.Regroup(long_documents._singles("，🙂　"), "")),
+    ):
+        want = F.when(~F.col("t").rlike(f"[^{charsets.BLANK}]"), -1).when(F.col("t").rlike(f"[{asks}][{charsets.BLANK}]*\\z"), 1).otherwise(0)
+        lined = pa.array(texts, pa.string()).slice(1)
+        got = operator.values(*long_documents._offsets(lined))
+        assert got.dtype == np.int64 and got.tolist() == [r["v"] for r in df.orderBy("k").select(want.alias("v")).collect()][1:]
+    rows = spark.createDataFrame([("d", 1, "你"), ("d", 2, "x")], "doc_id string, line_no int, line string")
+    monkeypatch.setattr(type(F.lit(1)), "rlike", lambda *a: pytest.fail("an expression a line"))
+    assert by_document(long_documents.fix_cjk(rows)) == {"d": ["你x"]}
+
+
 def test_block_functions():
     from quillmill.operators.long_documents import Merge
     import numpy as np
