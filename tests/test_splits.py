@@ -187,6 +187,15 @@ def test_lines_that_come_in_order_are_not_sorted(spark, many_ranges, monkeypatch
     assert by_document(many_ranges.fix_cjk(df)) == {r["doc_id"]: r["lines"] for r in whole.select("doc_id", lines.fix_cjk(F.col("lines")).alias("lines")).collect()}
 
 
+def test_punctuation_of_lines_in_order_is_not_sorted(spark, many_ranges, monkeypatch):
+    rnd = random.Random(8)
+    docs = {f"d{k}": [rnd.choice(["，", "a，", "b", " ", "", "c。", "，　", "x" * 20]) for _ in range(n)] for k, n in enumerate([300, 1, 7, 14, *range(1, 20)])}
+    whole = spark.createDataFrame(list(docs.items()), "doc_id string, lines array<string>")
+    monkeypatch.setattr(type(whole), "repartitionByRange", lambda *a, **k: pytest.fail("lines are sorted in ranges"))
+    want = {r["doc_id"]: r["lines"] for r in whole.select("doc_id", lines.fix_punctuation(F.col("lines"), "，。", "。").alias("lines")).collect()}
+    assert by_document(many_ranges.fix_punctuation(lines.explode_lines(whole), "，。", "。")) == want
+
+
 def test_documents_of_one_block_are_not_shuffled(spark):
     rows = spark.range(0, 40, 1, 4).select((F.col("id") % 3 == 0).alias("even"), F.col("id").alias("doc_id"), F.array(*map(F.lit, ["a", "你", "", "b。", "c"])).alias("lines"))
     from quillmill.operators import long_documents
