@@ -107,6 +107,37 @@ def test_lines_of_short_files_need_no_shuffle(spark, tmp_path):
     assert "Exchange" not in plan and plan.count("BatchScan") == 1
 
 
+def test_folder_streams_by(tmp_path, monkeypatch):
+    """The driver neither holds all names of a folder nor looks at files whose names don't match."""
+    for k in range(30):
+        (tmp_path / f"{k:02}.txt").write_bytes(b"x")
+        (tmp_path / f"{k:02}_Processed.txt").write_bytes(b"xy")
+    seen, looked, real, length = [], [], os.scandir, stores._length
+
+    class Watched:
+        def __init__(self, path):
+            self.entries = real(path)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.entries.close()
+
+        def __iter__(self):
+            for e in self.entries:
+                seen.append(e.name)
+                yield e
+
+    monkeypatch.setattr(os, "scandir", Watched)
+    monkeypatch.setattr(stores, "SORTED", 4)
+    monkeypatch.setattr(stores, "_length", lambda p: looked.append(p) or length(p))
+    found = reader.FilesReader({"paths": "1", "path0": str(tmp_path), "name": files.name_like("*_processed.txt")})._items()
+    next(found)
+    assert len(looked) == 1 and len(seen) < 60
+    assert len(list(found)) == 29 and len(looked) == 30
+
+
 def test_listing_of_many_files_is_small(monkeypatch):
     n = 300_000
     monkeypatch.setattr(stores, "children", lambda *a, **k: (stores.Found(f"file:/folder/{i}.txt", 3000 + i % 7) for i in range(n)))
