@@ -254,14 +254,27 @@ def _regrouped(df: DataFrame, operator: Merge | Regroup, value: Column | None, d
         if held:
             yield close(held, True)[0]
 
-    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The blocks, as many at a time as have BLOCK_BYTES."""
         for b in batches:
-            for r in b.to_pylist():
-                sizes, values = _unpacked(r["sizes"]), _unpacked(r["values"])
-                n = len(sizes)
-                numbers = pa.array(r["numbers"], number_type) if r["numbers"] is not None else pa.array(range(r["first"], r["first"] + n), number_type)
-                lines = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.py_buffer(r["text"])])
-                yield pa.RecordBatch.from_arrays([pa.array([r["document"]] * n, key_type), numbers, lines, pa.array(values)], ["document", "number", "line", "value"])
+            at, _ = _offsets(b.column("text"))
+            i = 0
+            while i < b.num_rows:
+                j = max(i + 1, int(np.searchsorted(at, int(at[i]) + BLOCK_BYTES)))
+                yield b.slice(i, j - i)
+                i = j
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in some(batches):
+            at, data = _offsets(b.column("text"))
+            sizes, values = ([_unpacked(x) for x in b.column(c).to_pylist()] for c in ("sizes", "values"))
+            counts = [len(x) for x in sizes]
+            offsets = (np.concatenate([[0], np.cumsum(np.concatenate(sizes))]) + at[0]).astype(np.int32)
+            given_numbers = zip(b.column("numbers").to_pylist(), b.column("first").to_pylist(), counts)
+            numbers = [x for listed, first, n in given_numbers for x in (listed if listed is not None else range(first, first + n))]
+            documents = b.column("document").take(pa.array(np.repeat(np.arange(b.num_rows), counts)))
+            lines = pa.Array.from_buffers(pa.string(), sum(counts), [None, pa.py_buffer(offsets), data])
+            yield pa.RecordBatch.from_arrays([documents, pa.array(numbers, number_type), lines, pa.array(np.concatenate(values))], ["document", "number", "line", "value"])
 
     def summarize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -282,13 +295,8 @@ def _regrouped(df: DataFrame, operator: Merge | Regroup, value: Column | None, d
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("part", "block", "seq", "final")), pa.array(states, pa.int64()), pa.array(bases, pa.int64())], ["part", "block", "seq", "final", "state", "base"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at, _ = _offsets(whole.column("text"))
-            i = 0
-            while i < whole.num_rows:
-                j = max(i + 1, int(np.searchsorted(at, int(at[i]) + BLOCK_BYTES)))
-                yield made(whole.slice(i, j - i))
-                i = j
+        for b in some(batches):
+            yield made(b)
 
     def made(b: pa.RecordBatch) -> pa.RecordBatch:
         """The lines of blocks: their bytes lie as they lay, only fewer offsets cut them."""
